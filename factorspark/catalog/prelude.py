@@ -46,10 +46,10 @@ CTES: dict[str, str] = {
         SELECT date, sno, cdi FROM (SELECT date, round(avg(tax) / 100, 8) AS cdi FROM trades GROUP BY date)
         JOIN sessions USING (date)""",
     "cash_events": """
-        SELECT root, kind AS type, date AS last_date_prior, round(px * tax / 10, 4) AS value,
+        SELECT root, kind AS type, date AS last_date_prior, px * tax / 10 AS value,
                CASE WHEN status = 'O' THEN 'JRS CAP PROPRIO' ELSE 'DIVIDENDO' END AS label
         FROM trades JOIN securities USING (sid)
-        WHERE flag = 'R' AND disc <= 0.02 AND round(px * tax / 10, 4) > 0""",
+        WHERE flag = 'R' AND disc <= 0.02 AND px * tax / 10 > 0""",
     "stock_events": """
         SELECT sid, date AS last_date_prior,
                CASE WHEN line <= 2 THEN 2.0 WHEN line <= 4 THEN 1.1 WHEN line = 5 THEN 0.5 ELSE 0.1 END::DOUBLE AS multiplier

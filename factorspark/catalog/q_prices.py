@@ -50,8 +50,8 @@ passes AS (SELECT *, m2 * CASE WHEN ok3 THEN n3.ratio ELSE 1.0 END AS split_mult
 """
 
 ADJ_SQL = """
-  SELECT *, sum(ln(1 + coalesce(ret_price, 0))) OVER w AS lp, sum(ln(1 + coalesce(ret_total, 0))) OVER w AS lt,
-         sum(ln(1 + coalesce(ret_price, 0))) OVER f AS lpf, sum(ln(1 + coalesce(ret_total, 0))) OVER f AS ltf,
+  SELECT *, ln(product(1 + coalesce(ret_price, 0)) OVER w) AS lp, ln(product(1 + coalesce(ret_total, 0)) OVER w) AS lt,
+         ln(product(1 + coalesce(ret_price, 0)) OVER f) AS lpf, ln(product(1 + coalesce(ret_total, 0)) OVER f) AS ltf,
          last_value(close) OVER f AS last_close
   FROM {src}
   WINDOW w AS (PARTITION BY sid ORDER BY date),
@@ -89,7 +89,7 @@ def _(t):
     return P.equities_only(t.spec_bars).groupBy("sid").agg(F.count("*").alias("bars"), F.sum("volume").alias("volume"))
 
 
-@query("join_equi_inner", "sid:i last_date_prior:t value:4 label:s", """
+@query("join_equi_inner", "sid:i last_date_prior:t value:10 label:s", """
 SELECT DISTINCT s.sid, e.last_date_prior, e.value, e.label
 FROM cash_events e JOIN securities s ON s.root = e.root AND s.kind = e.type""")
 def _(t):
@@ -163,14 +163,14 @@ def _(t):
     return P.total_return(passes(t))
 
 
-@query("win_adj_close", "sid:i date:t adj_log:6 tr_log:6", PASSES_SQL + f""", a AS ({ADJ_SQL.format(src='passes')})
+@query("win_adj_close", "sid:i date:t adj_log:5 tr_log:5", PASSES_SQL + f""", a AS ({ADJ_SQL.format(src='passes')})
 SELECT sid, date, (lp - lpf + ln(last_close)) / ln(10) AS adj_log, (lt - ltf + ln(last_close)) / ln(10) AS tr_log FROM a""")
 def _(t):
     return (P.adjusted_close(P.total_return(passes(t)))
             .select("sid", "date", F.log10("adj_close").alias("adj_log"), F.log10("tr_close").alias("tr_log")))
 
 
-@query("adjusted_prices", "sid:i ticker:s date:t close:4 split_mult:6 dividend:4 ret_total:6 tr_log:6",
+@query("adjusted_prices", "sid:i ticker:s date:t close:8 split_mult:6 dividend:9 ret_total:6 tr_log:5",
        PASSES_SQL + f""", a AS ({ADJ_SQL.format(src='passes')})
 SELECT sid, ticker, date, close, split_mult, dividend, ret_total, (lt - ltf + ln(last_close)) / ln(10) AS tr_log FROM a""")
 def _(t):
@@ -186,7 +186,7 @@ def _reference(t):
         "ticker", "date", F.round(F.least(F.col("close") / F.col("open") - 1, F.lit(2.0)), 6).alias("ret"))
 
 
-@query("patch_big_moves", "sid:i date:t action:s ret_total:6 tr_log:6", PASSES_SQL + f""",
+@query("patch_big_moves", "sid:i date:t action:s ret_total:6 tr_log:5", PASSES_SQL + f""",
 r AS ({REFERENCE_SQL}),
 p AS (
   SELECT a.sid, a.date, a.close, a.ret_price AS rp, a.ret_total AS rt, r.ret,
@@ -257,7 +257,7 @@ uni AS (SELECT *, row_number() OVER (PARTITION BY rebalance_date ORDER BY in_ind
 UNIVERSE = dict(min_presence=0.15, max_idle_days=10)
 
 
-@query("agg_liquidity_stats", "rebalance_date:t sid:i ticker:s trades:i volume:2 sessions:i last_close:4 last_date:t presence:6",
+@query("agg_liquidity_stats", "rebalance_date:t sid:i ticker:s trades:i volume:2 sessions:i last_close:8 last_date:t presence:6",
        LIQ_SQL + "SELECT * FROM st")
 def _(t):
     return P.liquidity_stats(t.spec_bars, t.sessions)
@@ -277,7 +277,7 @@ def _(t):
     return universe(t)
 
 
-@query("universe_history", "rebalance_date:t sid:i ticker:s rank:i in_index:8 presence:6 volume:2 last_close:4", LIQ_SQL + "SELECT * FROM uni")
+@query("universe_history", "rebalance_date:t sid:i ticker:s rank:i in_index:8 presence:6 volume:2 last_close:8", LIQ_SQL + "SELECT * FROM uni")
 def _(t):
     return universe(t)
 
@@ -313,7 +313,7 @@ def _(t):
     return P.universe_as_of(rows, F.col("as_of"))
 
 
-@query("clean_bars", "sid:i date:t close:4 intraday:b", """
+@query("clean_bars", "sid:i date:t close:8 intraday:b", """
 WITH b AS (SELECT sid, date, close, open <= 0 OR high <= 0 OR low <= 0 OR vol <= 0 AS bad, lead(date) OVER (PARTITION BY sid ORDER BY date) IS NULL AS last_bar
   FROM (SELECT *, CASE WHEN trades > 1 AND sid % 2 = 0 THEN 0 ELSE volume END AS vol FROM bars))
 SELECT sid, date, close, last_bar AND (bad OR date = DATE '2001-10-30') AS intraday FROM b WHERE last_bar OR NOT bad""")
@@ -323,7 +323,7 @@ def _(t):
 
 
 @query("fn_rate_to_daily", "sid:i date:t daily:10", """
-WITH s AS (SELECT sid, date, CASE WHEN sid % 3 = 0 THEN px / 4000 WHEN sid % 3 = 1 THEN px / 100000 ELSE px * 10 END AS rate
+WITH s AS (SELECT sid, date, CASE WHEN sid % 3 = 0 THEN ln(px) / 200 WHEN sid % 3 = 1 THEN ln(px) / 10000 ELSE ln(px) * 3 END AS rate
            FROM (SELECT sid, date, close AS px FROM bars)),
 m AS (SELECT sid, quantile_cont(rate, 0.5) AS med FROM s GROUP BY sid),
 c AS (SELECT sid, med, med > 1 AS yearly, med / 100 AS d, pow(1 + med / 100, 1.0 / 252) - 1 AS y FROM m),
@@ -331,6 +331,6 @@ u AS (SELECT sid, yearly <> (NOT (CASE WHEN yearly THEN y ELSE d END BETWEEN 0.0
                             AND (CASE WHEN yearly THEN d ELSE y END BETWEEN 0.00005 AND 0.0015)) AS use_yearly FROM c)
 SELECT s.sid, date, CASE WHEN use_yearly THEN pow(1 + rate / 100, 1.0 / 252) - 1 ELSE rate / 100 END AS daily FROM s JOIN u USING (sid)""")
 def _(t):
-    rate = (F.when(F.col("sid") % 3 == 0, F.col("close") / 4000).when(F.col("sid") % 3 == 1, F.col("close") / 100000)
-            .otherwise(F.col("close") * 10))
+    level = F.log("close")
+    rate = F.when(F.col("sid") % 3 == 0, level / 200).when(F.col("sid") % 3 == 1, level / 10000).otherwise(level * 3)
     return P.fix_rate(t.bars.select("sid", "date", rate.alias("rate")), "rate", ["sid"])

@@ -7,6 +7,7 @@ from functools import reduce
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 # Rational approximation of the normal tail (Hart 1968, as published by West 2005).
 TAIL_NUM = (0.0352624965998911, 0.700383064443688, 6.37396220353165, 33.912866078383,
@@ -59,7 +60,7 @@ def two_sided_p(t: Column) -> Column:
     return 2 * (1 - norm_cdf(F.abs(t)))
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def student_t_p(t: pd.Series, df: pd.Series) -> pd.Series:
     """Two-sided Student-t p-value with a real-valued degree of freedom.
 

@@ -57,15 +57,18 @@ def trailing_return(value: str, sno_window: Window, past: int, skip: int = 0, fi
     return at_session(value, sno_window, skip, fill_limit) / F.when(then > 0, then) - 1
 
 
-def live_trailing_return(value: str, sno: str, n_sessions: Column, sno_window: Window, window: int,
-                         skip: int, fill_limit: int = 0) -> Column:
-    """As ``trailing_return`` with the live rule: a window longer than the history is clipped to
-    it, which on the first ``window`` sessions means the second session of the panel."""
-    short = F.first(F.when(n_sessions >= 2, F.col(value)), ignorenulls=True).over(
-        sno_window.rangeBetween(Window.unboundedPreceding, 0))
-    full = at_session(value, sno_window, window - 1, fill_limit)
-    then = F.when(F.col(sno) > window, full).otherwise(short)
-    return at_session(value, sno_window, skip, fill_limit) / F.when(then > 0, then) - 1
+def live_trailing_return(value: str, sno: str, sno_window: Window, window: int, skip: int,
+                         fill_limit: int = 0) -> Column:
+    """As ``trailing_return`` with the live rule.
+
+    The current session counts into the window, and a window longer than the history is clipped
+    to it, which during the first ``window`` sessions means the second session of the panel.
+    """
+    run = sno_window.rowsBetween(Window.unboundedPreceding, 0)
+    second = F.last(F.when(F.col(sno).between(2 - fill_limit, 2), F.col(value)), ignorenulls=True).over(run)
+    then = F.when(F.col(sno) > window, at_session(value, sno_window, window - 1, fill_limit)).otherwise(second)
+    ret = at_session(value, sno_window, skip, fill_limit) / F.when(then > 0, then) - 1
+    return F.when(F.col(sno) >= skip + 2, ret)
 
 
 def rolling_moments(df: DataFrame, value: str, w: Window, n: int, prefix: str) -> DataFrame:

@@ -102,7 +102,7 @@ class Tables:
         t = self.trades.filter((F.col("flag") == "R") & (F.col("disc") <= 0.02))
         return (t.join(self.securities.select("sid", "root", "kind"), "sid")
                 .select("root", F.col("kind").alias("type"), F.col("date").alias("last_date_prior"),
-                        F.round(F.col("px") * F.col("tax") / 10, 4).alias("value"),
+                        (F.col("px") * F.col("tax") / 10).alias("value"),
                         F.when(F.col("status") == "O", "JRS CAP PROPRIO").otherwise("DIVIDENDO").alias("label"))
                 .filter("value > 0"))
 
