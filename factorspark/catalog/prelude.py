@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import re
 
+from factorspark.sources.derived import ACCOUNTS
+
 CTES: dict[str, str] = {
     "securities": """
         SELECT s_suppkey AS sid,
@@ -64,6 +66,16 @@ CTES: dict[str, str] = {
         SELECT issuer, dt_refer, form, min(received) AS available_from, max(received) AS last_received,
                count(DISTINCT version) AS n_versions, arg_max(value, version) AS value
         FROM order_docs GROUP BY ALL""",
+    "accounts": "SELECT * FROM (VALUES " + ", ".join(
+        f"({i}, '{s}', '{c}', '{d}', {g})" for i, (s, c, d, g) in enumerate(ACCOUNTS)) + ") v(k, sheet, code, ds, sign)",
+    "statement_lines": f"""
+        SELECT o_custkey // 10 AS issuer,
+               last_day(CAST(date_trunc('quarter', o_orderdate) AS DATE) + INTERVAL 2 MONTH) AS dt_refer, sheet,
+               CASE WHEN l_linestatus = 'O' THEN 'con' ELSE 'ind' END AS scope,
+               CASE WHEN l_returnflag = 'R' THEN 'PENÚLTIMO' ELSE 'ÚLTIMO' END AS ordem,
+               CAST(CASE WHEN l_tax > 0.05 THEN date_trunc('quarter', o_orderdate) ELSE date_trunc('year', o_orderdate) END AS DATE) AS ini,
+               code, ds, round(sum(l_extendedprice * sign), 2) AS value
+        FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN accounts ON k = l_partkey % {len(ACCOUNTS)} GROUP BY ALL""",
     "fundamentals": """
         SELECT sid, ticker, root, sector, subsector, theme,
                CASE WHEN sid % 13 <> 0 THEN acctbal / 250 - 4 END AS pl,

@@ -35,19 +35,27 @@ def last_trading_day(d: Column) -> Column:
     return F.when(is_trading_day(d), d).otherwise(previous_trading_day(d))
 
 
-def with_calendar(df: DataFrame, date: str = "date") -> DataFrame:
-    """Adds trading-day, holiday and run-gate columns to a date column."""
+def day_table(days: DataFrame, date: str = "date") -> DataFrame:
+    """Calendar columns of a table of distinct days."""
     d = F.col(date)
-    df = df.withColumn("trading", is_trading_day(d)).withColumn("prev_trading", previous_trading_day(d))
+    df = days.withColumn("trading", is_trading_day(d)).withColumn("prev_trading", previous_trading_day(d))
     prev = F.col("prev_trading")
-    return (df.withColumn("holiday", is_holiday(d)).withColumn("last_trading", last_trading_day(d))
+    return (df.withColumn("holiday", is_holiday(d))
+            .withColumn("last_trading", F.when(F.col("trading"), d).otherwise(prev))
             .withColumn("weekly_run", F.col("trading") & (F.trunc(prev, "week") != F.trunc(d, "week")))
             .withColumn("monthly_run", F.col("trading") & (F.trunc(prev, "month") != F.trunc(d, "month"))))
 
 
+def with_calendar(df: DataFrame, date: str = "date") -> DataFrame:
+    """Adds trading-day, holiday and run-gate columns, worked out once per distinct day."""
+    return df.join(day_table(df.select(date).distinct(), date), date)
+
+
 def trading_days(df: DataFrame, start: str, end: str) -> DataFrame:
     """One row per trading day of each row's closed interval."""
-    return df.withColumn("day", F.explode(F.sequence(F.col(start), F.col(end)))).filter(is_trading_day(F.col("day")))
+    rows = df.withColumn("day", F.explode(F.sequence(F.col(start), F.col(end))))
+    days = rows.select("day").distinct().filter(is_trading_day(F.col("day")))
+    return rows.join(days, "day", "left_semi")
 
 
 def is_intraday(ts: Column, opened: str = "10:00", settled: str = "18:30") -> Column:

@@ -15,6 +15,23 @@ from pyspark.sql import functions as F
 from factorspark.operators import timeseries as ts
 
 
+# Chart of accounts the test statements are built from: sheet, code, description, sign.
+ACCOUNTS = (
+    ("DRE", "3.01", "Receita de Venda de Bens", 1), ("DRE", "3.03", "Resultado Bruto", 1),
+    ("DRE", "3.05", "Resultado Antes do Resultado Financeiro", 1), ("DRE", "3.07", "Resultado Antes dos Tributos", 1),
+    ("DRE", "3.11", "Lucro/Prejuízo Consolidado do Período", 1), ("DRE", "3.11.01", "Sócios da Empresa Controladora", 1),
+    ("DRE", "3.01", "Receitas da Intermediação Financeira", 1), ("DFC", "6.01", "Caixa Líquido Operacional", 1),
+    ("DFC", "6.01.01.02", "Depreciação e Amortização", 1), ("DFC", "6.01.01.02.01", "Depreciação de Imóveis", 1),
+    ("DFC", "6.02.01", "Aquisição de Imobilizado", -1), ("DFC", "6.02.01.01", "Imobilizado em Andamento", -1),
+    ("DFC", "6.02.02", "Venda de Imobilizado", 1), ("BPA", "1", "Ativo Total", 1),
+    ("BPA", "1.01.01", "Caixa e Equivalentes de Caixa", 1), ("BPA", "1.01.02", "Aplicações Financeiras", 1),
+    ("BPP", "2.03", "Patrimônio Líquido Consolidado", 1), ("BPP", "2.03.09", "Acionistas Não Controladores", 1),
+    ("BPP", "2.01.04", "Empréstimos e Financiamentos", 1), ("BPP", "2.02.01", "Empréstimos e Financiamentos", 1),
+    ("DRE", "3.02", "Prêmios de Seguros", 1), ("DRE", "3.04", "Despesas Operacionais", -1),
+    ("DRE", "3.04.01", "Despesas com Vendas", -1), ("DFC", "6.01.01.03", "Exaustão", 1),
+)
+
+
 class Tables:
     """Reads the raw tables and derives the engine tables from them."""
 
@@ -140,6 +157,24 @@ class Tables:
             F.count_distinct("version").alias("n_versions"),
             F.max_by("value", last).alias("value")))
 
+    @cached_property
+    def statement_lines(self) -> DataFrame:
+        """Statement lines: ten customers form an issuer, its line items of a quarter one document."""
+        o, li = self.raw("orders"), self.raw("lineitem")
+        cfg = F.element_at(F.array(*[F.struct(F.lit(s).alias("sheet"), F.lit(c).alias("code"), F.lit(d).alias("ds"),
+                                              F.lit(g).alias("sign")) for s, c, d, g in ACCOUNTS]),
+                           (F.col("l_partkey") % len(ACCOUNTS) + 1).cast("int"))
+        q = F.trunc("o_orderdate", "quarter")
+        rows = li.join(o, li.l_orderkey == o.o_orderkey).select(
+            F.floor(F.col("o_custkey") / 10).alias("issuer"), F.last_day(F.add_months(q, 2)).alias("dt_refer"),
+            cfg.alias("a"), F.when(F.col("l_linestatus") == "O", "con").otherwise("ind").alias("scope"),
+            F.when(F.col("l_returnflag") == "R", "PENÚLTIMO").otherwise("ÚLTIMO").alias("ordem"),
+            F.when(F.col("l_tax") > 0.05, q).otherwise(F.trunc("o_orderdate", "year")).alias("ini"),
+            F.col("l_extendedprice").alias("v"))
+        return (rows.groupBy("issuer", "dt_refer", F.col("a.sheet").alias("sheet"), "scope", "ordem", "ini",
+                             F.col("a.code").alias("code"), F.col("a.ds").alias("ds"))
+                .agg(F.round(F.sum(F.col("v") * F.col("a.sign")), 2).alias("value")))
+
     @cached_property
     def fundamentals(self) -> DataFrame:
         """One live fundamentals row per security, with gaps and dirty values."""
