@@ -29,7 +29,7 @@ dnl AS (SELECT * FROM dn WHERE NOT EXISTS (SELECT 1 FROM dn o WHERE o.issuer = d
 pk AS (SELECT issuer, dt_refer, ordem, 'o' AS f, value FROM dfc WHERE code = '6.01' UNION ALL SELECT issuer, dt_refer, ordem, 'x', value FROM cxl UNION ALL SELECT issuer, dt_refer, ordem, 'd', value FROM dnl),
 csh AS (SELECT issuer, dt_refer, ordem, max(value) FILTER (f = 'o') AS operating_cash_flow, sum(value) FILTER (f = 'x') AS capex, sum(value) FILTER (f = 'd') AS dna FROM pk GROUP BY ALL),
 flows AS (SELECT issuer, dt_refer, ordem, revenue, gross_profit, ebit, pretax_income, net_income, coalesce(ctrl, net_income) AS net_income_controlling, operating_cash_flow, capex, dna
-  FROM inc FULL JOIN csh USING (issuer, dt_refer, ordem)),
+  FROM (SELECT DISTINCT issuer, dt_refer, ordem FROM fl) LEFT JOIN inc USING (issuer, dt_refer, ordem) LEFT JOIN csh USING (issuer, dt_refer, ordem)),
 bal AS (SELECT *, min(CASE WHEN sheet = 'BPP' AND ds LIKE '%patrimonio liquido%' THEN code END) OVER (PARTITION BY issuer, dt_refer) AS eq FROM scoped WHERE ordem = 'cur' AND sheet IN ('BPA', 'BPP')),
 st0 AS (SELECT issuer, dt_refer, arg_min(value, ini) FILTER (code = '1') AS x, arg_min(value, code) FILTER (code = '1') AS total_assets,
   arg_min(value, code) FILTER (ds LIKE 'caixa e equivalentes%') AS cash, arg_min(value, code) FILTER (ds LIKE 'aplicacoes financeiras%') AS short_term_investments,

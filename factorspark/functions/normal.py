@@ -29,30 +29,38 @@ def _horner(coefs, x: Column) -> Column:
     return reduce(lambda acc, c: acc * x + F.lit(c), coefs[1:], F.lit(coefs[0]))
 
 
+def _let(x: Column, body) -> Column:
+    """``body(x)`` with ``x`` evaluated once, so a polynomial does not copy its argument."""
+    return F.transform(F.array(x.cast("double")), body)[0]
+
+
 def norm_cdf(x: Column) -> Column:
     """Standard normal CDF, accurate to about 1e-15."""
-    a = F.abs(x)
-    e = F.exp(-a * a / 2)
-    near = e * _horner(TAIL_NUM, a) / _horner(TAIL_DEN, a)
-    far = e / (a + 1 / (a + 2 / (a + 3 / (a + 4 / (a + 0.65))))) / 2.506628274631
-    tail = F.when(a < 7.07106781186547, near).when(a <= 37, far).otherwise(0.0)
-    return F.when(x > 0, 1 - tail).otherwise(tail)
+    def body(z):
+        a = F.abs(z)
+        e = F.exp(-a * a / 2)
+        near = e * _horner(TAIL_NUM, a) / _horner(TAIL_DEN, a)
+        far = e / (a + 1 / (a + 2 / (a + 3 / (a + 4 / (a + 0.65))))) / 2.506628274631
+        tail = F.when(a < 7.07106781186547, near).when(a <= 37, far).when(a.isNotNull(), 0.0)
+        return F.when(z > 0, 1 - tail).otherwise(tail)
+
+    return _let(x, body)
 
 
 def norm_ppf(p: Column) -> Column:
     """Inverse normal CDF; null outside (0, 1)."""
-    q = p - 0.5
-    r = q * q
-    mid = q * _horner(PPF_A, r) / _horner(PPF_B, r)
+    def middle(q):
+        return q * _horner(PPF_A, q * q) / _horner(PPF_B, q * q)
 
-    def edge(prob: Column) -> Column:
-        t = F.sqrt(-2 * F.log(prob))
+    def edge(t):
         return _horner(PPF_C, t) / _horner(PPF_D, t)
 
-    return (F.when((p <= 0) | (p >= 1), F.lit(None))
-            .when(p < PPF_LOW, edge(p))
-            .when(p > 1 - PPF_LOW, -edge(1 - p))
-            .otherwise(mid))
+    def body(x):
+        t = F.sqrt(-2 * F.log(F.least(x, 1 - x)))
+        return (F.when((x <= 0) | (x >= 1), F.lit(None)).when(x < PPF_LOW, _let(t, edge))
+                .when(x > 1 - PPF_LOW, -_let(t, edge)).otherwise(_let(x - 0.5, middle)))
+
+    return _let(p, body)
 
 
 def two_sided_p(t: Column) -> Column:

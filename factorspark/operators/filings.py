@@ -136,7 +136,7 @@ def flag_columns() -> list[Column]:
 
 def flows(lines: DataFrame) -> DataFrame:
     """Flow fields per document and order (cur/prev) of normalised, scope-picked lines."""
-    rows = mark_lines(lines).filter("sheet in ('DRE', 'DFC')")
+    rows = mark_lines(lines).filter("ytd")
     return rows.groupBy(*DOC, "ordem").agg(*flow_columns(F.lit(True)))
 
 

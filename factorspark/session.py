@@ -28,6 +28,7 @@ def local_session(cpus: int = 8, app: str = "factorspark", memory: str = "12g")
         builder.config("spark.sql.shuffle.partitions", str(cpus))
         .config("spark.driver.memory", memory)
         .config("spark.sql.ansi.enabled", "false")
+        .config("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
     )
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
