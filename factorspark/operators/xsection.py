@@ -181,8 +181,7 @@ def normalize_adaptive(df: DataFrame, keys: list[str], sector: str, value: str,
     r = with_mad(value_ranks(df, by, value), by, value)
     r = r.withColumn("_w", winsorized(F.col(value), k, F.col("n") >= MIN_WINSOR))
     r = r.join(hist_moments(r, by, "_w", "_s"), by)
-    overall = hist_moments(r.withColumn("_zero", F.lit(0.0)), keys, value, "_g", "_zero")
-    r = r.join(overall, keys)
+    r = r.join(moments(df, keys, value, "_g"), keys)
     big, mid, n_all = F.col("n") >= MIN_SECTOR_Z, F.col("n") >= MIN_SECTOR_PCT, F.col("_g_n")
     r = (r.withColumn("pct", F.when(~big & mid, 100 * average_rank() / F.col("n")))
          .withColumn("z", F.when(big, _z("_w", "_s")).when(~mid & (n_all >= 2), _z(value, "_g")))
@@ -206,8 +205,7 @@ def sector_adaptive_z(df: DataFrame, keys: list[str], sector: str, value: str, d
     x = mad_winsor(df, keys, value, 5.0, "_w").withColumn("_x", F.col("_w") * F.col(direction)).drop("_w")
     by = [*keys, sector]
     r = cut_lineage(value_ranks(x, by, "_x"))
-    zero = r.withColumn("_zero", F.lit(0.0))
-    r = r.join(hist_moments(zero, by, "_x", "_s", "_zero"), by).join(hist_moments(zero, keys, "_x", "_g", "_zero"), keys)
+    r = r.join(moments(x, by, "_x", "_s"), by).join(moments(x, keys, "_x", "_g"), keys)
     n = F.col("n")
     z = (F.when((n >= MIN_SECTOR_Z) & (F.col("_s_std") > 0), (F.col("_x") - F.col("_s_mean")) / F.col("_s_std"))
          .when(n >= MIN_SECTOR_PCT, norm_ppf((average_rank() - 0.5) / n))
