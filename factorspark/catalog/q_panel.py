@@ -205,8 +205,8 @@ def sql_portfolio(weights, keys="leg"):
     return f"""
 wt AS ({weights}),
 dts AS (SELECT {keys}, t, lead(t) OVER (PARTITION BY {keys} ORDER BY t) AS nx FROM (SELECT DISTINCT {keys}, t FROM wt)),
-dr AS (SELECT wt.*, w * (1 + coalesce(fwd, 0)) AS g, sum(w * (1 + coalesce(fwd, 0))) OVER (PARTITION BY {keys}, t) AS tot FROM wt),
-pv AS (SELECT {", ".join("dr." + c for c in k)}, dts.nx AS t, dr.sid, CASE WHEN tot > 0 THEN g / tot ELSE w END AS w FROM dr JOIN dts USING ({keys}, t) WHERE dts.nx IS NOT NULL),
+dr AS (SELECT wt.*, w * (1 + coalesce(fwd, 0)) AS grown, sum(w * (1 + coalesce(fwd, 0))) OVER (PARTITION BY {keys}, t) AS tot FROM wt),
+pv AS (SELECT {", ".join("dr." + c for c in k)}, dts.nx AS t, dr.sid, CASE WHEN tot > 0 THEN grown / tot ELSE w END AS w FROM dr JOIN dts USING ({keys}, t) WHERE dts.nx IS NOT NULL),
 mv_ AS (SELECT {", ".join(f"coalesce(a.{c}, b.{c}) AS {c}" for c in k)}, coalesce(a.t, b.t) AS t, coalesce(a.sid, b.sid) AS sid, abs(coalesce(a.w, 0) - coalesce(b.w, 0)) AS d
   FROM wt a FULL JOIN pv b ON {on} AND a.t = b.t AND a.sid = b.sid),
 cs AS (SELECT {", ".join("m." + c for c in k)}, m.t, sum(d * coalesce(CASE WHEN p.sid IS NOT NULL THEN 0.0013 * greatest(1, least(5, sqrt(50000000 / greatest(coalesce(p.adv30, 50000000), 1)))) END, 0.0013)) AS cost, sum(d) / 2 AS turnover

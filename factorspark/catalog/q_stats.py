@@ -56,7 +56,7 @@ def _(t):
 
 
 PSR = "(sr - {b}) * sqrt(n - 1) / sqrt(greatest(1 - sk * sr + (ku - 1) / 4 * sr * sr, 1e-12))"
-EMS = f"(sqrt(v) * ({1 - S.EULER_GAMMA!r} * {sql_ppf(repr(1 - 1 / 82))} + {S.EULER_GAMMA!r} * {sql_ppf(repr(1 - 1 / (82 * 2.718281828459045)))}))"
+EMS = f"(sqrt(v) * ({1 - S.EULER_GAMMA!r} * {sql_ppf(f'CAST({1 - 1 / 82!r} AS DOUBLE)')} + {S.EULER_GAMMA!r} * {sql_ppf(f'CAST({1 - 1 / (82 * 2.718281828459045)!r} AS DOUBLE)')}))"
 
 
 @query("agg_psr", "sid:i psr:6", MOM_SQL + f"SELECT sid, {sql_cdf('z')} AS psr FROM (SELECT sid, {PSR.format(b=0)} AS z FROM sh)")
@@ -123,7 +123,7 @@ def sql_ic(src, keys, fwd="fwd", min_n=20, name="ics"):
     return f"""
 {name}_b AS (SELECT *, rank() OVER (PARTITION BY {keys} ORDER BY x) + (count(*) OVER (PARTITION BY {keys}, x) - 1) / 2 AS ra, rank() OVER (PARTITION BY {keys} ORDER BY {fwd}) + (count(*) OVER (PARTITION BY {keys}, {fwd}) - 1) / 2 AS rb
   FROM {src} WHERE x IS NOT NULL AND {fwd} IS NOT NULL),
-{name} AS (SELECT {keys}, count(*) AS n, CASE WHEN count(*) >= {min_n} AND stddev_pop(ra) > 0 AND stddev_pop(rb) > 0 THEN corr(ra, rb) END AS ic FROM {name}_b GROUP BY ALL)"""
+{name} AS (SELECT {keys}, count(*) AS n, CASE WHEN count(*) >= {min_n} AND stddev_pop(ra) > 0 AND stddev_pop(rb) > 0 THEN round(corr(ra, rb), 12) END AS ic FROM {name}_b GROUP BY ALL)"""
 
 
 def signals(t, panel=None):
@@ -133,7 +133,7 @@ def signals(t, panel=None):
 IC_SQL = SIG_SQL + "," + sql_ic("sig", "factor, neutral, t")
 
 
-@query("join_cross_variants", "factor:s neutral:b t:t sid:i x:6", SIG_SQL + "SELECT * FROM sig")
+@query("join_cross_variants", "factor:s neutral:b t:t sid:i x:9", SIG_SQL + "SELECT * FROM sig")
 def _(t):
     return signals(t)
 

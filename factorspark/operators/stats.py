@@ -20,13 +20,13 @@ POWER_Z = 1.959963984540054 + 0.8416212335729143  # two-sided 5% and 80% power
 
 def rank_ic(df: DataFrame, keys: list[str], signal: str, forward: str, min_n: int = 20) -> DataFrame:
     """Spearman correlation per key over rows with both values; null below ``min_n`` rows or
-    without spread."""
+    without spread. Twelve digits are kept, so a correlation of zero has no sign."""
     both = df.filter(F.col(signal).isNotNull() & F.col(forward).isNotNull()).select(*keys, "sid", signal, forward)
     r = X.with_average_rank(X.with_average_rank(both, keys, signal, "_a"), keys, forward, "_b")
     g = r.groupBy(*keys).agg(F.count("*").alias("n"), F.corr("_a", "_b").alias("c"), F.stddev_pop("_a").alias("_sa"),
                              F.stddev_pop("_b").alias("_sb"))
     ok = (F.col("n") >= min_n) & (F.col("_sa") > 0) & (F.col("_sb") > 0)
-    return g.select(*keys, "n", F.when(ok, F.col("c")).alias("ic"))
+    return g.select(*keys, "n", F.when(ok, F.round("c", 12)).alias("ic"))
 
 
 def _demeaned(df: DataFrame, keys: list[str], value: str) -> DataFrame:
