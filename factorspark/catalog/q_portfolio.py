@@ -152,7 +152,7 @@ def navs(t):
     return W.drift_nav(r.withColumn("mix", mixes), targets(t), ["mix"])
 
 
-@query("drift_nav", "mix:s i:i nav:5", SIM_SQL + "SELECT mix, i, nav FROM sim")
+@query("drift_nav", "mix:s i:i nav:3", SIM_SQL + "SELECT mix, i, nav FROM sim")
 def _(t):
     return navs(t)
 
@@ -178,7 +178,7 @@ def _(t):
 SENS_SQL = "WITH RECURSIVE " + SLEEVES_SQL.strip() + """,
 of AS (SELECT CAST(unnest(range(21)) AS BIGINT) AS o),
 sim AS (
-  SELECT o, o AS i, CAST(100 AS DOUBLE) AS nav, 0.4 * 99.9 AS e, CASE WHEN o < 300 THEN 0.45 ELSE 0.3 END * 99.9 AS c, 0.15 * 99.9 AS g, CAST(0 AS DOUBLE) AS f FROM of
+  SELECT o, o AS i, CAST(100 AS DOUBLE) AS nav, CAST(0.4 * 99.9 AS DOUBLE) AS e, CAST(CASE WHEN o < 300 THEN 0.45 ELSE 0.3 END * 99.9 AS DOUBLE) AS c, CAST(0.15 * 99.9 AS DOUBLE) AS g, CAST(0 AS DOUBLE) AS f FROM of
   UNION ALL
   SELECT o, i, nav, CASE WHEN rb THEN 0.4 * nn ELSE e END, CASE WHEN rb THEN wc * nn ELSE c END, CASE WHEN rb THEN 0.15 * nn ELSE g END, CASE WHEN rb THEN wi * nn ELSE f END FROM (
     SELECT *, nav * (1 - (abs(0.4 - e / nav) + abs(wc - c / nav) + abs(0.15 - g / nav) + abs(wi - f / nav)) * 0.001) AS nn FROM (
@@ -261,12 +261,12 @@ def orders(t):
     return W.order_sheet(acc, sl, pk, prices), b.join(prev, ["rec", "rec_date"]).select("rec", "sid")
 
 
-@query("order_sheet", "account:i sid:i qty:i value:2 unused:4", ORDER_SQL + "z AS (SELECT 1) SELECT * FROM os")
+@query("order_sheet", "account:i sid:i qty:i unused:4", ORDER_SQL + "z AS (SELECT 1) SELECT * FROM os")
 def _(t):
     return orders(t)[0]
 
 
-@query("order_summary", "account:i residual:3 exits:i entries:i sales:2 tax:s", ORDER_SQL + """
+@query("order_summary", "account:i residual:3 exits:i entries:i sales:5 tax:s", ORDER_SQL + """
 pd AS (SELECT bw.rec, max(bw.rec_date) AS rec_date FROM bw JOIN rc ON rc.rec = bw.rec AND bw.rec_date < rc.rec_date GROUP BY bw.rec), pv AS (SELECT rec, sid FROM bw JOIN pd USING (rec, rec_date)),
 g AS (SELECT account, rec, max(equity) AS equity, sum(unused) AS residual, count(*) AS n_now FROM os GROUP BY ALL), h AS (SELECT rec, count(*) AS n_prev FROM pv GROUP BY rec),
 k AS (SELECT os.account, count(*) AS n_kept FROM os JOIN pv ON pv.rec = os.rec AND pv.sid = os.sid GROUP BY 1),

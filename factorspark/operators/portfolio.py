@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from factorspark.functions.scalars import FRICTION_BPS
 
@@ -14,6 +17,7 @@ BASE_MIX = {"risk_on": {"equities_br": 0.60, "cdi": 0.15, "global_usd": 0.15, "i
             "mean_rev": STATIC_MIX, "bear": {"equities_br": 0.20, "cdi": 0.50, "global_usd": 0.15, "inflation": 0.15}}
 TILT, ERP_LOW, ERP_HIGH, EQUITY_MIN, EQUITY_MAX = 0.10, 0.02, 0.08, 0.10, 0.70
 MIN_VOL, MAX_WEIGHT, MIN_WEIGHT = 0.10, 0.30, 0.05
+BOUND_STEPS = 50
 SIDE_COST = 10 / 10_000
 TAX_FREE_SALES = 20_000.0
 
@@ -37,29 +41,37 @@ def _total(xs: Column) -> Column:
     return F.aggregate(xs, F.lit(0.0), lambda a, x: a + x)
 
 
-def bounded_live(ws: Column, cap: float = MAX_WEIGHT, floor: float = MIN_WEIGHT, steps: int = 50) -> Column:
+@F.pandas_udf(T.ArrayType(T.DoubleType()))
+def _cap_floor(ws: pd.Series, cap: pd.Series, floor: pd.Series) -> pd.Series:
+    """Bounds each row's weights; the excess goes to the names below the cap in proportion."""
+    def one(w, cap, floor):
+        w = np.maximum(np.asarray(w, dtype=float), 0.0)
+        n = len(w)
+        if n == 0 or cap * n < 1.0 or floor * n > 1.0 or w.sum() <= 0:
+            return np.round(np.full(n, 1 / max(n, 1)), 6)
+        w = w / w.sum()
+        for _ in range(BOUND_STEPS):
+            w = np.maximum(w, floor)
+            free = w < cap
+            if not free.any():
+                w = np.full(n, 1 / n)
+                break
+            room = 1.0 - cap * (n - free.sum())
+            w = np.where(free, w / w[free].sum() * room, cap)
+            if ((w[free] >= floor - 1e-9) & (w[free] <= cap + 1e-9)).all():
+                break
+        return np.round(w / w.sum(), 6)
+
+    return pd.Series([one(w, c, f) for w, c, f in zip(ws, cap, floor)])
+
+
+def bounded_live(ws: Column, cap: float = MAX_WEIGHT, floor: float = MIN_WEIGHT) -> Column:
     """Cap and floor by redistribution among the names not at the cap; equal when infeasible.
 
-    ``ws``: the weights of one portfolio as an array (a handful of names).
+    ``ws``: the weights of one portfolio as an array (a handful of names). The redistribution is
+    iterative over the array, so it runs as an Arrow-batched function on portfolios, not on names.
     """
-    n = F.size(ws).cast("double")
-    equal = F.transform(ws, lambda _: 1 / n)
-    total = _total(F.transform(ws, lambda x: F.greatest(x, F.lit(0.0))))
-    start = F.transform(ws, lambda x: F.greatest(x, F.lit(0.0)) / total)
-
-    def step(s, _):
-        lifted = F.transform(s["w"], lambda x: F.greatest(x, F.lit(floor)))
-        free = F.filter(lifted, lambda x: x < cap)
-        left = 1.0 - cap * (F.size(lifted) - F.size(free))
-        scaled = F.transform(lifted, lambda x: F.when(x >= cap, F.lit(cap)).otherwise(x / _total(free) * left))
-        bad = F.exists(F.arrays_zip(lifted.alias("l"), scaled.alias("s")),
-                       lambda p: (p["l"] < cap) & ((p["s"] < floor - 1e-9) | (p["s"] > cap + 1e-9)))
-        moved = F.when(F.size(free) == 0, equal).otherwise(scaled)
-        return F.when(s["done"], s).otherwise(F.struct(moved.alias("w"), (~bad | (F.size(free) == 0)).alias("done")))
-
-    out = F.aggregate(F.sequence(F.lit(1), F.lit(steps)), F.struct(start.alias("w"), F.lit(False).alias("done")), step)["w"]
-    out = F.transform(out, lambda x: F.round(x / _total(out), 6))
-    return F.when((cap * n < 1.0) | (floor * n > 1.0) | (total <= 0), F.transform(equal, lambda x: F.round(x, 6))).otherwise(out)
+    return _cap_floor(ws, F.lit(cap), F.lit(floor))
 
 
 def bounded_study(ws: Column, lo: float = MIN_WEIGHT, hi: float = MAX_WEIGHT, steps: int = 20) -> Column:
