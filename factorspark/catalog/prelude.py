@@ -42,10 +42,10 @@ CTES: dict[str, str] = {
     "sessions": "SELECT date, row_number() OVER (ORDER BY date) AS sno FROM (SELECT DISTINCT date FROM trades)",
     "sbars": "SELECT b.*, s.sno FROM bars b JOIN sessions s USING (date)",
     "index_close": """
-        SELECT date, sno, close FROM (SELECT date, round(avg(close), 6) AS close FROM bars GROUP BY date)
+        SELECT date, sno, close FROM (SELECT date, round(avg(close), 9) AS close FROM bars GROUP BY date)
         JOIN sessions USING (date)""",
     "cdi": """
-        SELECT date, sno, cdi FROM (SELECT date, round(avg(tax) / 100, 8) AS cdi FROM trades GROUP BY date)
+        SELECT date, sno, cdi FROM (SELECT date, round(avg(tax) / 100, 12) AS cdi FROM trades GROUP BY date)
         JOIN sessions USING (date)""",
     "cash_events": """
         SELECT root, kind AS type, date AS last_date_prior, px * tax / 10 AS value,

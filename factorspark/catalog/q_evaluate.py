@@ -40,7 +40,7 @@ def with_returns(t):
     return holdings(t).withColumn("ret", F.when(ok, (F.col("price") + F.col("dividends")) / F.col("entry") - 1)).join(t.securities.select("sid", "sector"), "sid")
 
 
-@query("dividends_in_window", "rec:i rec_date:t sid:i dividends:6 jcp:6", EVAL_SQL + "SELECT * FROM h")
+@query("dividends_in_window", "rec:i rec_date:t sid:i dividends:9 jcp:9", EVAL_SQL + "SELECT * FROM h")
 def _(t):
     return holdings(t)
 
@@ -90,7 +90,7 @@ def _(t):
 
 WF_SQL = f"""
 WITH {BW}, mx AS (SELECT max(sno) AS m FROM sessions),
-en AS (SELECT rec * 100000 + year(rec_date) * 100 + month(rec_date) AS id, rec % 5 AS grp, rec, rec_date, (SELECT min(sno) FROM sessions s WHERE s.date >= rec_date) AS i0 FROM (SELECT DISTINCT rec, rec_date FROM bw)),
+en AS (SELECT rec * 1000000 + year(rec_date) * 100 + month(rec_date) AS id, rec % 5 AS grp, rec, rec_date, (SELECT min(sno) FROM sessions s WHERE s.date >= rec_date) AS i0 FROM (SELECT DISTINCT rec, rec_date FROM bw)),
 wi AS (SELECT en.*, h, i0 + h AS i1 FROM en, (VALUES (5), (20), (60)) v(h), mx WHERE i0 + h <= m),
 pr AS (SELECT wi.id, wi.grp, wi.h, wi.i0, wi.i1, bw.w, a.close AS p0, (SELECT arg_max(close, sno) FROM sbars b WHERE b.sid = bw.sid AND b.sno <= wi.i1) AS p1
   FROM wi JOIN bw USING (rec, rec_date) LEFT JOIN sbars a ON a.sid = bw.sid AND a.sno = wi.i0),
@@ -101,7 +101,7 @@ wf AS (SELECT po.*, b.close / a.close - 1 AS index_ret, b.c / a.c - 1 AS cdi_ret
 
 
 def wf(t):
-    b = basket_weights(t).withColumn("id", F.col("rec") * 100000 + F.year("rec_date") * 100 + F.month("rec_date"))
+    b = basket_weights(t).withColumn("id", F.col("rec") * 1000000 + F.year("rec_date") * 100 + F.month("rec_date"))
     runs = b.select("id", F.col("rec_date").cast("timestamp").alias("run_at")).distinct()
     entries = V.entry_session(runs, t.sessions).select(F.col("id").alias("rec"), "entry_sno")
     return E.walk_forward(entries, b.select(F.col("id").alias("rec"), "sid", "w"), t.sbars, t.sessions, t.index_close, t.cdi)
@@ -118,7 +118,7 @@ o AS (SELECT *, row_number() OVER (PARTITION BY grp, h ORDER BY i0) - 1 AS i, CA
 SELECT grp, h, count(*) AS n, avg(port) AS mean_return, quantile_cont(port, 0.5) AS median_return, avg(alpha) AS mean_alpha, avg(CASE WHEN alpha > 0 THEN 1.0 ELSE 0 END) AS hit_rate, count(*) / max(step) AS n_eff,
  count(*) FILTER (i % step = 0) AS n_own, avg(excess) FILTER (i % step = 0) / stddev_samp(excess) FILTER (i % step = 0) * sqrt(252 / h) AS sharpe FROM o GROUP BY grp, h""")
 def _(t):
-    p = wf(t).withColumn("grp", F.floor(F.col("rec") / 100000) % 5)
+    p = wf(t).withColumn("grp", F.floor(F.col("rec") / 1000000) % 5)
     p = p.groupBy("grp", "h", "entry_sno").agg(*[F.avg(c).alias(c) for c in ("port", "alpha", "excess")])
     return E.walk_forward_summary(p, ["grp"], "entry_sno")
 
@@ -157,7 +157,7 @@ def nav_points(t):
     return pts.withColumn("blended", blend)
 
 
-@query("nav_curve_points", "grp:i date:t rec_date:t port_ret:7 n_missing:i index_ret:7 cdi_ret:8 blended:7", NAV_SQL + "SELECT * FROM pts")
+@query("nav_curve_points", "grp:i date:t rec_date:t port_ret:7 n_missing:i index_ret:7 cdi_ret:12 blended:7", NAV_SQL + "SELECT * FROM pts")
 def _(t):
     return nav_points(t)
 

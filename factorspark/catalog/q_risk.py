@@ -11,9 +11,9 @@ from factorspark.session import cut_lineage
 
 def weekly(t):
     """Weekly log returns of all securities, so that common dates are dense, and the market's."""
-    b = t.bars.groupBy("sid", F.next_day("date", "Sun").alias("date")).agg(F.max_by("close", "date").alias("close"))
+    b = t.bars.groupBy("sid", F.date_add(F.trunc("date", "week"), 6).alias("date")).agg(F.max_by("close", "date").alias("close"))
     r = b.select("sid", "date", ts.returns("close", ts.by_row(), log=True).alias("r")).filter("r is not null")
-    ix = t.index_close.groupBy(F.next_day("date", "Sun").alias("date")).agg(F.max_by("close", "date").alias("close")).withColumn("sid", F.lit(0))
+    ix = t.index_close.groupBy(F.date_add(F.trunc("date", "week"), 6).alias("date")).agg(F.max_by("close", "date").alias("close")).withColumn("sid", F.lit(0))
     m = ix.select("date", ts.returns("close", ts.by_row(), log=True).alias("m")).filter("m is not null")
     return r, m
 

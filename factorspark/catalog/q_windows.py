@@ -163,7 +163,7 @@ def _(t):
     return r.select("sid", "date", ts.chain(F.col("r"), w).alias("nav"))
 
 
-@query("win_last_known_rate", "date:t rate:8", """
+@query("win_last_known_rate", "date:t rate:12", """
 SELECT date, last_value(c IGNORE NULLS) OVER (ORDER BY sno) AS rate FROM (SELECT date, sno, CASE WHEN sno % 5 <> 0 THEN cdi END AS c FROM cdi)""")
 def _(t):
     w = Window.partitionBy(F.lit(1)).orderBy("sno")
@@ -171,7 +171,7 @@ def _(t):
             .select("date", ts.ffill("c", w).alias("rate")))
 
 
-@query("join_calendar_left", "date:t ret:6 cdi:8", """
+@query("join_calendar_left", "date:t ret:6 cdi:12", """
 WITH i AS (SELECT date, sno, close / lag(close) OVER (ORDER BY sno) - 1 AS ret FROM index_close),
 c AS (SELECT date, cdi FROM cdi WHERE sno % 9 < 2),
 j AS (SELECT i.*, c.cdi FROM i LEFT JOIN c USING (date)),

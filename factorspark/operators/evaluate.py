@@ -137,7 +137,7 @@ def nav_summary(points: DataFrame, keys: list[str], order: str = "date") -> Data
     a = F.when(F.col("port_ret").isNotNull() & F.col("index_ret").isNotNull(), (F.col("port_ret") - F.col("index_ret")) * 100)
     g = lv.withColumn("_a", a).groupBy(*keys).agg(
         F.count("*").alias("n_obs"), *[F.max_by("_" + c, order).alias("cum_" + c) for c in ("port_ret", "index_ret", "cdi_ret")],
-        F.when(F.count("_a") >= MIN_NOISE_OBS, F.stddev_samp("_a")).otherwise(DEFAULT_NOISE_PP).alias("noise_pp"), F.max_by("_a", order).alias("last_alpha_pp"))
+        F.when(F.count("_a") >= MIN_NOISE_OBS, F.stddev_samp("_a")).otherwise(DEFAULT_NOISE_PP).alias("noise_pp"), F.max_by("_a", F.when(F.col("_a").isNotNull(), F.col(order))).alias("last_alpha_pp"))
     z = F.abs(F.col("last_alpha_pp")) / F.col("noise_pp")
     return (g.withColumn("alpha_index_pp", (F.col("cum_port_ret") - F.col("cum_index_ret")) * 100)
             .withColumn("alpha_cdi_pp", (F.col("cum_port_ret") - F.col("cum_cdi_ret")) * 100)

@@ -105,13 +105,13 @@ class Tables:
     @cached_property
     def index_close(self) -> DataFrame:
         """The benchmark: mean close of the securities traded in the session."""
-        return (self.bars.groupBy("date").agg(F.round(F.avg("close"), 6).alias("close"))
+        return (self.bars.groupBy("date").agg(F.round(F.avg("close"), 9).alias("close"))
                 .join(self.sessions, "date"))
 
     @cached_property
     def cdi(self) -> DataFrame:
         """Daily policy rate (decimal), from the mean tax rate of the day's prints."""
-        return (self.trades.groupBy("date").agg(F.round(F.avg("tax") / 100, 8).alias("cdi"))
+        return (self.trades.groupBy("date").agg(F.round(F.avg("tax") / 100, 12).alias("cdi"))
                 .join(self.sessions, "date"))
 
     @cached_property
