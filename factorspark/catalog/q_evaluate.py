@@ -40,7 +40,7 @@ def with_returns(t):
     return holdings(t).withColumn("ret", F.when(ok, (F.col("price") + F.col("dividends")) / F.col("entry") - 1)).join(t.securities.select("sid", "sector"), "sid")
 
 
-@query("dividends_in_window", "rec:i rec_date:t sid:i dividends:9 jcp:9", EVAL_SQL + "SELECT * FROM h")
+@query("dividends_in_window", "rec:i rec_date:t sid:i dividends:11 jcp:11", EVAL_SQL + "SELECT * FROM h")
 def _(t):
     return holdings(t)
 

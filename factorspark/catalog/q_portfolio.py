@@ -266,7 +266,7 @@ def _(t):
     return orders(t)[0]
 
 
-@query("order_summary", "account:i residual:5 exits:i entries:i sales:5 tax:s", ORDER_SQL + """
+@query("order_summary", "account:i residual:7 exits:i entries:i sales:5 tax:s", ORDER_SQL + """
 pd AS (SELECT bw.rec, max(bw.rec_date) AS rec_date FROM bw JOIN rc ON rc.rec = bw.rec AND bw.rec_date < rc.rec_date GROUP BY bw.rec), pv AS (SELECT rec, sid FROM bw JOIN pd USING (rec, rec_date)),
 g AS (SELECT account, rec, max(equity) AS equity, sum(unused) AS residual, count(*) AS n_now FROM os GROUP BY ALL), h AS (SELECT rec, count(*) AS n_prev FROM pv GROUP BY rec),
 k AS (SELECT os.account, count(*) AS n_kept FROM os JOIN pv ON pv.rec = os.rec AND pv.sid = os.sid GROUP BY 1),

@@ -22,7 +22,7 @@ PERIOD = 14
 def tick_stream(spark: SparkSession, path: str, pattern: str, schema) -> DataFrame:
     """Ticks from parquet files as they arrive."""
     raw = spark.readStream.schema(schema).option("pathGlobFilter", pattern).parquet(path)
-    return raw.select(F.col("user_id").alias("sid"), "ts", "event_id", F.col("value").alias("px"), "event_type")
+    return raw.select(F.col("user_id").alias("sid"), F.col("ts").cast("timestamp").alias("ts"), "event_id", F.col("value").alias("px"), "event_type")
 
 
 def daily_bars(ticks: DataFrame, late: str = "2 days") -> DataFrame:
