@@ -260,3 +260,11 @@ TOP_SQL = TOP_SQL.replace("WITH reb", "WITH RECURSIVE reb", 1)
 @query("top_portfolios", "leg:s t:t n:i gross:4 net:4 turnover:5", TOP_SQL + "SELECT * FROM pf")
 def _(t):
     return top_portfolio(t, N.composite(pillars(t)).select("t", "sid", "score"))
+
+
+@query("score_fn", "leg:s t:t n:i gross:4 net:4 turnover:5", MV_SQL + "," + sql_portfolio(QUINT_W.format(src="(SELECT mv.*, p.fwd FROM mv JOIN panel p USING (t, sid))")) + " SELECT * FROM pf")
+def _(t):
+    # any function of the panel that returns (t, sid, score) plugs into the portfolios
+    p = panel(t)
+    scores = p.transform(N.mom_value)
+    return W.rebalanced_returns(N.quintile_legs(scores, p, []), N.costs(p), ["leg"])

@@ -276,3 +276,15 @@ SELECT *, CASE WHEN sales <= 0 THEN 'none' WHEN sales < 20000 THEN 'exempt' ELSE
 def _(t):
     o, prev = orders(t)
     return W.order_summary(o, prev)
+
+
+@query("target_fn", "i:i nav:4", "WITH RECURSIVE " + SLEEVES_SQL.strip() + """,
+sim AS (SELECT CAST(0 AS BIGINT) AS i, CAST(100 AS DOUBLE) AS nav, CAST(49.95 AS DOUBLE) AS e, CAST(49.95 AS DOUBLE) AS c UNION ALL
+  SELECT i, nav, CASE WHEN rb THEN 0.5 * nav * (1 - (abs(0.5 - e / nav) + abs(0.5 - c / nav)) * 0.001) ELSE e END, CASE WHEN rb THEN 0.5 * nav * (1 - (abs(0.5 - e / nav) + abs(0.5 - c / nav)) * 0.001) ELSE c END FROM (
+    SELECT sl.i, sl.i % 63 = 0 AS rb, e * (1 + coalesce(sl.eq, 0)) + c * (1 + sl.cdi) AS nav, e * (1 + coalesce(sl.eq, 0)) AS e, c * (1 + sl.cdi) AS c FROM sim s JOIN sl ON sl.i = s.i + 1))
+SELECT i, nav FROM sim""")
+def _(t):
+    # a target rule is any frame of (variant, i, sleeve, w): here equal parts of shares and cash each quarter
+    days = t.sessions.select((F.col("sno") - 1).alias("i")).filter("i % 63 = 0").withColumn("mix", F.lit("half"))
+    rule = W.mix_to_rows(days, {"equities_br": F.lit(0.5), "cdi": F.lit(0.5)})
+    return W.drift_nav(sleeve_returns(t).withColumn("mix", F.lit("half")), rule, ["mix"], k=63)

@@ -7,7 +7,7 @@ from factorspark.catalog.registry import query
 from factorspark.operators import events as E
 from factorspark.operators import live as L
 from factorspark.operators import scoring as S
-from factorspark.operators import timeseries as ts
+from factorspark.operators import xsection as X
 
 KEYS = ["k"]
 
@@ -96,11 +96,11 @@ def _(t):
 
 
 @query("sort_by_score", "position:i sid:i total_score:2", TOTAL_SQL + """
-SELECT row_number() OVER (ORDER BY total_score DESC, sid) AS position, sid, total_score FROM tot ORDER BY total_score DESC, sid LIMIT 50""")
+SELECT row_number() OVER (ORDER BY total_score DESC, sid) AS position, sid, total_score FROM tot""")
 def _(t):
-    top = scored(t)[0].orderBy(F.col("total_score").desc(), "sid").limit(50)
-    from pyspark.sql import Window
-    return top.withColumn("position", F.row_number().over(Window.orderBy(F.col("total_score").desc(), "sid")))
+    # the position of every security, without sorting the cross-section in one task
+    s = scored(t)[0].withColumn("down", -F.col("total_score"))
+    return X.with_first_rank(s, KEYS, "down", "sid", "position").orderBy("position")
 
 
 @query("win_dominant_method", "sid:i method:s", FUND_SQL + """

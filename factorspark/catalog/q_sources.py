@@ -94,13 +94,13 @@ def _(t):
 
 
 @query("scan_corporate_events_json", "root:s kind:s last_date_prior:t value:6 label:s", """
-SELECT root, 'cash' AS kind, date AS last_date_prior, round(px, 2) / CASE WHEN line = 1 THEN 1000 ELSE 1 END AS value, 'DIVIDENDO' AS label FROM trades JOIN securities USING (sid) WHERE flag = 'R' AND disc <= 0.01 AND line <= 2
+SELECT root, 'cash' AS kind, date AS last_date_prior, value / CASE WHEN line = 1 THEN 1000 ELSE 1 END AS value, 'DIVIDENDO' AS label FROM trades JOIN securities USING (sid) WHERE flag = 'R' AND disc <= 0.01 AND line <= 2
 UNION ALL SELECT DISTINCT root, 'stock', date, CASE WHEN line = 3 THEN 1 + qty / 100 ELSE qty END, CASE WHEN line = 3 THEN 'DESDOBRAMENTO' ELSE 'GRUPAMENTO' END FROM trades JOIN securities USING (sid) WHERE flag = 'A' AND disc <= 0.01 AND line IN (3, 4) AND NOT (line = 4 AND qty = 1)""")
 def _(t):
     path = shared_dir(t.spark, "events")
     tr = t.trades.join(t.securities.select("sid", "root"), "sid").filter("disc <= 0.01")
     day = F.date_format("date", "dd/MM/yyyy")
-    price = F.translate(F.format_number(F.round("px", 2), 2), ",.", ".,")
+    price = F.translate(F.format_number("value", 2), ",.", ".,")
     cash = F.struct(F.lit(" on ").alias("typeStock"), day.alias("lastDatePriorEx"), price.alias("valueCash"), F.when(F.col("line") == 1, "1.000").alias("quotedPerShares"), F.lit("DIVIDENDO").alias("corporateAction"))
     stock = F.struct(F.when(F.col("line") == 3, "DESDOBRAMENTO").when(F.col("line") == 4, "GRUPAMENTO").otherwise("INCORPORACAO").alias("label"),
                      F.translate(F.format_number("qty", 2), ",.", ".,").alias("factor"), F.lit("BR").alias("isinCode"), day.alias("lastDatePrior"))
@@ -150,13 +150,10 @@ def _(t):
     return S.changed_snapshots(m, "index_name", "b3_date", "ticker", "qty")
 
 
-@query("long_from_multiindex", "sid:s date:t close:8", "SELECT CAST(sid AS VARCHAR) AS sid, date, close FROM bars WHERE sid IN (SELECT sid FROM bars GROUP BY sid ORDER BY sid LIMIT 20)")
+@query("long_from_multiindex", "sid:i date:t field:s value:8", """
+SELECT sid, date, unnest(['open', 'high', 'low', 'close']) AS field, unnest([open, high, low, close]) AS value FROM bars""")
 def _(t):
-    # the wide display table of the first securities, back to rows
-    few = t.bars.select("sid").distinct().orderBy("sid").limit(20)
-    ids = [r.sid for r in few.collect()]
-    wide = t.bars.join(few, "sid", "left_semi").groupBy("date").pivot("sid", ids).agg(F.max("close"))
-    return R.long_from_wide(wide, "date")
+    return R.long_from_wide(t.bars.select("sid", "date", "open", "high", "low", "close"), ["sid", "date"])
 
 
 @query("sink_price_snapshot", "sid:i close:8 date:t", "SELECT sid, arg_max(close, date) AS close, max(date) AS date FROM bars WHERE trades < 3 GROUP BY sid")
@@ -179,7 +176,7 @@ p AS (SELECT *, row_number() OVER (PARTITION BY t ORDER BY score DESC, sid) AS p
 """
 
 
-@query("sink_recommendation", "t:t position:i ticker:s score:2 w:4 liquidity:2", REC_SQL + "SELECT CAST(t AS DATE) AS t, position, ticker, score, 0.2 AS w, score / 2 AS liquidity FROM p")
+@query("sink_recommendation", "t:t position:i ticker:s score:2 w:4 liquidity:4", REC_SQL + "SELECT CAST(t AS DATE) AS t, position, ticker, score, 0.2 AS w, score / 2 AS liquidity FROM p")
 def _(t):
     from factorspark.operators.selection import top_n
 

@@ -27,7 +27,7 @@ mc AS (
   SELECT sid, i, f, w, sg + 0.2 * (f - w - sg), (f - w) - (sg + 0.2 * (f - w - sg)) FROM (
     SELECT mc.sid, r.i, mc.f + 2.0 / 13 * (r.close - mc.f) AS f, mc.w + 2.0 / 27 * (r.close - mc.w) AS w, mc.sg
     FROM mc JOIN r ON r.sid = mc.sid AND r.i = mc.i + 1)),
-ml AS (SELECT sid, arg_max(f - w, i) AS macd_line, arg_max(sg, i) AS macd_signal, arg_max(h, i) AS h,
+ml AS (SELECT sid, arg_max(f, i) AS ema_fast, arg_max(w, i) AS ema_slow, arg_max(f - w, i) AS macd_line, arg_max(sg, i) AS macd_signal, arg_max(h, i) AS h,
        arg_max(h, i) FILTER (i < n) AS ph FROM mc JOIN (SELECT DISTINCT sid, n FROM r) USING (sid) GROUP BY sid),
 g AS (
   SELECT sid, max(n) AS n, max(close) FILTER (j = 1) AS price, max(close) FILTER (j = 2) AS price_prev, max(open) FILTER (j = 1) AS last_open,
@@ -37,7 +37,7 @@ g AS (
     max(close) FILTER (j <= 252) AS high_52w, min(close) FILTER (j <= 252) AS low_52w FROM rj GROUP BY sid),
 x AS (
   SELECT g.*, atr, CASE WHEN l = 0 THEN CASE WHEN wlast.g > 0 THEN 100 ELSE 50 END ELSE 100 - 100 / (1 + wlast.g / l) END AS rsi,
-    macd_line, macd_signal, h AS macd_hist, macd_line > macd_signal AS macd_above,
+    ema_fast, ema_slow, macd_line, macd_signal, h AS macd_hist, macd_line > macd_signal AS macd_above,
     CASE WHEN ph < 0 AND h >= 0 THEN 'bullish' WHEN ph > 0 AND h <= 0 THEN 'bearish' END AS macd_cross,
     greatest(-0.2, least(1.2, (price - (ma20 - 2 * sd)) / (4 * sd))) AS bb_position, 4 * sd / ma20 AS bb_width,
     price / price_prev - 1 AS change_1d, price / high_52w - 1 AS from_high, price / low_52w - 1 AS from_low,
@@ -64,6 +64,7 @@ _PICK = {
     "win_sma": "sid:i ma20:5 ma50:5 ma200:5",
     "win_bollinger": "sid:i bb_position:6 bb_width:6",
     "win_macd": "sid:i macd_line:5 macd_signal:5 macd_hist:5 macd_cross:s macd_above:b",
+    "win_ema": "sid:i ema_fast:5 ema_slow:5",
     "win_wilder_rsi": "sid:i rsi:6",
     "win_wilder_atr": "sid:i atr:5",
     "win_52w": "sid:i high_52w:8 low_52w:8 from_high:6 from_low:6 near_high:b near_low:b",

@@ -79,7 +79,8 @@ def technical_panel(bars: DataFrame, key: str = "sid") -> DataFrame:
     line = F.col("macd.f") - F.col("macd.w")
     h, ph = F.col("macd.h"), F.col("macd.ph")
     out = (agg.withColumn("change_1d", (price - F.col("price_prev")) / F.col("price_prev"))
-           .withColumn("rsi", rsi).withColumn("macd_line", line).withColumn("macd_signal", F.col("macd.g"))
+           .withColumn("rsi", rsi).withColumn("ema_fast", F.col("macd.f")).withColumn("ema_slow", F.col("macd.w"))
+           .withColumn("macd_line", line).withColumn("macd_signal", F.col("macd.g"))
            .withColumn("macd_hist", h)
            .withColumn("macd_cross", F.when((ph < 0) & (h >= 0), "bullish").when((ph > 0) & (h <= 0), "bearish"))
            .withColumn("macd_above", F.coalesce(line > F.col("macd.g"), F.lit(False)))

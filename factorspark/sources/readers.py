@@ -139,6 +139,6 @@ def read_recommendations(spark: SparkSession, path: str, mode: str) -> DataFrame
     return spark.read.schema(RECOMMENDATION_SCHEMA).json(path).filter(F.col("mode") == mode)
 
 
-def long_from_wide(wide: DataFrame, key: str, name: str = "sid", value: str = "close") -> DataFrame:
-    """Wide table (one column per security) to rows."""
-    return wide.unpivot([key], [c for c in wide.columns if c != key], name, value).filter(F.col(value).isNotNull())
+def long_from_wide(wide: DataFrame, keys: list[str], name: str = "field", value: str = "value") -> DataFrame:
+    """Wide table (one column per field or security) to rows without its empty cells."""
+    return wide.unpivot(keys, [c for c in wide.columns if c not in keys], name, value).filter(F.col(value).isNotNull())
