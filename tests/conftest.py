@@ -1,3 +1,4 @@
+import re
 import sys
 from pathlib import Path
 
@@ -20,7 +21,7 @@ def frame(spark):
     from pyspark.sql import functions as F
 
     def make(schema, rows):
-        plain = schema.replace(" date", " string")
+        plain = re.sub(r" date(?=,|$)", " string", schema)
         df = spark.createDataFrame(rows, plain)
         dates = [p.strip().split(" ")[0] for p in schema.split(",") if p.strip().endswith(" date")]
         for d in dates:

@@ -12,7 +12,7 @@ BARS = "sid string, ticker string, date date, spec string, open double, close do
 
 def bars(frame, closes, start="2020-01-01", sid="AAAA3", spec="ON NM"):
     days = [(dt.date.fromisoformat(start) + dt.timedelta(i)).isoformat() for i in range(len(closes))]
-    return frame(BARS, [(sid, sid, d, spec, c, c, 1e7, 10, "BR" + sid) for d, c in zip(days, closes)])
+    return frame(BARS, [(sid, sid, d, spec, float(c), float(c), 1e7, 10, "BR" + sid) for d, c in zip(days, closes)])
 
 
 def test_fixed_width_line(spark):
