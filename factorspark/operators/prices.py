@@ -89,14 +89,14 @@ def split_passes(bars: DataFrame, cash: DataFrame, stock: DataFrame) -> DataFram
 
     fresh = (F.col("prev_marker").isNull() | (F.col("marker") != F.col("prev_marker"))) & F.substring("marker", 2, 3).rlike("[BGX]")
     df = (df.withColumn("try2", fresh & ~_near("m1", w) & raw.isNotNull())
-            .withColumn("n2", nearest_ratio(raw, COMMON_RATIOS + BONUS_RATIOS)))
+            .withColumn("n2", F.when(F.col("try2"), nearest_ratio(raw, COMMON_RATIOS + BONUS_RATIOS))))
     ok2 = (F.col("n2.gap") < F.abs(F.log(raw)) - 0.02) & (F.col("n2.gap") <= 0.05)
-    df = df.withColumn("ok2", F.col("try2") & ok2).withColumn(
+    df = df.withColumn("ok2", F.col("try2") & F.coalesce(ok2, F.lit(False))).withColumn(
         "m2", F.col("m1") * F.when(F.col("ok2"), F.col("n2.ratio")).otherwise(1.0))
 
     df = (df.withColumn("try3", ((raw < JUMP_LOW) | (raw > JUMP_HIGH)) & ~_near("m2", w) & raw.isNotNull())
-            .withColumn("n3", nearest_ratio(raw, COMMON_RATIOS)))
-    df = df.withColumn("ok3", F.col("try3") & (F.col("n3.gap") <= JUMP_TOLERANCE)).withColumn(
+            .withColumn("n3", F.when(F.col("try3"), nearest_ratio(raw, COMMON_RATIOS))))
+    df = df.withColumn("ok3", F.col("try3") & F.coalesce(F.col("n3.gap") <= JUMP_TOLERANCE, F.lit(False))).withColumn(
         "split_mult", F.col("m2") * F.when(F.col("ok3"), F.col("n3.ratio")).otherwise(1.0))
     return df
 
@@ -209,8 +209,8 @@ def chain_roots(tickers: DataFrame, edges: DataFrame) -> DataFrame:
     """Stable id: the first ticker of the rename chain of each ticker.
 
     Pointer jumping: every round doubles the distance a ticker looks back, so a chain of length L
-    needs log2(L) joins instead of L. Each round is written to the checkpoint folder, because the
-    next one reads it twice. Members of a cycle keep their own name.
+    needs log2(L) joins instead of L. Each round is written to the shared folder, because the next
+    one reads it twice. Members of a cycle keep their own name.
     """
     hop = edges.select(F.col("new").alias("ticker"), F.col("old").alias("root"))
     hop = cut_lineage(hop)

@@ -103,7 +103,7 @@ def with_mad(r: DataFrame, keys: list[str], value: str) -> DataFrame:
     """Adds ``med`` and the scaled ``mad`` of each key to its ranked histogram.
 
     The ranked histogram feeds its own medians and every later statistic, so it is written to the
-    checkpoint folder once instead of being recomputed per reader; so is the result.
+    shared folder once instead of being recomputed per reader; so is the result.
     """
     r = cut_lineage(r)
     r = r.join(quantiles_of(r, keys, value, {"med": 0.5}), keys).withColumn("_dev", F.abs(F.col(value) - F.col("med")))

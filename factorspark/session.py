@@ -28,7 +28,6 @@ def local_session(cpus: int = 8, app: str = "factorspark", memory: str = "12g")
         builder.config("spark.sql.shuffle.partitions", str(cpus))
         .config("spark.driver.memory", memory)
         .config("spark.sql.ansi.enabled", "false")
-        .config("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
     )
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
@@ -48,8 +47,12 @@ def shared_dir(spark: SparkSession, label: str) -> str:
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint, for frames that several branches of one plan read again."""
-    spark = df.sparkSession
-    if not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
-        spark.sparkContext.setCheckpointDir(shared_dir(spark, "checkpoint"))
-    return df.checkpoint(eager=True)
+    """Writes a frame to the shared folder and reads it back.
+
+    For frames that several branches of one plan read again: the work is done once, survives the
+    loss of executors, and the known size lets the planner choose joins. The folder lies below
+    ``spark.checkpoint.dir`` and is the cluster's to clean.
+    """
+    path = shared_dir(df.sparkSession, "table")
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
