@@ -133,9 +133,9 @@ def signals(t, panel=None):
 IC_SQL = SIG_SQL + "," + sql_ic("sig", "factor, neutral, t")
 
 
-@query("join_cross_variants", "factor:s neutral:b t:t sid:i x:9", SIG_SQL + "SELECT * FROM sig")
+@query("join_cross_variants", "factor:s neutral:b t:t sid:i x:10", SIG_SQL + "SELECT * REPLACE (CASE WHEN neutral THEN x ELSE round(x, 5) END AS x) FROM sig")
 def _(t):
-    return signals(t)
+    return signals(t).withColumn("x", F.when(F.col("neutral"), F.col("x")).otherwise(F.round("x", 5)))
 
 
 @query("agg_rank_ic", "factor:s neutral:b t:t n:i ic:6", IC_SQL + " SELECT * FROM ics")
