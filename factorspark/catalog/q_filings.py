@@ -4,7 +4,6 @@ from pyspark.sql import functions as F
 
 from factorspark.catalog.registry import query
 from factorspark.operators import filings as G
-from factorspark.operators import prices as P
 from factorspark.operators import timeseries as ts
 
 NORM = "lower(strip_accents(ds))"

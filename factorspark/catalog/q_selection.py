@@ -4,7 +4,6 @@ from pyspark.sql import functions as F
 
 from factorspark.catalog.registry import query
 from factorspark.operators import selection as L
-from factorspark.operators import xsection as X
 
 SCORED_SQL = """
 WITH sc AS (SELECT date_trunc('month', date) AS t, sid, root AS company, sector, CASE WHEN sid % 11 = 0 THEN '' ELSE subsector END AS subsector, theme,

@@ -326,5 +326,4 @@ def fix_rate(series: DataFrame, value: str, keys: list[str], lo: float = 0.00005
     other = F.when(first_is_yearly, m_daily).otherwise(m_yearly)
     switch = ~chosen.between(lo, hi) & other.between(lo, hi)
     use_yearly = first_is_yearly != switch
-    out = series.join(med, keys) if keys else series.crossJoin(F.broadcast(med))
-    return out.withColumn("daily", F.when(use_yearly, yearly).otherwise(daily)).drop("_m")
+    return series.join(med, keys).withColumn("daily", F.when(use_yearly, yearly).otherwise(daily)).drop("_m")
