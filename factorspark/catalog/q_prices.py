@@ -327,8 +327,8 @@ WITH s AS (SELECT sid, date, CASE WHEN sid % 3 = 0 THEN ln(px) / 200 WHEN sid %
            FROM (SELECT sid, date, close AS px FROM bars)),
 m AS (SELECT sid, quantile_cont(rate, 0.5) AS med FROM s GROUP BY sid),
 c AS (SELECT sid, med, med > 1 AS yearly, med / 100 AS d, pow(1 + med / 100, 1.0 / 252) - 1 AS y FROM m),
-u AS (SELECT sid, yearly <> (NOT (CASE WHEN yearly THEN y ELSE d END BETWEEN 0.00005 AND 0.0015)
-                            AND (CASE WHEN yearly THEN d ELSE y END BETWEEN 0.00005 AND 0.0015)) AS use_yearly FROM c)
+u AS (SELECT sid, yearly <> (NOT (CASE WHEN yearly THEN y ELSE d END BETWEEN 0.00005 AND 0.002)
+                            AND (CASE WHEN yearly THEN d ELSE y END BETWEEN 0.00005 AND 0.002)) AS use_yearly FROM c)
 SELECT s.sid, date, CASE WHEN use_yearly THEN pow(1 + rate / 100, 1.0 / 252) - 1 ELSE rate / 100 END AS daily FROM s JOIN u USING (sid)""")
 def _(t):
     level = F.log("close")

@@ -310,7 +310,7 @@ def clean_bars(df: DataFrame, now: Column, settled: str = "18:30", opened: str =
             .withColumn("intraday", F.col("_last") & (F.col("_bad") | open_now)).drop("_last", "_bad"))
 
 
-def fix_rate(series: DataFrame, value: str, keys: list[str], lo: float = 0.00005, hi: float = 0.0015) -> DataFrame:
+def fix_rate(series: DataFrame, value: str, keys: list[str], lo: float = 0.00005, hi: float = 0.002) -> DataFrame:
     """Policy rate in unknown unit to a daily decimal, judged by the median of the whole series.
 
     Above 1 the series is a yearly percentage; a median outside the plausible band switches to the

@@ -16,7 +16,8 @@ MOMENTUM = {"alpha_3m": (0.30, 1), "alpha_12m": (0.30, 1), "analyst_score": (0.1
             "pead_signal": (0.10, 1)}
 QUALITY = {"volatility": (0.40, -1), "beta": (0.35, -1), "adv": (0.25, 1)}
 PILLARS = {"fundamental": 0.45, "momentum": 0.30, "quality": 0.25}
-REGIME_PILLARS = {"mean_rev": PILLARS, "risk_on": {"fundamental": 0.35, "momentum": 0.45, "quality": 0.20},
+REGIME_PILLARS = {"risk_on": {"fundamental": 0.30, "momentum": 0.50, "quality": 0.20},
+                  "mean_rev": {"fundamental": 0.50, "momentum": 0.20, "quality": 0.30},
                   "bear": {"fundamental": 0.30, "momentum": 0.10, "quality": 0.60}}
 FCF_PAYOUT_LIMIT, EY_PAYOUT_LIMIT = 1.2, 1.5
 CONVICTION_HIGH, CONVICTION_MEDIUM = 0.66, 0.40
