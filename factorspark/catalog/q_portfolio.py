@@ -66,7 +66,7 @@ it AS (SELECT * FROM w0 UNION ALL
 SELECT t, sid, round(w / sum(w) OVER (PARTITION BY t), 6) AS w FROM it WHERE it = 50"""
 
 
-@query("inverse_vol_weights", "t:t sid:i w:5", IV_SQL)
+@query("inverse_vol_weights", "t:t sid:i w:6", IV_SQL)
 def _(t):
     top = L.top_n(QS.monthly_scores(t), ["t"], "score", 5)
     vol = F.when(F.col("sid") % 5 != 0, (F.col("sid") * 73 % 89) / 200 + 0.02)

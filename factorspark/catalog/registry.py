@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from factorspark.catalog.prelude import with_prelude
+from factorspark.session import prepare
 from factorspark.sources.derived import Tables
 
 # Output types: (Spark type, SQL type). A digit means a double rounded to that many places.
@@ -25,7 +26,7 @@ class Query:
     sql: str | None
 
     def run(self, spark: SparkSession, root: str) -> DataFrame:
-        df = self.build(Tables(spark, root))
+        df = self.build(Tables(prepare(spark), root))
         cols = []
         for name, kind in self.columns:
             c = F.col(name)

@@ -34,6 +34,17 @@ def local_session(cpus: int = 8, app: str = "factorspark", memory: str = "12g")
     return spark
 
 
+def prepare(spark: SparkSession) -> SparkSession:
+    """Sets the SQL semantics the plans rely on in a session made elsewhere.
+
+    A division by zero or an unparsable text is a missing value here, as in the data sources, and
+    times are read as UTC. Sizes, shuffles and memory stay as the session has them.
+    """
+    spark.conf.set("spark.sql.ansi.enabled", "false")
+    spark.conf.set("spark.sql.session.timeZone", "UTC")
+    return spark
+
+
 def shared_dir(spark: SparkSession, label: str) -> str:
     """A fresh folder every executor can reach.
 

@@ -30,4 +30,4 @@ def test_query(spark, name):
 
 
 def test_entry(spark):
-    assert entry(spark).schema.names == ["leg", "t", "n", "gross", "cost", "net", "turnover"]
+    assert entry(spark).schema.names == ["leg", "t", "n", "gross", "net", "turnover"]
