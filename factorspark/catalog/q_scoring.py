@@ -151,19 +151,19 @@ def _(t):
 
 
 @query("set_diff", "sid:i side:s", """
-WITH a AS (SELECT DISTINCT sid, date_trunc('month', date) AS m FROM bars WHERE trades > 2), p AS (SELECT DISTINCT sid FROM a WHERE m = DATE '2000-01-01'), c AS (SELECT DISTINCT sid FROM a WHERE m = DATE '2000-02-01')
+WITH a AS (SELECT DISTINCT sid, date_trunc('month', date) AS m FROM bars WHERE trades > 1), p AS (SELECT DISTINCT sid FROM a WHERE m = DATE '2000-01-01'), c AS (SELECT DISTINCT sid FROM a WHERE m = DATE '2000-02-01')
 SELECT sid, 'exit' AS side FROM (SELECT sid FROM p EXCEPT SELECT sid FROM c) UNION ALL SELECT sid, 'entry' FROM (SELECT sid FROM c EXCEPT SELECT sid FROM p)""")
 def _(t):
     return E.rotation(*_months(t))
 
 
 def _months(t):
-    a = t.bars.filter("trades > 2").select("sid", F.trunc("date", "month").alias("m"))
+    a = t.bars.filter("trades > 1").select("sid", F.trunc("date", "month").alias("m"))
     return a.filter("m = '2000-01-01'").select("sid").distinct(), a.filter("m = '2000-02-01'").select("sid").distinct()
 
 
 @query("set_intersect", "sid:i", """
-WITH a AS (SELECT DISTINCT sid, date_trunc('month', date) AS m FROM bars WHERE trades > 2) SELECT sid FROM a WHERE m = DATE '2000-01-01' INTERSECT SELECT sid FROM a WHERE m = DATE '2000-02-01'""")
+WITH a AS (SELECT DISTINCT sid, date_trunc('month', date) AS m FROM bars WHERE trades > 1) SELECT sid FROM a WHERE m = DATE '2000-01-01' INTERSECT SELECT sid FROM a WHERE m = DATE '2000-02-01'""")
 def _(t):
     p, c = _months(t)
     return p.intersect(c)
