@@ -1,7 +1,7 @@
 """Substring deduplication with prefix-partitioned suffix trees.
 
 A suffix is a document's text from one of its words on. Suffixes are dealt to groups by a prefix of variable length: the shortest
-of 1, 3, 8 or all words of a window whose count in the corpus fits into memory. All suffixes with a common window are in one group. A
+of 1, 3, 8 or all words of a window whose count in the corpus leaves room for others in memory. All suffixes with a common window are in one group. A
 group's suffixes, in order, are its subtree; a node at the depth of a whole window with two suffixes below it is a repeat. Every suffix
 but the earliest below such a node starts a window that stands earlier in the corpus. Deeper nodes add nothing to these
 starts: a longer repeat is the chain of the nodes that its successive words reach, so maximal repeats are the runs of starts.
@@ -25,7 +25,7 @@ from factorspark.llm.common import as_bytes, mixed, ship, steps
 
 WINDOW = 20
 #: Prefix lengths before the whole window; suffixes that one group holds in memory; groups at most (then they grow).
-LENGTHS, GROUP, MOST_GROUPS = (1, 3, 8), 2_000_000, 100_000
+LENGTHS, GROUP, MOST_GROUPS = (1, 3, 8), 4_000_000, 100_000
 #: Bytes of text whose windows are packed together.
 PACK = 8 << 20
 #: Bytes of text for a word, on the low side, to foresee the number of suffixes.
@@ -47,7 +47,7 @@ def prefixes(sym: np.ndarray, counts: np.ndarray, window: int, lengths: tuple[in
     """Text and start of every window, and the hashes of its prefixes of the given lengths, the last one the whole window's."""
     n = len(sym) - window + 1
     first = np.cumsum(counts) - counts
-    text = np.repeat(np.arange(len(counts)), counts)
+    text = np.repeat(np.arange(len(counts), dtype=np.int32), counts)
     start = np.arange(len(sym)) - first[text]
     valid = np.flatnonzero(start + window <= counts[text])
     rolled, out = np.zeros(max(0, n), np.uint64), []
@@ -88,22 +88,26 @@ def frequent(texts: DataFrame, window: int, share: float, bound: int) -> dict[in
     return {x: np.sort(np.array([r["value"] for r in found if r["length"] == x], np.int64).view(np.uint64)) for x in lengths}
 
 
-def _split32(x: np.ndarray) -> bytes:
-    """Low halves, then high halves: the latter are mostly zero and compress well."""
-    x = x.astype("<u4")
-    return (x & 0xFFFF).astype("<u2").tobytes() + (x >> 16).astype("<u2").tobytes()
+def _small(values: np.ndarray) -> tuple[bytes, bytes]:
+    """A byte for each value; 255 stands for one that does not fit and follows among the far ones."""
+    far = (values < 0) | (values >= 255)
+    return np.where(far, 255, values).astype(np.uint8).tobytes(), values[far].astype("<i8").tobytes()
 
 
-def _join32(data: bytes) -> np.ndarray:
-    halves = np.frombuffer(data, "<u2").reshape(2, -1).astype(np.int64)
-    return halves[0] | halves[1] << 16
+def _values(small: bytes, far: bytes) -> np.ndarray:
+    out = np.frombuffer(small, np.uint8).astype(np.int64)
+    out[out == 255] = np.frombuffer(far, "<i8")
+    return out
 
 
-_PACKED = ["group", "known", "hashes", "docs", "keys", "runs", "starts"]
+_PACKED = {"group": pa.int32(), "known": pa.bool_(), "hashes": pa.binary(), "docs": pa.binary(), "far_docs": pa.binary(), "keys": pa.binary(), "runs": pa.binary(), "far_runs": pa.binary(), "starts": pa.binary(), "far_starts": pa.binary()}
+
+
+_SCHEMA = "group int, known boolean, hashes binary, docs binary, far_docs binary, keys binary, runs binary, far_runs binary, starts binary, far_starts binary"
 
 
 def _packs(group: np.ndarray, known: bool, hashes: np.ndarray | None, text: np.ndarray, start: np.ndarray, doc: np.ndarray, key: np.ndarray) -> pa.RecordBatch:
-    """One row for each group: suffixes in the order of documents, with run lengths of the documents."""
+    """One row for each group: suffixes in the order of documents, as a run for each document and steps between its starts."""
     order = np.argsort(group, kind="stable")
     cuts = np.flatnonzero(np.diff(group[order])) + 1
     rows: list[tuple] = []
@@ -111,10 +115,21 @@ def _packs(group: np.ndarray, known: bool, hashes: np.ndarray | None, text: np.n
         t = text[part]
         edge = np.flatnonzero(np.diff(t, prepend=-1))
         which = t[edge]
-        rows.append((int(group[part[0]]), known, b"" if hashes is None else hashes[part].tobytes(), doc[which].tobytes(), key[which].tobytes(),
-                     np.diff(np.append(edge, len(t))).astype("<u4").tobytes(), _split32(start[part])))
-    kinds = [pa.int32(), pa.bool_(), *[pa.binary()] * 5]
-    return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], kind) for i, kind in enumerate(kinds)], _PACKED)
+        step = np.diff(start[part], prepend=0)
+        step[edge] = start[part][edge]
+        rows.append((int(group[part[0]]), known, b"" if hashes is None else hashes[part].tobytes(), *_small(np.diff(doc[which], prepend=0)), key[which].tobytes(),
+                     *_small(np.diff(np.append(edge, len(t)))), *_small(step)))
+    return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], kind) for i, kind in enumerate(_PACKED.values())], list(_PACKED))
+
+
+def _unpack(row: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Documents and keys of the runs, and the run and start of each suffix."""
+    runs = _values(row["runs"], row["far_runs"])
+    steps_ = _values(row["starts"], row["far_starts"])
+    first = np.cumsum(runs) - runs
+    total = np.cumsum(steps_)
+    start = total - np.repeat(total[first] - steps_[first], runs)
+    return np.cumsum(_values(row["docs"], row["far_docs"])), np.frombuffer(row["keys"], np.int64), np.repeat(np.arange(len(runs), dtype=np.int32), runs), start.astype(np.int32)
 
 
 def suffixes(texts: DataFrame, window: int, groups: int, large: dict[int, np.ndarray]) -> DataFrame:
@@ -147,20 +162,33 @@ def suffixes(texts: DataFrame, window: int, groups: int, large: dict[int, np.nda
                 rest = ~first
                 yield _packs(mixed(text[rest].astype(np.uint64) + whole[:1]) % np.uint64(groups), True, None, text[rest], start[rest], d, k)
 
-    return texts.mapInArrow(run, "group int, known boolean, hashes binary, docs binary, keys binary, runs binary, starts binary")
+    return texts.mapInArrow(run, _SCHEMA)
+
+
+def _all(packs: pa.Table) -> tuple[np.ndarray, ...]:
+    """Documents and keys of all runs; run, start, hash and ``known`` of all suffixes."""
+    hashes, docs, keys, runs, starts, known = [], [], [], [], [], []
+    count = 0
+    for batch in packs.to_batches():
+        for i in range(batch.num_rows):
+            row = {c: batch.column(c)[i].as_py() for c in _PACKED}
+            d, k, r, s = _unpack(row)
+            docs.append(d), keys.append(k), runs.append(r + np.int32(count)), starts.append(s)
+            count += len(d)
+            known.append(np.full(len(s), row["known"]))
+            hashes.append(np.zeros(len(s), np.uint64) if row["known"] else np.frombuffer(row["hashes"], np.uint64))
+    return tuple(map(np.concatenate, (docs, keys, runs, starts, hashes, known)))
+
+
+def _by_document(at: np.ndarray, d: np.ndarray, k: np.ndarray, r: np.ndarray, s: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The suffixes ``at`` in the order of documents and starts, and where each document begins."""
+    at = at[np.lexsort((s[at], k[r[at]], d[r[at]]))]
+    return at, np.flatnonzero(np.append(True, (np.diff(d[r[at]]) != 0) | (np.diff(k[r[at]]) != 0)))[: len(at)]
 
 
-def repeats_of_group(packs: pa.Table) -> pa.Table:
-    """Starts of the suffixes that have an earlier one below the same deep node, by document."""
-    hashes, docs, keys, starts, known = [], [], [], [], []
-    for row in packs.to_pylist():
-        runs = np.frombuffer(row["runs"], "<u4")
-        docs.append(np.repeat(np.frombuffer(row["docs"], np.int64), runs))
-        keys.append(np.repeat(np.frombuffer(row["keys"], np.int64), runs))
-        starts.append(_join32(row["starts"]))
-        known.append(np.full(len(starts[-1]), row["known"]))
-        hashes.append(np.zeros(len(starts[-1]), np.uint64) if row["known"] else np.frombuffer(row["hashes"], np.uint64))
-    h, d, k, s, gone = map(np.concatenate, (hashes, docs, keys, starts, known))
+def repeats_of_group(packs: pa.Table, buckets: int) -> pa.Table:
+    """Suffixes that have an earlier one below the same deep node, packed for the bucket of their document."""
+    d, k, r, s, h, gone = _all(packs)
     fresh = np.flatnonzero(~gone)
     order = fresh[np.argsort(h[fresh], kind="stable")]
     alike = h[order[1:]] == h[order[:-1]]
@@ -168,35 +196,42 @@ def repeats_of_group(packs: pa.Table) -> pa.Table:
     shared[1:] |= alike
     shared[:-1] |= alike
     below = order[shared]
-    below = below[np.lexsort((s[below], k[below], d[below], h[below]))]
+    below = below[np.lexsort((s[below], k[r[below]], d[r[below]], h[below]))]
     if len(below):
         node = np.flatnonzero(np.diff(h[below], prepend=h[below[:1]] + np.uint64(1)))
         earliest = below[np.repeat(node, np.diff(np.append(node, len(below))))]
-        gone[below[(d[below] != d[earliest]) | (k[below] != k[earliest]) | (s[below] != s[earliest])]] = True
-    at = np.flatnonzero(gone)
-    at = at[np.lexsort((s[at], k[at], d[at]))]
-    if not len(at):
-        return pa.table({"doc": pa.array([], pa.int64()), "key": pa.array([], pa.int64()), "starts": pa.array([], pa.binary())})
-    edge = np.flatnonzero(np.append(True, (np.diff(d[at]) != 0) | (np.diff(k[at]) != 0)))
+        gone[below[(d[r[below]] != d[r[earliest]]) | (k[r[below]] != k[r[earliest]]) | (s[below] != s[earliest])]] = True
+    at, edge = _by_document(np.flatnonzero(gone), d, k, r, s)
+    doc, key = d[r[at[edge]]], k[r[at[edge]]]
+    text = np.repeat(np.arange(len(edge)), np.diff(np.append(edge, len(at))))
+    bucket = (mixed(doc.view(np.uint64) ^ mixed(key.view(np.uint64))) % np.uint64(buckets))[text]
+    return pa.Table.from_batches([_packs(bucket, True, None, text, s[at].astype(np.int64), doc, key)])
+
+
+def starts_of_bucket(packs: pa.Table) -> pa.Table:
+    """A row for each document of a bucket with repeats: the starts, as 32-bit numbers."""
+    d, k, r, s, _, _ = _all(packs)
+    at, edge = _by_document(np.arange(len(s)), d, k, r, s)
     ends = np.append(edge, len(at)).astype(np.int32) * 4
     packed = pa.Array.from_buffers(pa.binary(), len(edge), [None, pa.py_buffer(ends.tobytes()), pa.py_buffer(s[at].astype("<u4").tobytes())])
-    return pa.table({"doc": pa.array(d[at[edge]]), "key": pa.array(k[at[edge]]), "starts": packed})
+    return pa.table({"doc": pa.array(d[r[at[edge]]]), "key": pa.array(k[r[at[edge]]]), "starts": packed})
 
 
 def repeat_starts(texts: DataFrame, window: int = WINDOW, group: int = GROUP) -> DataFrame:
-    """For rows (doc, key, text): the starts of windows that stand earlier, packed as 32-bit numbers, several rows for a document."""
+    """For rows (doc, key, text): the starts of windows that stand earlier too, as 32-bit numbers, a row for each document with any."""
     size = texts.agg(F.sum(F.octet_length("text")).alias("size")).first()["size"] or 0
     expected = size // WORD_BYTES
     bound = max(group, expected // MOST_GROUPS)
-    groups = max(1, -(-2 * expected // bound))
-    large = frequent(texts, window, bound / max(1, expected), bound) if groups > 1 else {x: np.array([], np.uint64) for x in LENGTHS if x < window}
-    return suffixes(ship(texts), window, groups, large).groupBy("group").applyInArrow(repeats_of_group, "doc long, key long, starts binary")
+    groups = max(1, -(-expected // bound))
+    large = frequent(texts, window, bound / (4 * max(1, expected)), bound // 4) if groups > 1 else {x: np.array([], np.uint64) for x in LENGTHS if x < window}
+    found = suffixes(ship(texts), window, groups, large).groupBy("group").applyInArrow(lambda packs: repeats_of_group(packs, groups), _SCHEMA)
+    return found.groupBy("group").applyInArrow(starts_of_bucket, "doc long, key long, starts binary")
 
 
-def covered(n: int, starts: list[bytes], window: int) -> np.ndarray:
+def covered(n: int, starts: bytes, window: int) -> np.ndarray:
     """Which of ``n`` words a window with one of the starts covers."""
     edge = np.zeros(n + 1, np.int32)
-    at = np.frombuffer(b"".join(starts), "<u4").astype(np.int64)
+    at = np.frombuffer(starts, "<u4").astype(np.int64)
     np.add.at(edge, at, 1)
     np.add.at(edge, at + window, -1)
     return np.cumsum(edge[:n]) > 0
@@ -211,7 +246,9 @@ def substring_dedup(docs: DataFrame, window: int = WINDOW, group: int = GROUP, s
     is not its own earlier copy, and have the same result. Other columns are not read; an empty table gives an empty result.
     """
     base = ship(docs).select("doc_id", F.coalesce(F.col("doc_id").cast("long"), F.lit(2**63 - 1)).alias("doc"), F.xxhash64("text").alias("key"), "text")
-    found = repeat_starts(base.select("doc", "key", "text"), window, group).groupBy("doc", "key").agg(F.collect_list("starts").alias("starts"))
+    if base.groupBy("doc").agg(F.min("key").alias("a"), F.max("key").alias("b")).filter("a <> b").isEmpty():
+        base = base.withColumn("key", F.lit(0).cast("long"))  # the id alone tells texts apart, and no hash need travel
+    found = repeat_starts(base.select("doc", "key", "text"), window, group)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
