@@ -162,9 +162,9 @@ def _(t):
     return G.add_ttm(G.availability(G.documents(one_ini(t), form()), versions(t)))
 
 
-@query("join_self_prior_fy", f"{KEY} revenue_ytd:2 revenue_ttm:2", BAL_DOCS_SQL + "SELECT * FROM ttm WHERE form = 'ITR'")
+@query("join_self_prior_fy", f"{KEY} form:s revenue_ytd:2 revenue_ttm:2", BAL_DOCS_SQL + "SELECT * FROM ttm")
 def _(t):
-    return G.add_ttm(G.availability(G.documents(one_ini(t), form()), versions(t)), ("revenue",)).filter("form = 'ITR'")
+    return G.add_ttm(G.availability(G.documents(one_ini(t), form()), versions(t)), ("revenue",))
 
 
 @query("pit_fundamentals", f"{KEY} available_from:t n_versions:i revenue_ttm:2 net_income_ttm:2 total_assets:2 equity_controlling:2 gross_debt:2",
@@ -237,9 +237,9 @@ def _(t):
 
 
 @query("agg_fre_shares", f"{KEY} received:t value:2", """
-SELECT issuer, dt_refer, received, value FROM order_docs WHERE value > 100000 QUALIFY row_number() OVER (PARTITION BY issuer, dt_refer ORDER BY received DESC, version DESC) = 1""")
+SELECT issuer, dt_refer, received, value FROM order_docs QUALIFY row_number() OVER (PARTITION BY issuer, dt_refer ORDER BY received DESC, version DESC) = 1""")
 def _(t):
-    rows = t.order_docs.filter("value > 100000").withColumn("o", F.struct("received", "version"))
+    rows = t.order_docs.withColumn("o", F.struct("received", "version"))
     return G.latest_version(rows, ["issuer", "dt_refer"], "o", ["received", "value"])
 
 
@@ -290,9 +290,9 @@ def _(t):
 
 @query("join_equi_left", f"{KEY} available_from:t shares_value:2", """
 SELECT f.issuer, f.dt_refer, f.available_from, s.value AS shares_value FROM filings f
-LEFT JOIN (SELECT issuer, dt_refer, max(value) AS value FROM order_docs WHERE value > 250000 GROUP BY ALL) s USING (issuer, dt_refer)""")
+LEFT JOIN (SELECT issuer, dt_refer, max(value) AS value FROM order_docs GROUP BY ALL) s USING (issuer, dt_refer)""")
 def _(t):
-    s = t.order_docs.filter("value > 250000").groupBy("issuer", "dt_refer").agg(F.max("value").alias("shares_value"))
+    s = t.order_docs.groupBy("issuer", "dt_refer").agg(F.max("value").alias("shares_value"))
     return t.filings.join(s, ["issuer", "dt_refer"], "left")
 
 

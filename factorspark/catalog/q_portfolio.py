@@ -136,10 +136,11 @@ def _(t):
     return targets(t)
 
 
-@query("allocation_overlay", "date:t equities:6 cash:6", """
+@query("allocation_overlay", "date:t equities:10 cash:10", """
 WITH f AS (SELECT date, sno, cdi * 1000 AS gross, (sno % 12) / 100 AS erp FROM cdi),
-g AS (SELECT *, greatest(0, least(1, gross / 0.6)) AS x, 0.4 + CASE WHEN erp < 0.02 THEN -0.1 WHEN erp > 0.08 THEN 0.1 ELSE 0 END AS e FROM f)
-SELECT date, e * x AS equities, 0.3 - (e - 0.4) + e * (1 - x) AS cash FROM g""")
+g AS (SELECT *, CAST(greatest(0, least(1, gross / 0.6)) AS DOUBLE) AS x, CAST(greatest(0.1, least(0.7, 0.4 + CASE WHEN erp < 0.02 THEN -0.1 WHEN erp > 0.08 THEN 0.1 ELSE 0 END)) AS DOUBLE) AS e FROM f),
+h AS (SELECT date, e * x AS equities, greatest(0.3 - (e - 0.4), 0) + e * (1 - x) AS cash FROM g)
+SELECT date, equities / (equities + cash + 0.15 + 0.15) AS equities, cash / (equities + cash + 0.15 + 0.15) AS cash FROM h""")
 def _(t):
     df = t.cdi.select("date", (F.col("cdi") * 1000 / 0.6).alias("gross"), ((F.col("sno") % 12) / 100).alias("erp"))
     mix = W.dynamic_mix(F.lit("mean_rev"), F.col("erp"), F.lit(None).cast("double"), F.col("gross"))

@@ -150,22 +150,29 @@ def _(t):
     return S.coverage_report(d, priced, d.filter(L.n_fundamentals() >= 4), L.liquid(d))
 
 
-@query("set_diff", "sid:i side:s", """
-WITH a AS (SELECT DISTINCT sid, date_trunc('month', date) AS m FROM bars WHERE trades > 1), p AS (SELECT DISTINCT sid FROM a WHERE m = DATE '2000-01-01'), c AS (SELECT DISTINCT sid FROM a WHERE m = DATE '2000-02-01')
-SELECT sid, 'exit' AS side FROM (SELECT sid FROM p EXCEPT SELECT sid FROM c) UNION ALL SELECT sid, 'entry' FROM (SELECT sid FROM c EXCEPT SELECT sid FROM p)""")
-def _(t):
-    return E.rotation(*_months(t))
+SETS_SQL = """
+WITH c AS (SELECT DISTINCT sno, sid FROM bars JOIN sessions USING (date)), p AS (SELECT sno + 1 AS sno, sid FROM c WHERE sno < (SELECT max(sno) FROM sessions)),
+f AS (SELECT * FROM c WHERE sno > 1)
+"""
+
 
+def _sets(t):
+    """Names traded on each session, and on the session before it."""
+    c = t.bars.select("sid", "date").join(t.sessions.select("date", "sno"), "date").select("sno", "sid").distinct()
+    last = t.sessions.agg(F.max("sno").alias("last"))
+    p = c.join(last, F.col("sno") < F.col("last")).select((F.col("sno") + 1).alias("sno"), "sid")
+    return p, c.filter("sno > 1")
 
-def _months(t):
-    a = t.bars.filter("trades > 1").select("sid", F.trunc("date", "month").alias("m"))
-    return a.filter("m = '2000-01-01'").select("sid").distinct(), a.filter("m = '2000-02-01'").select("sid").distinct()
+
+@query("set_diff", "sno:i sid:i side:s", SETS_SQL + """
+SELECT sno, sid, 'exit' AS side FROM (SELECT * FROM p EXCEPT SELECT * FROM f) UNION ALL SELECT sno, sid, 'entry' FROM (SELECT * FROM f EXCEPT SELECT * FROM p)""")
+def _(t):
+    return E.rotation(*_sets(t), ["sno", "sid"])
 
 
-@query("set_intersect", "sid:i", """
-WITH a AS (SELECT DISTINCT sid, date_trunc('month', date) AS m FROM bars WHERE trades > 1) SELECT sid FROM a WHERE m = DATE '2000-01-01' INTERSECT SELECT sid FROM a WHERE m = DATE '2000-02-01'""")
+@query("set_intersect", "sno:i sid:i", SETS_SQL + "SELECT * FROM p INTERSECT SELECT * FROM f")
 def _(t):
-    p, c = _months(t)
+    p, c = _sets(t)
     return p.intersect(c)
 
 
@@ -209,10 +216,10 @@ def _(t):
 
 
 @query("join_event_nearest", "sid:i event_date:t session:t", """
-WITH ev AS (SELECT DISTINCT sid, date - 2 AS event_date FROM trades WHERE flag = 'R' AND line = 1 AND disc > 0.05)
+WITH ev AS (SELECT DISTINCT sid, date - 2 AS event_date FROM trades WHERE flag = 'R' AND line = 1)
 SELECT sid, event_date, session FROM (SELECT ev.*, (SELECT min(date) FROM bars b WHERE b.sid = ev.sid AND b.date >= ev.event_date) AS session FROM ev) WHERE session - event_date <= 3""")
 def _(t):
-    ev = t.trades.filter("flag = 'R' AND line = 1 AND disc > 0.05").select("sid", F.date_sub("date", 2).alias("event_date")).distinct()
+    ev = t.trades.filter("flag = 'R' AND line = 1").select("sid", F.date_sub("date", 2).alias("event_date")).distinct()
     return E.nearest_session(ev, t.bars.select("sid", "date"), 3).withColumnRenamed("date_matched", "session")
 
 

@@ -59,10 +59,10 @@ def _(t):
 
 @query("scan_statements_csv", "issuer:s dt_refer:t ordem:s code:s ds:s value:2", """
 SELECT CAST(issuer AS VARCHAR) AS issuer, dt_refer, CASE WHEN ordem LIKE 'PEN%' OR ordem LIKE 'PEN%' OR ordem = 'PENÚLTIMO' THEN 'prev' ELSE 'cur' END AS ordem, code, lower(strip_accents(ds)) AS ds,
- CASE WHEN issuer % 2 = 0 THEN value * 1000 ELSE value END AS value FROM statement_lines WHERE sheet = 'DRE' AND (starts_with(code, '3.0') OR starts_with(code, '3.11')) AND length(code) - length(replace(code, '.', '')) <= 1""")
+ CASE WHEN issuer % 2 = 0 THEN value * 1000 ELSE value END AS value FROM statement_lines WHERE (starts_with(code, '3.0') OR starts_with(code, '3.11')) AND length(code) - length(replace(code, '.', '')) <= 1""")
 def _(t):
     path = shared_dir(t.spark, "statements")
-    s = t.statement_lines.filter("sheet = 'DRE'")
+    s = t.statement_lines
     raw = s.select(F.col("issuer").cast("string").alias("CD_CVM"), F.col("dt_refer").cast("string").alias("DT_REFER"), F.lit("1").alias("VERSAO"),
                    F.when(F.col("issuer") % 2 == 0, "MIL").otherwise("UNIDADE").alias("ESCALA_MOEDA"), F.col("ordem").alias("ORDEM_EXERC"),
                    F.col("ini").cast("string").alias("DT_INI_EXERC"), F.col("dt_refer").cast("string").alias("DT_FIM_EXERC"), F.col("code").alias("CD_CONTA"),
@@ -72,13 +72,13 @@ def _(t):
 
 
 @query("scan_filing_index", "issuer:s dt_refer:t version:i received:t form:s", """
-SELECT CAST(issuer AS VARCHAR) AS issuer, dt_refer, version, received, 'ITR' AS form FROM order_docs WHERE form = 'ITR'""")
+SELECT CAST(issuer AS VARCHAR) AS issuer, dt_refer, version, received, form FROM order_docs""")
 def _(t):
     path = shared_dir(t.spark, "index")
-    d = t.order_docs.filter("form = 'ITR'")
-    d.select(F.lit("00").alias("CNPJ_CIA"), F.col("dt_refer").alias("DT_REFER"), F.col("version").alias("VERSAO"), F.lit("CIA").alias("DENOM_CIA"),
-             F.col("issuer").alias("CD_CVM"), F.col("received").alias("DT_RECEB")).write.csv(path, sep=";", header=True, encoding="ISO-8859-1")
-    return R.read_filing_index(t.spark, path, "ITR")
+    t.order_docs.select("form", F.lit("00").alias("CNPJ_CIA"), F.col("dt_refer").alias("DT_REFER"), F.col("version").alias("VERSAO"), F.lit("CIA").alias("DENOM_CIA"),
+             F.col("issuer").alias("CD_CVM"), F.col("received").alias("DT_RECEB")).write.partitionBy("form").csv(path, sep=";", header=True, encoding="ISO-8859-1")
+    both = [R.read_filing_index(t.spark, f"{path}/form={form}", form) for form in ("DFP", "ITR")]
+    return both[0].unionByName(both[1])
 
 
 @query("scan_registry_csv", "issuer:s name:s status:s registered_on:t", """
@@ -94,11 +94,11 @@ def _(t):
 
 
 @query("scan_corporate_events_json", "root:s kind:s last_date_prior:t value:6 label:s", """
-SELECT root, 'cash' AS kind, date AS last_date_prior, value / CASE WHEN line = 1 THEN 1000 ELSE 1 END AS value, 'DIVIDENDO' AS label FROM trades JOIN securities USING (sid) WHERE flag = 'R' AND disc <= 0.01 AND line <= 2
-UNION ALL SELECT DISTINCT root, 'stock', date, CASE WHEN line = 3 THEN 1 + qty / 100 ELSE qty END, CASE WHEN line = 3 THEN 'DESDOBRAMENTO' ELSE 'GRUPAMENTO' END FROM trades JOIN securities USING (sid) WHERE flag = 'A' AND disc <= 0.01 AND line IN (3, 4) AND NOT (line = 4 AND qty = 1)""")
+SELECT root, 'cash' AS kind, date AS last_date_prior, value / CASE WHEN line = 1 THEN 1000 ELSE 1 END AS value, 'DIVIDENDO' AS label FROM trades JOIN securities USING (sid) WHERE flag = 'R' AND line <= 2
+UNION ALL SELECT DISTINCT root, 'stock', date, CASE WHEN line = 3 THEN 1 + qty / 100 ELSE qty END, CASE WHEN line = 3 THEN 'DESDOBRAMENTO' ELSE 'GRUPAMENTO' END FROM trades JOIN securities USING (sid) WHERE flag = 'A' AND line IN (3, 4) AND NOT (line = 4 AND qty = 1)""")
 def _(t):
     path = shared_dir(t.spark, "events")
-    tr = t.trades.join(t.securities.select("sid", "root"), "sid").filter("disc <= 0.01")
+    tr = t.trades.join(t.securities.select("sid", "root"), "sid")
     day = F.date_format("date", "dd/MM/yyyy")
     price = F.translate(F.format_number("value", 2), ",.", ".,")
     cash = F.struct(F.lit(" on ").alias("typeStock"), day.alias("lastDatePriorEx"), price.alias("valueCash"), F.when(F.col("line") == 1, "1.000").alias("quotedPerShares"), F.lit("DIVIDENDO").alias("corporateAction"))
@@ -142,11 +142,11 @@ def _(t):
 
 
 @query("sink_on_change", "index_name:s b3_date:t n:i", """
-WITH m AS (SELECT sector AS index_name, CAST(date_trunc('month', date) AS DATE) AS b3_date, ticker, count(*) >= 4 AS big FROM spec_bars GROUP BY ALL),
+WITH m AS (SELECT sector AS index_name, CAST(date_trunc('month', date) AS DATE) AS b3_date, ticker, TRUE AS big FROM spec_bars GROUP BY ALL),
 s AS (SELECT index_name, b3_date, count(*) AS n, string_agg(ticker, ',' ORDER BY ticker) AS sig FROM m WHERE big GROUP BY ALL)
 SELECT index_name, b3_date, n FROM s QUALIFY lag(sig) OVER (PARTITION BY index_name ORDER BY b3_date) IS DISTINCT FROM sig""")
 def _(t):
-    m = members(t).filter("n >= 4").withColumn("qty", F.lit(1.0))
+    m = members(t).withColumn("qty", F.lit(1.0))
     return S.changed_snapshots(m, "index_name", "b3_date", "ticker", "qty")
 
 
@@ -218,10 +218,10 @@ def _(t):
     return back.groupBy("month").agg(F.count("*").alias("n"), F.sum("volume").alias("volume"))
 
 
-@query("sink_append_log", "month:s n:i", "SELECT strftime(date, '%Y-%m') AS month, count(*) * 2 AS n FROM bars WHERE trades > 2 GROUP BY 1")
+@query("sink_append_log", "month:s n:i", "SELECT strftime(date, '%Y-%m') AS month, count(*) * 2 AS n FROM bars GROUP BY 1")
 def _(t):
     path = shared_dir(t.spark, "log")
-    hits = t.bars.filter("trades > 2").select("sid", "date", "close")
+    hits = t.bars.select("sid", "date", "close")
     for _ in range(2):
         S.append_log(hits, path)
     return t.spark.read.schema("sid long, month string").json(path).groupBy("month").agg(F.count("*").alias("n"))

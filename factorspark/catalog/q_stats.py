@@ -286,4 +286,4 @@ def _(t):
 @query("bootstrap_sharpe_diff", "sid:i lo:6 hi:6 reps:i")
 def _(t):
     market = series(t).groupBy("t").agg(F.avg("r").alias("m"))
-    return S.block_bootstrap_sharpe_diff(series(t).join(market, "t"), ["sid"], "r", "m", "t", reps=200)
+    return S.block_bootstrap_sharpe_diff(series(t).join(market, "t"), ["sid"], "r", "m", "t")

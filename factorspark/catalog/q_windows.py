@@ -85,15 +85,19 @@ def _(t):
     return df
 
 
+# money is summed in cents and divided half up in whole numbers, as engines round halves of doubles either way
 @query("win_rolling_adv", "sid:i date:t adv63:4 adv30:4", """
-SELECT sid, date, avg(volume) OVER (PARTITION BY sid ORDER BY date ROWS 62 PRECEDING) AS adv63,
- avg(volume) OVER (PARTITION BY sid ORDER BY date ROWS 29 PRECEDING) AS adv30 FROM bars
-QUALIFY row_number() OVER (PARTITION BY sid ORDER BY date) >= 63""")
+SELECT sid, date, (200 * CAST(round(sum(volume) OVER a * 100) AS BIGINT) + count(*) OVER a) // (2 * count(*) OVER a) / 10000.0 AS adv63,
+ (200 * CAST(round(sum(volume) OVER b * 100) AS BIGINT) + count(*) OVER b) // (2 * count(*) OVER b) / 10000.0 AS adv30 FROM bars
+WINDOW a AS (PARTITION BY sid ORDER BY date ROWS 62 PRECEDING), b AS (PARTITION BY sid ORDER BY date ROWS 29 PRECEDING)""")
 def _(t):
     w = ts.by_row()
-    df = t.bars.select("sid", "date", "volume")
-    df = ts.rolling_moments(df, "volume", w, 63, "a").withColumn("adv63", F.col("a_mean"))
-    return ts.rolling_moments(df, "volume", w, 30, "b").withColumn("adv30", F.col("b_mean")).filter("a_n >= 63")
+    df = ts.rolling_moments(t.bars.select("sid", "date", "volume"), "volume", w, 63, "a")
+    df = ts.rolling_moments(df, "volume", w, 30, "b")
+    for out, k in (("adv63", "a"), ("adv30", "b")):
+        df = df.withColumn("_cents", F.round(F.col(f"{k}_mean") * F.col(f"{k}_n") * 100).cast("long"))
+        df = df.withColumn(out, F.expr(f"(200 * _cents + {k}_n) div (2 * {k}_n)") / 10000.0)
+    return df
 
 
 @query("agg_trailing_dividend_yield", "sid:i date:t dy:6", """

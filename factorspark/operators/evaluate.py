@@ -95,7 +95,7 @@ def walk_forward(entries: DataFrame, holdings: DataFrame, bars: DataFrame, sessi
             .drop("_i0", "_i1", "_c0", "_c1"))
 
 
-def walk_forward_summary(periods: DataFrame, keys: list[str], order: str, max_h: int = 60) -> DataFrame:
+def walk_forward_summary(periods: DataFrame, keys: list[str], order: str) -> DataFrame:
     """Means, hit rate, Newey-West t, and non-overlapping Sharpe, drawdown and return per horizon.
 
     ``periods``: keys, h, order, port, alpha, excess. A key is one record series.
@@ -114,7 +114,7 @@ def walk_forward_summary(periods: DataFrame, keys: list[str], order: str, max_h:
         F.count("*").alias("n"), F.max("_step").alias("step"), F.avg("port").alias("mean_return"), F.percentile("port", 0.5).alias("median_return"),
         F.avg("alpha").alias("mean_alpha"), F.avg((F.col("alpha") > 0).cast("double")).alias("hit_rate"), F.avg(ex).alias("_m"),
         F.stddev_samp(ex).alias("_s"), F.count(ex).alias("n_own"), F.min("_dd").alias("max_drawdown"), (F.max_by("_nav", order) - 1).alias("cum_return"))
-    nw = S.newey_west(rows.withColumn("_lag", F.col("_step") - 1), k, "alpha", order, F.col("_lag"), math.ceil(max_h / 5) - 1).select(*k, "t_nw")
+    nw = S.newey_west(rows.withColumn("_lag", F.col("_step") - 1), k, "alpha", order, F.col("_lag")).select(*k, "t_nw")
     sharpe = F.when((F.col("n_own") >= 3) & (F.col("_s") > 0), F.col("_m") / F.col("_s") * F.sqrt(252 / F.col("h")))
     return g.join(nw, k, "left").withColumn("n_eff", F.col("n") / F.col("step")).withColumn("sharpe", sharpe).drop("_m", "_s", "step")
 

@@ -52,10 +52,11 @@ def entry_session(runs: DataFrame, sessions: DataFrame) -> DataFrame:
             .withColumnsRenamed({"sno": "entry_sno", "date_matched": "entry_date"}))
 
 
-def rotation(previous: DataFrame, current: DataFrame) -> DataFrame:
-    """Securities leaving and entering."""
-    out = previous.join(current, "sid", "left_anti").withColumn("side", F.lit("exit"))
-    return out.unionByName(current.join(previous, "sid", "left_anti").withColumn("side", F.lit("entry")))
+def rotation(previous: DataFrame, current: DataFrame, on: list[str] | None = None) -> DataFrame:
+    """Securities leaving and entering; ``on`` may name a period beside the security."""
+    on = on or ["sid"]
+    out = previous.join(current, on, "left_anti").withColumn("side", F.lit("exit"))
+    return out.unionByName(current.join(previous, on, "left_anti").withColumn("side", F.lit("entry")))
 
 
 def with_theme(df: DataFrame, themes: dict[str, str]) -> DataFrame:

@@ -2,11 +2,8 @@
 
 from __future__ import annotations
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from factorspark.functions.scalars import FRICTION_BPS
 
@@ -41,35 +38,45 @@ def _total(xs: Column) -> Column:
     return F.aggregate(xs, F.lit(0.0), lambda a, x: a + x)
 
 
-@F.pandas_udf(T.ArrayType(T.DoubleType()))
-def _cap_floor(ws: pd.Series, cap: pd.Series, floor: pd.Series) -> pd.Series:
-    """Bounds each row's weights; the excess goes to the names below the cap in proportion."""
-    def one(w, cap, floor):
-        w = np.maximum(np.asarray(w, dtype=float), 0.0)
-        n = len(w)
-        if n == 0 or cap * n < 1.0 or floor * n > 1.0 or w.sum() <= 0:
-            return np.round(np.full(n, 1 / max(n, 1)), 6)
-        w = w / w.sum()
-        for _ in range(BOUND_STEPS):
-            w = np.maximum(w, floor)
-            free = w < cap
-            if not free.any():
-                w = np.full(n, 1 / n)
-                break
-            room = 1.0 - cap * (n - free.sum())
-            w = np.where(free, w / w[free].sum() * room, cap)
-            if ((w[free] >= floor - 1e-9) & (w[free] <= cap + 1e-9)).all():
-                break
-        return np.round(w / w.sum(), 6)
-
-    return pd.Series([one(w, c, f) for w, c, f in zip(ws, cap, floor)])
+def _cap_floor(ws: Column, cap: Column, floor: Column) -> Column:
+    """Weights between two bounds that sum to one, by a fold over the rounds of redistribution.
+
+    A round lifts every weight to the floor, pins those at the cap and spreads what is left over the others in
+    proportion. The fold's state is the weights and whether they have settled; settled ones pass through.
+    """
+    n = F.size(ws)
+    even = F.transform(ws, lambda _: 1.0 / n)
+    plus = F.transform(ws, lambda x: F.greatest(x, F.lit(0.0)))
+
+    def rescaled(xs):
+        total = _total(xs)
+        return F.transform(xs, lambda x: x / F.when(total > 0, total))
+
+    def spread(lifted):
+        free = F.filter(lifted, lambda x: x < cap)
+        left = (1.0 - cap * (n - F.size(free))) / F.when(F.size(free) > 0, _total(free))
+        return F.transform(lifted, lambda x: F.when(x < cap, x * left).otherwise(cap))
+
+    def settled(lifted, moved):
+        return F.forall(F.arrays_zip(lifted.alias("was"), moved.alias("now")), lambda z: (z["was"] >= cap) | z["now"].between(floor - 1e-9, cap + 1e-9))
+
+    def one(state, _):
+        lifted = F.transform(state["w"], lambda x: F.greatest(x, floor))
+        moved = spread(lifted)
+        none_free = ~F.exists(lifted, lambda x: x < cap)
+        turn = F.when(none_free, F.struct(even.alias("w"), F.lit(True).alias("done"))).otherwise(F.struct(moved.alias("w"), settled(lifted, moved).alias("done")))
+        return F.when(state["done"], state).otherwise(turn)
+
+    start = F.struct(rescaled(plus).alias("w"), F.lit(False).alias("done"))
+    bounded = rescaled(F.aggregate(F.sequence(F.lit(1), F.lit(BOUND_STEPS)), start, one)["w"])
+    feasible = (n > 0) & (cap * n >= 1.0) & (floor * n <= 1.0) & (_total(plus) > 0)
+    return F.transform(F.when(feasible, bounded).otherwise(even), lambda x: F.round(x, 6))
 
 
 def bounded_live(ws: Column, cap: float = MAX_WEIGHT, floor: float = MIN_WEIGHT) -> Column:
     """Cap and floor by redistribution among the names not at the cap; equal when infeasible.
 
-    ``ws``: the weights of one portfolio as an array (a handful of names). The redistribution is
-    iterative over the array, so it runs as an Arrow-batched function on portfolios, not on names.
+    ``ws``: the weights of one portfolio as an array (a handful of names).
     """
     return _cap_floor(ws, F.lit(cap), F.lit(floor))
 

@@ -23,15 +23,15 @@ def turnover_band(df: DataFrame, incumbents: DataFrame, keys: list[str], points:
 def _candidates(df: DataFrame, keys: list[str], n: int) -> DataFrame:
     """A set that provably contains every row the greedy selection can pick.
 
-    Caps only tighten while picking, so of rows equal in company, sector and subsector only the
-    best can be picked. Within one sector and subsector at most ``n`` are picked and at most ``n``
+    Caps only tighten while picking, so of rows equal in company, sector, subsector and theme only
+    the best can be picked. Within one sector, subsector and theme at most ``n`` are picked and at most ``n``
     companies are already taken elsewhere, so the best ``2n`` suffice. The unconstrained last step
     takes rows not yet picked from the overall top ``2n``. Sizes no longer depend on the number of
     securities.
     """
     order = [F.col("score").desc_nulls_last(), F.col("sid")]
-    one = Window.partitionBy(*keys, "sector", "subsector", "company").orderBy(*order)
-    some = Window.partitionBy(*keys, "sector", "subsector").orderBy(*order)
+    one = Window.partitionBy(*keys, "sector", "subsector", "theme", "company").orderBy(*order)
+    some = Window.partitionBy(*keys, "sector", "subsector", "theme").orderBy(*order)
     best = (df.withColumn("_r", F.row_number().over(one)).filter("_r = 1")
             .withColumn("_r", F.row_number().over(some)).filter(F.col("_r") <= 2 * n).drop("_r"))
     over = top_n(df, keys, "score", 2 * n, out="_r").drop("_r")

@@ -34,26 +34,29 @@ def _demeaned(df: DataFrame, keys: list[str], value: str) -> DataFrame:
     return rows.withColumn("_d", F.col(value) - F.avg(value).over(Window.partitionBy(*keys)))
 
 
-def newey_west(df: DataFrame, keys: list[str], value: str, order: str, lags: int | Column, max_lag: int | None = None,
-               out: str = "t_nw") -> DataFrame:
-    """Mean and its t statistic with Bartlett-weighted autocovariances up to ``lags``.
+def newey_west(df: DataFrame, keys: list[str], value: str, order: str, lags: int | Column, out: str = "t_nw") -> DataFrame:
+    """Mean and its t statistic with Bartlett-weighted autocovariances up to ``lags``, which may be a column (constant per key).
 
-    ``lags`` may be a column (constant per key) when ``max_lag`` bounds it.
+    A number of lags becomes as many columns of one window. Lags from a column are rows: each observation is
+    paired by equality with those up to its key's lag before it, however long that is.
     """
-    top = lags if isinstance(lags, int) else max_lag
-    lag_col = F.lit(lags) if isinstance(lags, int) else lags
     w = Window.partitionBy(*keys).orderBy(order)
-    d = _demeaned(df, keys, value).withColumn("_L", lag_col)
-    for k in range(1, top + 1):
-        d = d.withColumn(f"_p{k}", F.col("_d") * F.lag("_d", k).over(w))
-    aggs = [F.sum(f"_p{k}").alias(f"_g{k}") for k in range(1, top + 1)]
-    g = d.groupBy(*keys).agg(F.count("*").alias("n"), F.avg(value).alias("mean"), F.sum(F.col("_d") * F.col("_d")).alias("_g0"),
-                             F.max("_L").alias("_L"), *aggs)
-    var = F.col("_g0")
-    for k in range(1, top + 1):
-        weight = F.when(F.col("_L") >= k, 1 - F.lit(float(k)) / (F.col("_L") + 1)).otherwise(0.0)
-        var = var + 2 * weight * F.coalesce(F.col(f"_g{k}"), F.lit(0.0))
-    var = var / F.col("n")
+    d = _demeaned(df, keys, value).withColumn("_L", F.lit(lags) if isinstance(lags, int) else lags)
+    sums = [F.count("*").alias("n"), F.avg(value).alias("mean"), F.sum(F.col("_d") * F.col("_d")).alias("_g0")]
+    if isinstance(lags, int):
+        for k in range(1, lags + 1):
+            d = d.withColumn(f"_p{k}", F.col("_d") * F.lag("_d", k).over(w))
+        g = d.groupBy(*keys).agg(*sums, *[F.sum(f"_p{k}").alias(f"_g{k}") for k in range(1, lags + 1)])
+        cross = sum((F.coalesce(F.col(f"_g{k}"), F.lit(0.0)) * (1 - k / (lags + 1)) for k in range(1, lags + 1)), F.lit(0.0))
+    else:
+        d = d.withColumn("_i", F.row_number().over(w))
+        late = d.select(*keys, "_i", "_d", "_L").filter((F.col("_L") >= 1) & (F.col("_i") >= 2))
+        late = late.withColumn("_k", F.explode(F.sequence(F.lit(1), F.least(F.col("_L"), F.col("_i") - 1))))
+        pairs = late.withColumn("_j", F.col("_i") - F.col("_k")).drop("_i").join(d.select(*keys, F.col("_i").alias("_j"), F.col("_d").alias("_e")), [*keys, "_j"])
+        c = pairs.groupBy(*keys).agg(F.sum(F.col("_d") * F.col("_e") * (1 - F.col("_k") / (F.col("_L") + 1))).alias("_c"))
+        g = d.groupBy(*keys).agg(*sums).join(c, keys, "left")
+        cross = F.coalesce(F.col("_c"), F.lit(0.0))
+    var = (F.col("_g0") + 2 * cross) / F.col("n")
     t = F.col("mean") / F.sqrt(var / F.col("n"))
     return g.select(*keys, "n", "mean", F.when((F.col("n") >= 3) & (var > 1e-300), t).alias(out))
 
@@ -121,17 +124,16 @@ def nw_lag(days: Column) -> Column:
     return F.greatest(F.lit(0), F.ceil(days / 5) - 1).cast("int")
 
 
-def ic_summary(ics: DataFrame, keys: list[str], days: str, max_days: int = 60, min_eff: int = 8) -> DataFrame:
+def ic_summary(ics: DataFrame, keys: list[str], days: str, min_eff: int = 8) -> DataFrame:
     """Mean IC, information ratio, hit rate and Newey-West test of each (factor, horizon).
 
     Tested only with at least ``min_eff`` independent windows; ``ics``: keys, date, days, ic, n_tickers.
     """
-    top = math.ceil(max_days / 5) - 1
     rows = ics.filter("ic is not null").withColumn("_lag", nw_lag(F.col(days)))
     g = rows.groupBy(*keys).agg(F.avg("ic").alias("mean_ic"), F.stddev_samp("ic").alias("sd"), F.count("*").alias("n_obs"),
                                 F.avg((F.col("ic") > 0).cast("double")).alias("hit_rate"), F.max("_lag").alias("lag"),
                                 F.avg("n_tickers").alias("mean_n"))
-    nw = newey_west(rows, keys, "ic", "date", F.col("_lag"), top).select(*keys, "t_nw")
+    nw = newey_west(rows, keys, "ic", "date", F.col("_lag")).select(*keys, "t_nw")
     n_eff = F.col("n_obs") / (F.col("lag") + 1)
     out = (g.join(nw, keys).withColumn("n_eff", n_eff).withColumn("ir", F.col("mean_ic") / F.when(F.col("sd") > 0, F.col("sd")))
            .withColumn("t_nw", F.when(F.col("n_eff") >= min_eff, F.col("t_nw"))))

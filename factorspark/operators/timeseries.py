@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from factorspark.functions.scalars import sane
+
 
 def sessions(df: DataFrame, date: str = "date") -> DataFrame:
     """Trading sessions with their 1-based ordinal.
@@ -75,10 +77,11 @@ def rolling_moments(df: DataFrame, value: str, w: Window, n: int, prefix: str) -
     """Count, mean and sample deviation over the last ``n`` rows, by prefix sums.
 
     A sliding frame would be re-evaluated for every row (n updates each); three running sums and
-    one lag make the cost independent of the window length. Adds ``<prefix>_n/_mean/_std``.
+    one lag make the cost independent of the window length. NaN and infinities count as missing, as
+    a running sum would never lose them again. Adds ``<prefix>_n/_mean/_std``.
     """
     run = w.rowsBetween(Window.unboundedPreceding, 0)
-    v = F.col(value)
+    v = sane(F.col(value).cast("double"))
     df = (df.withColumn("_c", F.count(v).over(run))
             .withColumn("_s", F.coalesce(F.sum(v).over(run), F.lit(0.0)))
             .withColumn("_q", F.coalesce(F.sum(v * v).over(run), F.lit(0.0))))
@@ -132,9 +135,9 @@ def asof(left: DataFrame, right: DataFrame, on: list[str], left_time: str, right
                     F.struct(*lcols).alias("_left"))
     b = right.select(*on, F.col(right_time).alias("_time"), F.lit(right_rank).alias("_rank"),
                      payload.alias("_right"))
-    w = Window.partitionBy(*on).orderBy("_time", "_rank")
-    pick = (F.first("_right", ignorenulls=True).over(w.rowsBetween(0, Window.unboundedFollowing)) if forward
-            else F.last("_right", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    # forward runs the same growing frame from the end; a frame that shrinks would be evaluated anew for each row
+    order = [F.desc(c) if forward else F.asc(c) for c in ("_time", "_rank")]
+    pick = F.last("_right", ignorenulls=True).over(Window.partitionBy(*on).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0))
     both = a.unionByName(b, allowMissingColumns=True).withColumn("_hit", pick).filter("_left is not null")
     return both.select(*[F.col(f"_left.{c}").alias(c) for c in lcols],
                        *[F.col(f"_hit.{v}").alias(v) for v in values],

@@ -11,34 +11,45 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from factorspark.functions.normal import norm_ppf
 from factorspark.session import cut_lineage
 
 CHUNKS_PER_E_FOLD = 4096
+PREFIX = 6
 MIN_SECTOR_Z, MIN_SECTOR_PCT, MIN_WINSOR = 8, 4, 5
 MAD_SCALE = 1.4826
 
 
-def _chunk(value: Column) -> Column:
-    """Order-preserving chunk number: a fixed logarithmic scale, linear around zero.
+def _chunk(df: DataFrame, value: str) -> Column:
+    """Order-preserving chunk of a column. It depends on the value alone, so a recomputed task assigns the same one.
 
-    It depends on the value alone, so a recomputed task assigns the same chunk, and a chunk spans
-    a quarter per mille of the value, so packed and heavy-tailed values both spread over tasks.
+    Numbers: a fixed logarithmic scale, linear around zero, on which a chunk spans a quarter per mille of the
+    value, so packed and heavy-tailed values both spread over tasks. Dates: the day. Text: its first characters,
+    whose order is that of the texts.
     """
-    v = value.cast("double")
+    kind, v = df.schema[value].dataType, F.col(value)
+    if isinstance(kind, T.StringType):
+        return F.substring(v, 1, PREFIX)
+    if isinstance(kind, T.DateType):
+        return F.unix_date(v)
+    v = v.cast("double")
     return F.floor(F.signum(v) * F.log1p(F.abs(v) * 1e6) * CHUNKS_PER_E_FOLD)
 
 
 def histogram(df: DataFrame, keys: list[str], value: str) -> DataFrame:
-    """Distinct non-null values per key with their number of rows ``m`` (combined map-side)."""
-    return df.filter(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count("*").alias("m"))
+    """Distinct values per key with their number of rows ``m`` (combined map-side); null and NaN are no values."""
+    there = F.col(value).isNotNull()
+    if isinstance(df.schema[value].dataType, (T.DoubleType, T.FloatType)):
+        there = there & ~F.isnan(value)
+    return df.filter(there).groupBy(*keys, value).agg(F.count("*").alias("m"))
 
 
 def ranked(hist: DataFrame, keys: list[str], value: str) -> DataFrame:
     """Adds to a histogram ``below`` (rows smaller) and ``n`` (rows in all)."""
     inside = Window.partitionBy(*keys, "_chunk").orderBy(value).rowsBetween(Window.unboundedPreceding, -1)
-    cut = hist.withColumn("_chunk", _chunk(F.col(value))).withColumn("_in", F.coalesce(F.sum("m").over(inside), F.lit(0)))
+    cut = hist.withColumn("_chunk", _chunk(hist, value)).withColumn("_in", F.coalesce(F.sum("m").over(inside), F.lit(0)))
     tot = cut.groupBy(*keys, "_chunk").agg(F.sum("m").alias("_t"))
     part = Window.partitionBy(*keys)
     before = part.orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)
@@ -102,10 +113,9 @@ def medians(df: DataFrame, keys: list[str], value: str, out: str = "med") -> Dat
 def with_mad(r: DataFrame, keys: list[str], value: str) -> DataFrame:
     """Adds ``med`` and the scaled ``mad`` of each key to its ranked histogram.
 
-    The ranked histogram feeds its own medians and every later statistic, so it is written to the
-    shared folder once instead of being recomputed per reader; so is the result.
+    Its own medians share the histogram's exchange. The result feeds every later statistic, so it is
+    written to the shared folder once: planned anew for each reader, the plans of a composite score multiply.
     """
-    r = cut_lineage(r)
     r = r.join(quantiles_of(r, keys, value, {"med": 0.5}), keys).withColumn("_dev", F.abs(F.col(value) - F.col("med")))
     dev = r.groupBy(*keys, "_dev").agg(F.sum("m").alias("m"))
     mad = quantiles_of(ranked(dev, keys, "_dev"), keys, "_dev", {"mad": 0.5})
@@ -204,7 +214,7 @@ def sector_adaptive_z(df: DataFrame, keys: list[str], sector: str, value: str, d
     """
     x = mad_winsor(df, keys, value, 5.0, "_w").withColumn("_x", F.col("_w") * F.col(direction)).drop("_w")
     by = [*keys, sector]
-    r = cut_lineage(value_ranks(x, by, "_x"))
+    r = value_ranks(x, by, "_x")
     r = r.join(moments(x, by, "_x", "_s"), by).join(moments(x, keys, "_x", "_g"), keys)
     n = F.col("n")
     z = (F.when((n >= MIN_SECTOR_Z) & (F.col("_s_std") > 0), (F.col("_x") - F.col("_s_mean")) / F.col("_s_std"))
@@ -230,8 +240,8 @@ def sector_neutral(df: DataFrame, keys: list[str], sector: str, value: str, out:
 
 
 def quantile_bucket(rank: Column, n: Column, q: int = 5) -> Column:
-    """Bucket 1..q of a first-rank, cut at evenly spaced ranks with interpolation."""
-    return F.greatest(F.lit(1), F.ceil(q * (rank - 1) / F.when(n > 1, n - 1))).cast("int")
+    """Bucket 1..q of a first-rank, cut at evenly spaced ranks with interpolation; null without a rank."""
+    return F.when(rank.isNotNull(), F.greatest(F.lit(1), F.ceil(q * (rank - 1) / F.when(n > 1, n - 1)))).cast("int")
 
 
 def quintiles(df: DataFrame, keys: list[str], value: str, tie: str, q: int = 5, out: str = "bucket") -> DataFrame:

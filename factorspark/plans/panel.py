@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from factorspark.functions.scalars import ADV_REFERENCE, friction
+from factorspark.functions.scalars import ADV_REFERENCE, friction, sane
 from factorspark.operators import filings as G
 from factorspark.operators import timeseries as ts
 from factorspark.operators import xsection as X
@@ -41,10 +41,11 @@ def price_signals(bars: DataFrame, index: DataFrame, probes: DataFrame, fill: in
     past = w.rangeBetween(Window.unboundedPreceding, 0)
 
     def window_sum(x: Column, n: int) -> Column:
-        before = w.rangeBetween(Window.unboundedPreceding, -n)
+        x, before = sane(x.cast("double")), w.rangeBetween(Window.unboundedPreceding, -n)
         return F.coalesce(F.sum(x).over(past), F.lit(0.0)) - F.coalesce(F.sum(x).over(before), F.lit(0.0))
 
     def count(x: Column, n: int) -> Column:
+        x = sane(x.cast("double"))
         return F.count(x).over(past) - F.count(x).over(w.rangeBetween(Window.unboundedPreceding, -n))
 
     def vol(n: int) -> Column:

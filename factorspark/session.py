@@ -48,11 +48,13 @@ def prepare(spark: SparkSession) -> SparkSession:
 def shared_dir(spark: SparkSession, label: str) -> str:
     """A fresh folder every executor can reach.
 
-    Lives below ``spark.checkpoint.dir`` when the cluster names one. Only where the setting
-    is absent (a local test run) does it fall back to a temporary folder.
+    Lives below ``spark.checkpoint.dir``. Only a local session may leave the setting out and
+    gets a temporary folder; on a cluster each executor would write to a disk of its own.
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.startswith("local["):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         base = tempfile.mkdtemp(prefix="factorspark-")
     return os.path.join(base, f"{label}-{uuid.uuid4().hex}")
 
