@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from factorspark.llm.common import ship
+from factorspark.llm.common import settle, ship
 
 #: Host and path start of a rule, and its verdict.
 RULES = (("com/", "allow"), ("example.com/en/", "block"), ("www.example.com/en/", "allow"), ("net/es/", "block"), ("net/fr/", "block"))
@@ -49,7 +49,11 @@ def rule_of(host: Column, path: Column, rules=RULES) -> Column:
 
 
 def unigrams(pages: DataFrame, size: int = VOCABULARY) -> dict[str, int]:
-    """The ``size`` most frequent words of all pages' texts and URLs, which bounds what is broadcast; counts are over all rows."""
+    """The most frequent words of all pages' texts and URLs, ``size`` at most, which bounds what is broadcast.
+
+    Counts are over all rows. A histogram of their logarithms gives the lowest count from which on the words fit, so that only these
+    reach the driver, and words of nearly the same count come together or not at all.
+    """
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             seen: Counter[str] = Counter()
@@ -59,7 +63,14 @@ def unigrams(pages: DataFrame, size: int = VOCABULARY) -> dict[str, int]:
             yield pa.RecordBatch.from_arrays([pa.array(list(seen), pa.string()), pa.array(list(seen.values()), pa.int64())], ["word", "n"])
 
     counts = ship(pages).select("url", "html").mapInArrow(run, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
-    return {r["word"]: r["n"] for r in counts.orderBy(F.desc("n"), "word").limit(size).collect()}
+    counts = settle(counts.withColumn("step", F.floor(F.log2("n") * 16)))
+    lowest, room = 1 << 20, size
+    for r in sorted(counts.groupBy("step").count().collect(), reverse=True):
+        room -= r["count"]
+        if room < 0:
+            break
+        lowest = r["step"]
+    return {r["word"]: r["n"] for r in counts.filter(F.col("step") >= lowest).collect()}
 
 
 class Splitter:
