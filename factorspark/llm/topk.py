@@ -91,7 +91,7 @@ def top_k(vectors: DataFrame, k: int = K, every: int = EVERY, block: int = BLOCK
     with another vector they are queries of their own under the same id. Ties go to the smaller vec_id. Fewer candidates than k
     give fewer rows, an empty table none; other columns are not read.
 
-    Candidates are packed into blocks where they are read. Queries are dealt to slots of about ``slot`` rows, and each block is compared with
+    Candidates are packed into blocks where they are read; a task compares about one block with one slot. Queries are dealt to slots of about ``slot`` rows, and each block is compared with
     each slot: a stated set of queries against all rows. Blocks return k rows for each query, and the last step ranks those.
     """
     odd = F.exists("embedding", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
@@ -100,6 +100,7 @@ def top_k(vectors: DataFrame, k: int = K, every: int = EVERY, block: int = BLOCK
     fit = fit.select(F.col("vec_id").cast("long"), exact.alias("v"))
     asked = fit.filter(F.col("vec_id") % every == 0).distinct()
     slots = max(1, -(-asked.count() // slot))
+    pairs = min(100_000, slots * max(1, -(-fit.count() // block)))
     queries = asked.groupBy(F.pmod(F.xxhash64("vec_id", "v"), F.lit(slots)).cast("int").alias("slot")).agg(F.collect_list(F.struct("vec_id", "v")).alias("queries"))
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -138,6 +139,6 @@ def top_k(vectors: DataFrame, k: int = K, every: int = EVERY, block: int = BLOCK
                     mark = [xxhash.xxh64_intdigest(x.tobytes()) >> 1 for x in q[a : a + TOGETHER]]
                     yield pa.RecordBatch.from_arrays([pa.array(np.repeat(own[a : a + TOGETHER], n)), pa.array(np.repeat(np.array(mark, np.int64), n)), pa.array(np.concatenate([ids[at] for at, _ in found])), pa.array(np.concatenate([s for _, s in found]))], ["query_id", "mark", "vec_id", "score"])
 
-    found = blocks.join(queries, "slot").select("ids", "rows", "width", "queries").mapInArrow(search, "query_id long, mark long, vec_id long, score long")
+    found = blocks.join(queries, "slot").select("ids", "rows", "width", "queries").repartition(pairs).mapInArrow(search, "query_id long, mark long, vec_id long, score long")
     order = Window.partitionBy("query_id", "mark").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(order).cast("int")).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
