@@ -20,6 +20,8 @@ from factorspark.llm.common import ship, steps
 #: log2 of the number of buckets, the n-gram lengths, and labelled rows to learn from for each language at most.
 BITS, ORDERS, PER_LANGUAGE = 15, (1, 2, 3), 800
 UNKNOWN = "und"
+#: Rows of sampled ids that may be broadcast; beyond, they are joined by shuffle.
+MOST_BROADCAST = 100_000
 _FACTORS = tuple(np.uint32(x) for x in (0x9E3779B1, 0x85EBCA77, 0xC2B2AE3D, 0x27D4EB2F))
 
 
@@ -93,7 +95,12 @@ def train(docs: DataFrame, per_language: int = PER_LANGUAGE) -> Model:
     prior = {r["lang"]: r["count"] for r in known.groupBy("lang").count().collect()}
     languages = sorted(prior)
     nth = F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id"))
-    picked = known.select("doc_id", "lang").withColumn("nth", nth).filter(F.col("nth") <= per_language).select("doc_id", "lang").distinct()
+    # of a frequent language only a hash range with a few times the rows needed goes into the ranking
+    part = F.create_map(*[F.lit(x) for lang, n in prior.items() for x in (lang, min(1.0, 4 * per_language / n))])[F.col("lang")] if prior else F.lit(1.0)
+    near = (F.xxhash64("doc_id").cast("double") + 2.0**63) / 2.0**64 <= part
+    picked = known.select("doc_id", "lang").filter(near).withColumn("nth", nth).filter(F.col("nth") <= per_language).select("doc_id", "lang").distinct()
+    if per_language * len(languages) <= MOST_BROADCAST:  # rows of two short columns
+        picked = F.broadcast(picked)
     sample = known.select("doc_id", "lang", "text").join(picked, ["doc_id", "lang"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
