@@ -14,8 +14,8 @@ from factorspark.llm.common import before, settle, word_count
 
 #: Weights of the sources in order, repeating; the mix's share of all words; how often a source is taken at most.
 WEIGHTS, SHARE, REPEATS = (5, 2, 1), 1.5, 2
-#: Rows of one sorted chunk on average.
-CHUNK = 50_000
+#: Rows of one sorted chunk on average, until there are as many chunks as allowed; then chunks grow.
+CHUNK, MOST_CHUNKS = 5_000, 100_000
 SEED = "mix-1"
 
 
@@ -62,7 +62,7 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = SHAR
     mark = F.md5(F.coalesce(F.col("text"), F.lit("")).cast("binary"))
     base = docs.select(F.col("doc_id").cast("long"), F.col("source"), word_count().alias("size"), row_key().alias("row_key"), mark.alias("mark"), F.monotonically_increasing_id().alias("row"))
     base = settle(base.withColumn("at", shuffle_key()))
-    chunks = max(1, base.count() // chunk)
+    chunks = min(MOST_CHUNKS, max(1, base.count() // chunk))
     goal = settle(targets(base, weights, share, repeats))
     spread = F.floor(F.col("at") * (chunks / 2.0**60))
     queue = before(base.filter("size > 0"), ["source"], [F.col("at"), F.col("doc_id"), F.col("mark")], F.least(spread, F.lit(chunks - 1)), chunks, F.col("size"), "offered")

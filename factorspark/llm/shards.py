@@ -13,8 +13,8 @@ from pyspark.sql import functions as F
 from factorspark.llm.common import before, settle
 
 SHARDS, PARTITIONS, SEED = 8, 64, 4
-#: Partitions whose part of the matrix is drawn in one row; rows of one sorted chunk on average.
-BRANCH, CHUNK = 8, 50_000
+#: Partitions whose part of the matrix is drawn in one row; rows of one sorted chunk on average, and chunks of a group at most.
+BRANCH, CHUNK, MOST_CHUNKS = 8, 5_000, 100_000
 
 
 def uniform(*parts: Column) -> Column:
@@ -120,7 +120,7 @@ def shuffle_shards(docs: DataFrame, shards: int = SHARDS, partitions: int = PART
 
     def permuted(df: DataFrame, by: str, groups: int, salt: int, name: str) -> DataFrame:
         """The place of each row in a random order of its group."""
-        chunks = max(1, rows // groups // chunk)
+        chunks = min(MOST_CHUNKS, max(1, rows // groups // chunk))
         key = f"key_{name}"
         df = df.withColumn(key, uniform(F.lit(seed), F.lit(salt), F.col("row")))
         return before(df, [by], [F.col(key), F.col("row")], F.floor(F.col(key) * chunks), chunks, F.lit(1), name)
