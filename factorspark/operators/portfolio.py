@@ -102,16 +102,17 @@ def inverse_vol_weights(df: DataFrame, keys: list[str], vol: str, variant: str =
     A key holds one portfolio, a handful of names by construction.
     """
     g = df.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct(order, F.col(vol).alias("v")))).alias("r"))
+    # steps are columns of their own, as the analyzer resolves nested array functions level by level
     if variant == "live":
-        inv = F.transform("r", lambda x: F.when(x["v"] > 0, 1 / F.greatest(x["v"], F.lit(MIN_VOL))))
-        known = F.filter(inv, lambda x: x.isNotNull())
-        mean = _total(known) / F.size(known)
-        raw = F.transform(inv, lambda x: F.coalesce(x, mean))
-        ws = F.when(F.size(known) > 0, bounded_live(F.transform(raw, lambda x: x / _total(raw)))).otherwise(
-            F.transform("r", lambda _: F.round(1 / F.size("r"), 6)))
+        g = g.withColumn("inv", F.transform("r", lambda x: F.when(x["v"] > 0, 1 / F.greatest(x["v"], F.lit(MIN_VOL)))))
+        g = g.withColumn("known", F.filter("inv", lambda x: x.isNotNull()))
+        g = g.withColumn("mean", _total(F.col("known")) / F.size("known"))
+        g = g.withColumn("raw", F.transform("inv", lambda x: F.coalesce(x, F.col("mean"))))
+        ws = F.when(F.size("known") > 0, bounded_live(F.col("raw"))).otherwise(F.transform("r", lambda _: F.round(1 / F.size("r"), 6)))
     else:
         ws = bounded_study(F.transform("r", lambda x: 1 / F.greatest(F.coalesce(x["v"], F.lit(0.3)), F.lit(MIN_VOL))))
-    z = F.arrays_zip(F.transform("r", lambda x: x[order]).alias("id"), ws.alias("w"))
+    g = g.withColumn("ws", ws)
+    z = F.arrays_zip(F.transform("r", lambda x: x[order]).alias("id"), F.col("ws").alias("w"))
     return (g.select(*keys, F.explode(z).alias("z")).select(*keys, F.col("z.id").alias(order), F.col("z.w").alias("w")))
 
 
