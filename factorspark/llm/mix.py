@@ -41,9 +41,9 @@ def targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float =
     place = (F.row_number().over(Window.orderBy(F.col("source").asc_nulls_last())) - 1) % len(weights)
     s = s.withColumn("weight", F.element_at(F.array(*map(F.lit, weights)), place + 1)).withColumn("limit", F.col("source_size") * repeats)
     order = Window.orderBy(F.col("limit") / F.col("weight"), F.col("source").asc_nulls_last())
-    ahead, rest = order.rowsBetween(Window.unboundedPreceding, -1), order.rowsBetween(0, Window.unboundedFollowing)
+    ahead = order.rowsBetween(Window.unboundedPreceding, -1)
     every = Window.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    s = s.withColumn("full", F.coalesce(F.sum("limit").over(ahead), F.lit(0))).withColumn("open", F.sum("weight").over(rest))
+    s = s.withColumn("full", F.coalesce(F.sum("limit").over(ahead), F.lit(0))).withColumn("open", F.sum("weight").over(every) - F.coalesce(F.sum("weight").over(ahead), F.lit(0)))
     s = s.withColumn("multiple", (F.sum("source_size").over(every) * F.lit(share) - F.col("full")) / F.col("open"))
     limited = F.col("limit") <= F.col("weight") * F.col("multiple")
     level = F.max(F.when(~limited, F.col("multiple"))).over(every)
