@@ -2,17 +2,18 @@
 
 from __future__ import annotations
 
-import math
-
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from factorspark.operators import xsection as X
 
 STYLE_ORDER = ("MKT", "SMB", "HML", "UMD")
 MIN_OBS, MIN_OBS_NAME, MIN_LEG = 30, 20, 6
+#: Sessions that the model looks back.
+LOOKBACK = 252
 
 
 def winsorized_returns(rets: DataFrame, k: float = 3.0) -> DataFrame:
@@ -51,59 +52,108 @@ def factor_returns(rets: DataFrame, market: DataFrame, chars: DataFrame) -> Data
     return mkt.unionByName(styles).unionByName(sect)
 
 
+def lookback(rets: DataFrame, market: DataFrame, sessions: int = LOOKBACK) -> tuple[DataFrame, DataFrame]:
+    """Both inputs on the dates that are among the last ``sessions`` of either; no row below ``MIN_OBS`` such dates."""
+    def last(df: DataFrame) -> DataFrame:
+        return df.select("date").distinct().orderBy(F.desc("date")).limit(sessions)
+
+    dates = last(rets).join(last(market), "date")
+    enough = dates.groupBy().agg(F.collect_list("date").alias("_d")).filter(F.size("_d") >= MIN_OBS).select(F.explode("_d").alias("date"))
+    return rets.join(enough, "date", "left_semi"), market.join(enough, "date", "left_semi")
+
+
+def _days(factors: DataFrame, keys: list[str]) -> DataFrame:
+    """One row for each date that has every factor: ``v``, its values as (place, factor, f) in fixed order."""
+    place = F.coalesce(F.nullif(F.array_position(F.array(*map(F.lit, STYLE_ORDER)), F.col("factor")), F.lit(0)), F.lit(len(STYLE_ORDER) + 1))
+    v = F.sort_array(F.collect_list(F.struct(place.alias("place"), "factor", "f")))
+    day = factors.filter("f is not null").groupBy(*keys, "date").agg(v.alias("v"))
+    # dates are at most a calendar, so one window over them is small
+    return day.withColumn("_most", F.max(F.size("v")).over(Window.partitionBy(*(keys or [F.lit(0)])))).filter(F.size("v") == F.col("_most")).drop("_most")
+
+
+def _moments(rows: DataFrame, keys: list[str]) -> DataFrame:
+    """Means and the covariances of the upper triangle, in order, of the arrays ``x``: sums that combine map-side."""
+    pairs = rows.select(*keys, F.posexplode("x").alias("i", "a"), "x").select(*keys, "i", "a", F.posexplode("x").alias("j", "b")).filter("j >= i")
+    cells = pairs.groupBy(*keys, "i", "j").agg(F.covar_samp("a", "b").alias("c"), F.avg("a").alias("m"), F.count("*").alias("n"))
+    row = F.sort_array(F.collect_list(F.struct("i", "j", "c", "m")))  # as many as pairs of factors
+    return cells.groupBy(*keys).agg(row.alias("_row"), F.first("n").alias("n")).select(
+        *keys, "n", F.col("_row.c").alias("cov"), F.expr("transform(filter(_row, r -> r.i = r.j), r -> r.m)").alias("mean"))
+
+
+def _square(cov: pd.Series, width: int) -> np.ndarray:
+    """Symmetric matrices from upper triangles."""
+    out = np.zeros((len(cov), width, width))
+    i, j = np.triu_indices(width)
+    flat = np.stack(cov.to_numpy()).astype(float)
+    out[:, i, j] = flat
+    out[:, j, i] = flat
+    return out
+
+
+@F.pandas_udf(T.ArrayType(T.ArrayType(T.DoubleType())))
+def _residual_rows(cov: pd.Series, width: pd.Series) -> pd.Series:
+    """Rows of weights that turn centred factors into their residuals on those before: the inverse of the unit Cholesky factor."""
+    out = []
+    for flat, k in zip(cov, width, strict=True):
+        left, rows = _square(pd.Series([flat]), k)[0], np.eye(k)
+        for j in range(k - 1):
+            if left[j, j] > 0:
+                part = left[:, j] / left[j, j]
+                part[: j + 1] = 0
+                left = left - np.outer(part, left[j])
+                rows = rows - np.outer(part, rows[j])
+        out.append(rows.tolist())
+    return pd.Series(out)
+
+
 def orthogonalize(factors: DataFrame, as_of: str | None = None) -> DataFrame:
     """Each factor's residual on the ones before it (market, styles, then sectors by name).
 
-    The factor table holds one row per session and factor — calendar times a dozen — and the steps
-    depend on each other, so one grouped task per as-of date does it. Only dates with every factor
-    take part.
+    Only dates with every factor take part. The covariances of all factors decide the projections, so they are aggregated
+    first; one row of weights per as-of date then goes back to the dates.
     """
-    key = as_of or "_one"
-    df = factors if as_of else factors.withColumn("_one", F.lit(0))
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        wide = pdf.pivot(index="date", columns="factor", values="f").dropna()
-        first = [c for c in STYLE_ORDER if c in wide.columns]
-        cols = first + sorted(c for c in wide.columns if c not in first)
-        out = wide[cols].to_numpy(dtype=float)
-        for j in range(1, len(cols)):
-            x = np.column_stack([np.ones(len(out)), out[:, :j]])
-            out[:, j] -= x @ np.linalg.lstsq(x, out[:, j], rcond=None)[0]
-        res = pd.DataFrame(out, index=wide.index, columns=cols).stack().reset_index()
-        res.columns = ["date", "factor", "f"]
-        res.insert(0, key, pdf[key].iloc[0])
-        return res
-
-    schema = f"{key} {dict(df.dtypes)[key]}, date date, factor string, f double"
-    out = df.groupBy(key).applyInPandas(run, schema)
-    return out if as_of else out.drop("_one")
+    keys = [as_of] if as_of else []
+    day = _days(factors, keys).withColumn("x", F.col("v.f"))
+    m = _moments(day, keys).withColumn("w", _residual_rows("cov", F.size("mean"))).select(*keys, "mean", "w")
+    day = day.join(F.broadcast(m), keys) if keys else day.crossJoin(F.broadcast(m))  # one row
+    centred = F.zip_with("x", "mean", lambda x, y: x - y)
+    day = day.withColumn("_c", centred)
+    value = F.transform("w", lambda row, k: F.when(k == 0, F.element_at("x", 1)).otherwise(
+        F.aggregate(F.zip_with(row, F.col("_c"), lambda a, b: a * b), F.lit(0.0), lambda s, y: s + y)))
+    rows = F.arrays_zip(F.col("v.factor").alias("factor"), value.alias("f"))
+    return day.select(*keys, "date", F.explode(rows).alias("r")).select(*keys, "date", F.col("r.factor").alias("factor"), F.col("r.f").alias("f"))
+
+
+@F.pandas_udf(T.StructType([T.StructField("beta", T.ArrayType(T.DoubleType())), *[T.StructField(c, T.DoubleType()) for c in ("alpha", "specific", "r2")]]))
+def _fit(cov: pd.Series, mean: pd.Series, width: pd.Series) -> pd.DataFrame:
+    """Least squares of the last variable on the others, for all rows of equal width at once."""
+    out = pd.DataFrame({"beta": [[]] * len(cov), "alpha": np.nan, "specific": np.nan, "r2": 0.0})
+    for k in width.unique():
+        at = np.flatnonzero(width == k)
+        c, mu = _square(cov.iloc[at], k), np.stack(mean.iloc[at].to_numpy()).astype(float)
+        beta = (np.linalg.pinv(c[:, :-1, :-1], hermitian=True) @ c[:, :-1, -1:])[:, :, 0]
+        total, explained = c[:, -1, -1], (beta * c[:, :-1, -1]).sum(axis=1)
+        for i, b in zip(at, beta.tolist(), strict=True):
+            out.at[i, "beta"] = b
+        out.loc[at, "alpha"] = mu[:, -1] - (beta * mu[:, :-1]).sum(axis=1)
+        out.loc[at, "specific"] = np.sqrt(np.maximum(total - explained, 0) * 252)
+        out.loc[at, "r2"] = np.maximum(0, np.divide(explained, total, out=np.zeros(len(at)), where=total > 0))
+    return out
 
 
 def exposures(rets: DataFrame, factors: DataFrame) -> DataFrame:
     """Least squares of every security's returns on the factors: (sid, factor, beta, specific, r2).
 
-    Each security sends its own returns with the day's factor vector (built once per session), so
-    a group is bounded by sessions and securities run in parallel.
+    Products of a day's return and factors are summed by security before they are exchanged; what is left is a small system for
+    each security. Ids may have any type. Securities with less than ``MIN_OBS_NAME`` returns are left out.
     """
-    day = factors.groupBy("date").agg(F.map_from_entries(F.collect_list(F.struct("factor", "f"))).alias("fs"))
-    rows = rets.join(day, "date").select("sid", "r", "fs")
-
-    def fit(pdf: pd.DataFrame) -> pd.DataFrame:
-        if len(pdf) < MIN_OBS_NAME:
-            return pd.DataFrame({"sid": [], "factor": [], "beta": [], "specific": [], "r2": []})
-        fs = pd.DataFrame([dict(m) for m in pdf["fs"]])
-        fs = fs[sorted(fs.columns)]
-        y = pdf["r"].to_numpy(dtype=float)
-        x = np.column_stack([np.ones(len(y)), fs.to_numpy(dtype=float)])
-        beta = np.linalg.lstsq(x, y, rcond=None)[0]
-        res = y - x @ beta
-        tot = ((y - y.mean()) ** 2).sum()
-        r2 = max(0.0, 1 - (res ** 2).sum() / tot) if tot > 0 else 0.0
-        names = ["alpha", *fs.columns]
-        return pd.DataFrame({"sid": pdf["sid"].iloc[0], "factor": names, "beta": beta,
-                             "specific": res.std(ddof=1) * math.sqrt(252), "r2": r2})
-
-    return rows.groupBy("sid").applyInPandas(fit, "sid long, factor string, beta double, specific double, r2 double")
+    day = _days(factors, [])
+    rows = rets.filter("r is not null").join(day, "date").select("sid", F.concat(F.col("v.f"), F.array("r")).alias("x"))
+    names = day.agg(F.first("v.factor").alias("names"))
+    m = _moments(rows, ["sid"]).filter(F.col("n") >= MIN_OBS_NAME).withColumn("fit", _fit("cov", "mean", F.size("mean")))
+    m = m.crossJoin(F.broadcast(names))  # one row
+    cells = F.arrays_zip(F.concat(F.array(F.lit("alpha")), "names").alias("factor"), F.concat(F.array("fit.alpha"), "fit.beta").alias("beta"))
+    return m.select("sid", F.explode(cells).alias("e"), "fit.specific", "fit.r2").select("sid", F.col("e.factor").alias("factor"), F.col("e.beta").alias("beta"), "specific", "r2")
 
 
 def factor_cov(factors: DataFrame) -> DataFrame:

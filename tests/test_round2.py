@@ -4,9 +4,11 @@ import time
 
 import numpy as np
 import pandas as pd
+import pytest
 from pyspark.sql import functions as F
 
 from factorspark.operators import portfolio as W
+from factorspark.operators import risk as K
 from factorspark.operators import selection as L
 from factorspark.operators import stats as S
 from factorspark.operators import timeseries as ts
@@ -99,3 +101,27 @@ def test_bounds_of_live_weights(spark):
             order = np.argsort(c, kind="stable")
             assert all(w[a] <= w[b] + 1e-9 for a, b in zip(order, order[1:], strict=False))
     assert got[1] == [0.5, 0.5] and got[2] == [0.25] * 4 and got[5] == [0.25] * 4
+
+
+def test_risk_model_takes_text_ids_and_looks_back(spark):
+    rng = np.random.default_rng(4)
+    days = pd.date_range("2019-01-01", periods=300).date
+    rows = pd.concat([pd.DataFrame({"sid": f"T{i}", "date": days, "r": rng.normal(0, .01, 300)}) for i in range(3)])
+    market = pd.DataFrame({"date": days[:290], "m": rng.normal(0, .01, 290)})
+    r, m = K.lookback(spark.createDataFrame(rows), spark.createDataFrame(market))
+    got = sorted(x.date for x in m.collect())
+    assert got[0] == days[48] and got[-1] == days[289] and len(got) == 242  # the last 252 dates of either that both have
+    f = pd.concat([pd.DataFrame({"date": days, "factor": k, "f": rng.normal(0, .01, 300)}) for k in ("UMD", "MKT", "SEC_A")])
+    ortho = K.orthogonalize(spark.createDataFrame(f))
+    e = K.exposures(r, ortho).toPandas()
+    assert set(e["sid"]) == {"T0", "T1", "T2"} and set(e["factor"]) == {"alpha", "MKT", "UMD", "SEC_A"}
+    wide = ortho.toPandas().pivot(index="date", columns="factor", values="f")
+    centred = (wide - wide.mean())[["MKT", "UMD", "SEC_A"]].to_numpy()
+    products = centred.T @ centred
+    assert np.abs(products - np.diag(np.diag(products))).max() < 1e-12  # residuals are orthogonal to the factors before them
+    own = rows[(rows["sid"] == "T1") & rows["date"].isin(got)].set_index("date")["r"]
+    x = np.column_stack([np.ones(len(own)), wide.loc[own.index, ["MKT", "UMD", "SEC_A"]].to_numpy()])
+    beta = np.linalg.lstsq(x, own.to_numpy(), rcond=None)[0]
+    assert e[e["sid"] == "T1"].set_index("factor").loc[["alpha", "MKT", "UMD", "SEC_A"], "beta"].to_numpy() == pytest.approx(beta)
+    short, none = K.lookback(spark.createDataFrame(rows), spark.createDataFrame(market.head(70)))
+    assert short.isEmpty() and none.isEmpty()
