@@ -32,6 +32,14 @@ def sql_nw(src, keys, x, order, lag, name="nw"):
 {name} AS (SELECT {keys}, n, mean, CASE WHEN n >= 3 AND {var} > 1e-300 THEN mean / sqrt(({var}) / n / n) END AS t_nw FROM {name}_g)"""
 
 
+def sql_student_p(t, df, terms=4000):
+    """Two-sided Student-t p-value as the power series of the incomplete beta function at t^2 / (df + t^2), for any real df."""
+    y = f"greatest(({t}) * ({t}) / (({df}) + ({t}) * ({t})), 1e-300)"
+    a = f"(({df}) / 2.0)"
+    series = (f"list_sum(list_transform(range(0, {terms}), lambda term_: exp(lgamma({a} + 0.5 + term_) - lgamma({a} + 0.5) - lgamma(1.5 + term_) + lgamma(1.5) + term_ * ln({y}))))")
+    return f"(1 - exp(lgamma({a} + 0.5) - lgamma({a}) - lgamma(0.5) + 0.5 * ln({y}) + {a} * ln(1 - {y})) * 2 * {series})"
+
+
 @query("agg_newey_west_t", "sid:i n:i mean:6 t_nw:5", MS_SQL + "," + sql_nw("ms", "sid", "r", "t", 3) + " SELECT * FROM nw")
 def _(t):
     return S.newey_west(series(t), ["sid"], "r", "t", 3)
@@ -98,7 +106,7 @@ def _(t):
     return pvalues(t)
 
 
-@query("agg_p_value_student", "sid:i p:6")
+@query("agg_p_value_student", "sid:i p:6", P_SQL + f"SELECT sid, {sql_student_p('t_nw', 'n - 1')} AS p FROM nw WHERE t_nw IS NOT NULL")
 def _(t):
     return pvalues(t).select("sid", student_t_p("t_nw", (F.col("n") - 1).cast("double")).alias("p"))
 
@@ -188,7 +196,16 @@ def _(t):
     return S.ic_summary(horizon_ics(t), ["factor", "days"], "days")
 
 
-@query("ic_tests", "factor:s days:i n_eff:4 t_nw:4 p_value:5 q_value:5 reject:b")
+LAGS = {5: 0, 20: 3, 60: 11}
+
+
+@query("ic_tests", "factor:s days:i n_eff:4 t_nw:4 p_value:5 q_value:5 reject:b", HORIZON_SQL + "," + ",".join(
+    f"h{d} AS (SELECT * FROM hic WHERE days = {d})," + sql_nw(f"h{d}", "factor, days", "ic", "t", lag, f"nw{d}") for d, lag in LAGS.items()) + f""",
+al AS ({" UNION ALL ".join(f"SELECT factor, days, n / {lag + 1} AS n_eff, t_nw FROM nw{d}" for d, lag in LAGS.items())}),
+pt AS (SELECT *, {sql_student_p('t_nw', 'greatest(n_eff - 1, 1)')} AS p_value FROM al WHERE n_eff >= 3 AND t_nw IS NOT NULL),
+rk AS (SELECT *, factor || '|' || days AS tie, row_number() OVER (ORDER BY p_value, factor || '|' || days) AS i, count(*) OVER () AS m FROM pt),
+qv AS (SELECT *, least(1, min(p_value * m / i) OVER (ORDER BY p_value DESC, tie DESC)) AS q_value FROM rk)
+SELECT *, q_value <= 0.05 AS reject FROM qv""")
 def _(t):
     s = S.ic_summary(horizon_ics(t), ["factor", "days"], "days", min_eff=3)
     return S.benjamini_hochberg(s.withColumn("k", F.lit(1)).withColumn("tie", F.concat_ws("|", "factor", "days")), ["k"], "p_value", "tie")
@@ -283,7 +300,15 @@ def _(t):
     return S.newey_west(ics, ["slice", "factor"], "ic", "t", 3)
 
 
-@query("bootstrap_sharpe_diff", "sid:i lo:6 hi:6 reps:i")
+@query("bootstrap_sharpe_diff", "sid:i lo:6 hi:6 reps:i", MS_SQL + """,
+mk AS (SELECT t, avg(r) AS m FROM ms GROUP BY t),
+rw AS (SELECT sid, r, m, row_number() OVER (PARTITION BY sid ORDER BY t) - 1 AS i FROM ms JOIN mk USING (t) WHERE r IS NOT NULL AND m IS NOT NULL),
+sz AS (SELECT sid, count(*) AS n FROM rw GROUP BY sid),
+bl AS (SELECT sid, n, rep, blk FROM sz, unnest(generate_series(1, 2000)) AS a(rep), unnest(generate_series(0, n // 6)) AS b(blk)),
+st AS (SELECT *, CAST('0x' || substr(md5(concat_ws('|', '0', sid, rep, blk)), 1, 15) AS BIGINT) % n AS start FROM bl),
+dr AS (SELECT sid, rep, (start + k) % n AS i FROM st, unnest(generate_series(0, 5)) AS c(k) WHERE blk * 6 + k < n),
+df AS (SELECT sid, rep, (avg(r) / CASE WHEN stddev_samp(r) > 0 THEN stddev_samp(r) END - avg(m) / CASE WHEN stddev_samp(m) > 0 THEN stddev_samp(m) END) * sqrt(12) AS diff FROM dr JOIN rw USING (sid, i) GROUP BY sid, rep)
+SELECT sid, quantile_cont(diff, 0.025) AS lo, quantile_cont(diff, 0.975) AS hi, count(*) AS reps FROM df GROUP BY sid""")
 def _(t):
     market = series(t).groupBy("t").agg(F.avg("r").alias("m"))
     return S.block_bootstrap_sharpe_diff(series(t).join(market, "t"), ["sid"], "r", "m", "t")

@@ -161,8 +161,8 @@ def block_bootstrap_sharpe_diff(df: DataFrame, keys: list[str], a: str, b: str,
                                 seed: int = 0) -> DataFrame:
     """2.5 and 97.5 percentiles of the Sharpe difference under a circular block bootstrap.
 
-    Each replication draws block starts by hashing (seed, replication, block), joins them to the
-    numbered periods by equality and aggregates; replications are rows, not loop passes.
+    Each replication draws block starts from the md5 of (seed, keys, replication, block), which other engines have too, joins
+    them to the numbered periods by equality and aggregates; replications are rows, not loop passes.
     """
     w = Window.partitionBy(*keys).orderBy(order)
     rows = df.filter(F.col(a).isNotNull() & F.col(b).isNotNull())
@@ -170,7 +170,7 @@ def block_bootstrap_sharpe_diff(df: DataFrame, keys: list[str], a: str, b: str,
     size = rows.groupBy(*keys).agg(F.count("*").alias("_m"))
     draws = (size.withColumn("_rep", F.explode(F.sequence(F.lit(1), F.lit(reps))))
              .withColumn("_blk", F.explode(F.sequence(F.lit(0), F.floor(F.col("_m") / block).cast("int"))))
-             .withColumn("_start", F.pmod(F.xxhash64(F.lit(seed), *keys, "_rep", "_blk"), F.col("_m")))
+             .withColumn("_start", F.conv(F.substring(F.md5(F.concat_ws("|", F.lit(str(seed)), *[F.col(c).cast("string") for c in keys], "_rep", "_blk")), 1, 15), 16, 10).cast("long") % F.col("_m"))
              .withColumn("_k", F.explode(F.sequence(F.lit(0), F.lit(block - 1))))
              .filter(F.col("_blk") * block + F.col("_k") < F.col("_m"))
              .withColumn("_i", ((F.col("_start") + F.col("_k")) % F.col("_m")).cast("int")))
