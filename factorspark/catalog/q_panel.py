@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from factorspark.catalog.q_prices import LIQ_SQL, UNIVERSE
+from factorspark.catalog.q_prices import adjusted, LIQ_SQL, PASSES_SQL, UNIVERSE
 from factorspark.catalog.q_scalars import sql_ppf
 from factorspark.catalog.registry import query
 from factorspark.operators import portfolio as W
@@ -26,20 +26,22 @@ me AS (SELECT *, lead(t) OVER (ORDER BY t) AS t_next FROM me0),
 mr AS (SELECT t, (SELECT max(rebalance_date) FROM uni WHERE rebalance_date <= t) AS rebalance_date FROM me WHERE prev_sno >= 261),
 pr AS (SELECT me.*, u.sid FROM mr JOIN uni u USING (rebalance_date) JOIN me USING (t)),
 dv AS (SELECT s.sid, e.last_date_prior AS date, sum(e.value) AS dividend FROM cash_events e JOIN securities s ON s.root = e.root AND s.kind = e.type GROUP BY ALL),
-pb AS (SELECT b.sid, b.date, b.sno, b.close, b.volume, b.close / lag(b.close) OVER (PARTITION BY b.sid ORDER BY b.sno) - 1 AS ret, coalesce(dv.dividend, 0) AS dividend
-  FROM sbars b LEFT JOIN dv USING (sid, date)),
+adj AS MATERIALIZED ({PASSES_SQL} SELECT sid, date, first_value(close) OVER w / coalesce(product(1 + coalesce(ret_total, 0)) OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 1) AS tr
+  FROM passes WINDOW w AS (PARTITION BY sid ORDER BY date DESC)),
+pb AS (SELECT b.sid, b.date, b.sno, b.close, adj.tr, b.volume, adj.tr / lag(adj.tr) OVER (PARTITION BY b.sid ORDER BY b.sno) - 1 AS ret, coalesce(dv.dividend, 0) AS dividend
+  FROM sbars b JOIN adj USING (sid, date) LEFT JOIN dv USING (sid, date)),
 im AS (SELECT sno, close / lag(close) OVER (ORDER BY sno) - 1 AS m FROM index_close),
 iv AS (SELECT sno, m, var_samp(m) OVER (ORDER BY sno ROWS 251 PRECEDING) AS m_var FROM im),
-x AS (SELECT pr.t, pr.sid, pr.t_prev, pr.prev_sno, b.sno, b.date, b.close, b.volume, b.ret, b.dividend, iv.m, pr.prev_sno - b.sno AS k
+x AS (SELECT pr.t, pr.sid, pr.t_prev, pr.prev_sno, b.sno, b.date, b.close, b.tr, b.volume, b.ret, b.dividend, iv.m, pr.prev_sno - b.sno AS k
   FROM pr JOIN pb b ON b.sid = pr.sid AND b.sno <= pr.prev_sno AND b.sno > pr.prev_sno - 400 JOIN iv ON iv.sno = b.sno),
-sg0 AS (SELECT t, sid, t_prev, prev_sno, arg_max(close, sno) FILTER (k <= {FILL}) AS px, arg_max(close, sno) FILTER (k BETWEEN 21 AND 21 + {FILL}) AS p21,
-  arg_max(close, sno) FILTER (k BETWEEN 63 AND 63 + {FILL}) AS p63, arg_max(close, sno) FILTER (k BETWEEN 126 AND 126 + {FILL}) AS p126,
-  arg_max(close, sno) FILTER (k BETWEEN 252 AND 252 + {FILL}) AS p252, stddev_samp(ret) FILTER (k < 252) * sqrt(252) AS VOL, stddev_samp(ret) FILTER (k < 180) * sqrt(252) AS vol180,
+sg0 AS (SELECT t, sid, t_prev, prev_sno, arg_max(close, sno) FILTER (k <= {FILL}) AS px, arg_max(tr, sno) FILTER (k <= {FILL}) AS p0, arg_max(tr, sno) FILTER (k BETWEEN 21 AND 21 + {FILL}) AS p21,
+  arg_max(tr, sno) FILTER (k BETWEEN 63 AND 63 + {FILL}) AS p63, arg_max(tr, sno) FILTER (k BETWEEN 126 AND 126 + {FILL}) AS p126,
+  arg_max(tr, sno) FILTER (k BETWEEN 252 AND 252 + {FILL}) AS p252, stddev_samp(ret) FILTER (k < 252) * sqrt(252) AS VOL, stddev_samp(ret) FILTER (k < 180) * sqrt(252) AS vol180,
   stddev_samp(ret) FILTER (k < 126) * sqrt(252) AS vol126, CASE WHEN count(ret) FILTER (k < 252) > 30 THEN covar_samp(ret, m) FILTER (k < 252) END AS cov,
   avg(volume) FILTER (k < 63) AS LIQ, avg(volume) FILTER (k < 30) AS adv30, sum(dividend) FILTER (t_prev - date < 365) AS dividends FROM x GROUP BY ALL),
-sg AS (SELECT pr.t, pr.sid, pr.t_prev, px, p21 / p252 - 1 AS MOM, px / p21 - 1 AS REV, p21 / p63 - 1 AS ret3, p21 / p126 - 1 AS ret6, VOL, vol180, vol126, cov / iv.m_var AS BETA,
+sg AS (SELECT pr.t, pr.sid, pr.t_prev, px, p21 / p252 - 1 AS MOM, p0 / p21 - 1 AS REV, p21 / p63 - 1 AS ret3, p21 / p126 - 1 AS ret6, VOL, vol180, vol126, cov / iv.m_var AS BETA,
   LIQ, adv30, coalesce(dividends, 0) / px AS dy FROM pr LEFT JOIN sg0 USING (t, sid) LEFT JOIN iv ON iv.sno = pr.prev_sno),
-mp AS (SELECT sid, date_trunc('month', date) AS month, max(sno) AS s, arg_max(close, sno) AS c FROM pb GROUP BY ALL),
+mp AS (SELECT sid, date_trunc('month', date) AS month, max(sno) AS s, arg_max(tr, sno) AS c FROM pb GROUP BY ALL),
 fw AS (SELECT pr.t, pr.sid, CASE WHEN n.c IS NULL THEN 0 ELSE n.c / CASE WHEN pr.t_sno - a.s <= {FILL} THEN a.c END - 1 END AS fwd FROM pr
   LEFT JOIN mp a ON a.sid = pr.sid AND a.month = pr.month LEFT JOIN mp n ON n.sid = pr.sid AND n.month = pr.month + INTERVAL 1 MONTH WHERE pr.t_next IS NOT NULL),
 fd AS (SELECT issuer, dt_refer, available_from, {", ".join(f"{e} AS {n}" for n, e in DOC_EXPR.items())} FROM filings),
@@ -63,9 +65,11 @@ def documents(t):
 
 
 def panel_bars(t):
+    """Bars with the series adjusted for splits and dividends, and the dividends themselves."""
     pairs = t.securities.select("root", F.col("kind").alias("type"), "sid")
     div = t.cash_events.join(pairs, ["root", "type"]).groupBy("sid", F.col("last_date_prior").alias("date")).agg(F.sum("value").alias("dividend"))
-    b = t.sbars.select("sid", "date", "sno", "close", "volume", ts.returns("close", ts.by_row()).alias("ret"))
+    b = t.sbars.join(adjusted(t).select("sid", "date", "tr_close"), ["sid", "date"])
+    b = b.select("sid", "date", "sno", "close", "tr_close", "volume", ts.returns("tr_close", ts.by_row()).alias("ret"))
     return b.join(div, ["sid", "date"], "left").withColumn("dividend", F.coalesce("dividend", F.lit(0.0)))
 
 

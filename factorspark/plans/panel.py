@@ -25,7 +25,8 @@ MIN_SESSIONS = 261
 def price_signals(bars: DataFrame, index: DataFrame, probes: DataFrame, fill: int = 0, min_beta: int = 150) -> DataFrame:
     """Momentum, volatility, beta, volume and dividend signals of each probe, as of ``prev_sno``.
 
-    ``bars``: sid, sno, date, close, volume, ret, dividend; ``index``: sno, close; ``probes``: t, t_prev,
+    ``bars``: sid, sno, date, close, tr_close, volume, ret, dividend, where ``tr_close`` is adjusted for splits and dividends and ``ret``
+    its return, so that a split is no crash; ``px`` and ``dy`` take the price as quoted. ``index``: sno, close; ``probes``: t, t_prev,
     prev_sno, sid. Probes are sorted in among the bars and read frames that range over session
     ordinals: one shuffle by security serves every signal, nothing is densified and no date is
     looped over. Moments come from running sums, whose frames only grow.
@@ -33,7 +34,7 @@ def price_signals(bars: DataFrame, index: DataFrame, probes: DataFrame, fill: in
     wi = Window.partitionBy("_k").orderBy("sno")
     idx = index.withColumn("_k", F.lit(1)).withColumn("m", F.col("close") / F.lag("close").over(wi) - 1)
     idx = ts.rolling_moments(idx, "m", wi, 252, "_m").select("sno", "m", (F.col("_m_std") * F.col("_m_std")).alias("m_var"))
-    rows = (bars.join(idx, "sno").select("sid", "sno", "date", "close", "volume", "ret", "dividend", "m",
+    rows = (bars.join(idx, "sno").select("sid", "sno", "date", "close", "tr_close", "volume", "ret", "dividend", "m",
                                          F.col("close").alias("px_own"))
             .unionByName(probes.join(idx.select("sno", "m_var"), probes.prev_sno == F.col("sno"))
                          .select("sid", "sno", F.col("t_prev").alias("date"), "t", "m_var"), allowMissingColumns=True))
@@ -57,10 +58,10 @@ def price_signals(bars: DataFrame, index: DataFrame, probes: DataFrame, fill: in
     c, sr, sm, srm = count(r, 252), window_sum(r, 252), window_sum(mm, 252), window_sum(r * m, 252)
     cov = F.when(c > min_beta, (srm - sr * sm / c) / (c - 1))
     days = Window.partitionBy("sid").orderBy("_day").rangeBetween(-364, 0)
-    at = {k: ts.at_session("close", w, k, fill) for k in (0, 21, 63, 126, 252)}
+    at = {k: ts.at_session("tr_close", w, k, fill) for k in (0, 21, 63, 126, 252)}
     vols = {n: count(F.col("volume"), n) for n in (63, 30)}
     out = rows.withColumn("_day", F.unix_date("date")).select(
-        "t", "sid", "sno", "m_var", at[0].alias("px"), (at[21] / at[252] - 1).alias("MOM"), (at[0] / at[21] - 1).alias("REV"),
+        "t", "sid", "sno", "m_var", ts.at_session("close", w, 0, fill).alias("px"), (at[21] / at[252] - 1).alias("MOM"), (at[0] / at[21] - 1).alias("REV"),
         (at[21] / at[63] - 1).alias("ret3"), (at[21] / at[126] - 1).alias("ret6"), vol(252).alias("VOL"), vol(180).alias("vol180"),
         vol(126).alias("vol126"), cov.alias("_cov"),
         *[F.when(vols[n] > 0, window_sum(F.col("volume"), n) / vols[n]).alias(a) for n, a in ((63, "LIQ"), (30, "adv30"))],
@@ -70,11 +71,11 @@ def price_signals(bars: DataFrame, index: DataFrame, probes: DataFrame, fill: in
 
 
 def forward_returns(bars: DataFrame, months: DataFrame, probes: DataFrame, fill: int = 0) -> DataFrame:
-    """Return from the month end to the last price of the next month; 0 without a trade there.
+    """Return, adjusted as ``tr_close`` is, from the month end to the last price of the next month; 0 without a trade there.
 
     Bars are reduced to one row per security and month first; both ends are equality joins.
     """
-    m = bars.groupBy("sid", F.trunc("date", "month").alias("month")).agg(F.max("sno").alias("_s"), F.max_by("close", "sno").alias("_c"))
+    m = bars.groupBy("sid", F.trunc("date", "month").alias("month")).agg(F.max("sno").alias("_s"), F.max_by("tr_close", "sno").alias("_c"))
     here = probes.join(months.select("t", "month", "t_sno", "t_next"), "t").filter("t_next is not null")
     start = m.select("sid", "month", "_s", "_c")
     nxt = m.select("sid", F.add_months("month", -1).alias("month"), F.col("_c").alias("_next"))
