@@ -26,6 +26,10 @@ ALLOW, BLOCK = "allow", "block"
 VOCABULARY, LONGEST, BITS = 50_000, 24, 16
 _WORD = re.compile(r"[a-z]{2,%d}" % LONGEST)
 _TAG = re.compile(r"<[^>]*>")
+#: Host of a URL, words that its owner has parted by a sign, and addresses that a text prints.
+_HOST = re.compile(r"://([^/?#]*)")
+_PARTED = re.compile(r"[a-z]+(?:[-_][a-z]+)+")
+_ADDRESS = re.compile(r"[a-z]+://\S*|\bwww\.\S*")
 _TOKEN = re.compile(r"[^\W_]+")
 _UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
@@ -48,18 +52,29 @@ def rule_of(host: Column, path: Column, rules=RULES) -> Column:
     return found
 
 
-def unigrams(pages: DataFrame, size: int = VOCABULARY) -> dict[str, int]:
+def unigrams(pages: DataFrame, size: int = VOCABULARY, own: bool = True) -> dict[str, int]:
     """The most frequent words of all pages' texts and URLs, ``size`` at most, which bounds what is broadcast.
 
+    Without ``own``, what may be a concatenated name does not count, as it would be a word itself, which costs less than any split: labels
+    without a hyphen of a page's own host, in its text too, and addresses that texts print. Of a URL only hyphenated words count.
     Counts are over all rows. A histogram of their logarithms gives the lowest count from which on the words fit, so that only these
     reach the driver, and words of nearly the same count come together or not at all.
     """
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             seen: Counter[str] = Counter()
-            for column in ("url", "html"):
-                for text in batch.column(column):
-                    seen.update(_WORD.findall(_TAG.sub(" ", text.as_py() or "").lower()))
+            for url, html in zip(batch.column("url"), batch.column("html"), strict=True):
+                address, text = ((x.as_py() or "") for x in (url, html))
+                text = _TAG.sub(" ", text).lower()
+                if own:
+                    seen.update(_WORD.findall(_TAG.sub(" ", address).lower()))
+                    seen.update(_WORD.findall(text))
+                else:
+                    host = _HOST.search(address)
+                    names = host[1].lower().split(".") if host else ()
+                    labels = {w for name in names if not _PARTED.search(name) for w in _WORD.findall(name)}
+                    seen.update(w for w in _WORD.findall(_ADDRESS.sub(" ", text)) if w not in labels)
+                    seen.update(w for run in _PARTED.findall(address.lower()) for w in _WORD.findall(run))
             yield pa.RecordBatch.from_arrays([pa.array(list(seen), pa.string()), pa.array(list(seen.values()), pa.int64())], ["word", "n"])
 
     counts = ship(pages).select("url", "html").mapInArrow(run, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
@@ -149,7 +164,7 @@ def url_filter(pages: DataFrame, rules=RULES, vocabulary: int = VOCABULARY) -> D
     table gives an empty result. What reaches the driver is bounded by the vocabulary and the buckets.
     """
     context = pages.sparkSession.sparkContext
-    splitter = context.broadcast(Splitter(unigrams(pages, vocabulary)))
+    splitter = context.broadcast(Splitter(unigrams(pages, vocabulary, own=False)))
     parts = ship(pages).select("page_id", host_of().alias("host"), path_of().alias("path"))
     parts = parts.withColumn("rule", rule_of(F.col("host"), F.col("path"), rules))
     said = F.create_map(*[F.lit(x) for rule in rules for x in rule])[F.col("rule")]

@@ -127,6 +127,16 @@ def test_url_vocabulary_is_bounded_and_whole(spark):
     assert urls.unigrams(df, 2) == {"bb": 2, "cc": 4} and urls.unigrams(df, 1) == {"cc": 4}
 
 
+def test_a_host_seen_on_many_pages_is_split_into_known_words(spark):
+    rows = [(i, "https://www.casinowin.com/en/%d" % i, "<p>the casino, a win</p><footer>&copy; casinowin.com see https://casinowin.com/x</footer>") for i in range(40)]
+    rows += [(100 + i, "https://other.org/a", "<p>casino and win, more at www.casinowin.com or http://casinowin.com</p>") for i in range(20)]
+    rows += [(200 + i, "https://cheap-pills.com/", "") for i in range(10)] + [(300 + i, "https://cheappills.com/", "&copy; cheappills.com") for i in range(10)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    assert not {"casinowin", "cheappills"} & set(urls.unigrams(df, own=False))
+    assert {tuple(r.words[-6:-3]) for r in urls.url_filter(df).collect() if r.page_id < 100} == {("casino", "win", "com")}
+    assert {tuple(r.words[:2]) for r in urls.url_filter(df).collect() if r.page_id >= 200} == {("cheap", "pills")}
+
+
 @pytest.fixture(scope="module")
 def trees():
     return html.model()
