@@ -69,11 +69,18 @@ class Node:
         self.links = self.children = 0
 
 
-@lru_cache(maxsize=50_000)
-def _groups(names: str) -> frozenset[str]:
+def _groups_in(names: str) -> frozenset[str]:
     return frozenset(g for part in _PART.findall(names) for g in _GROUP_OF.get(part.lower(), ()))
 
 
+_groups_cached = lru_cache(maxsize=50_000)(_groups_in)
+
+
+def _groups(names: str) -> frozenset[str]:
+    """Groups of all words in an attribute; long values are not kept, so that the cache stays small."""
+    return _groups_cached(names) if len(names) <= 500 else _groups_in(names)
+
+
 class Tree(HTMLParser):
     """Block elements of a page in page order. Inline content between blocks of a container gets a node of its own, ``#text``."""
 
@@ -125,8 +132,7 @@ class Tree(HTMLParser):
             self._pop_to(_ENDS[tag], stop)
             if tag == "tr":
                 self._pop_to(("tr",), _AROUND)
-        names = " ".join(v for k, v in attrs if v and k in ("class", "id", "role", "aria-label"))
-        groups = _groups(names[:500])
+        groups = frozenset().union(*(_groups(v) for k, v in attrs if v and k in ("class", "id", "role", "aria-label")))
         hide = any(k == "hidden" or k == "aria-hidden" and v == "true" or k == "style" and v and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", v) for k, v in attrs)
         self._add(tag, groups | {"hidden"} if hide else groups)
 

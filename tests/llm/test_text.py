@@ -154,6 +154,17 @@ def test_extraction_of_a_page(trees):
     assert html.extract([PAGE], trees) == ["The title & more\nFirst paragraph, of bold words.\nSecond <paragraph>\nAn item\nAnother"]
 
 
+@pytest.mark.parametrize("purpose", ["id='cookie-consent'", "role='complementary'", "id='comments'", "aria-label='advertisement'"])
+def test_attributes_behind_long_class_lists_count(trees, purpose):
+    utilities = " ".join(f"flex p-{i} mt-{i} w-{i}" for i in range(60))
+    notice = f"<div class='{utilities}' {purpose}><p>We use small files to keep what you have chosen, dear reader.</p></div>"
+    assert len(utilities) > 600
+    nodes = html.Tree(notice).nodes
+    assert nodes[1].groups == html.Tree(f"<div {purpose}>x</div>").nodes[1].groups and nodes[1].groups
+    page = PAGE.replace("<p>Second", notice + "<p>Second")
+    assert html.extract([page], trees) == html.extract([PAGE], trees)
+
+
 def test_extraction_of_composed_pages(trees):
     composer, right = html.Composer(77), 0
     for _ in range(200):
