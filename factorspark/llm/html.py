@@ -25,8 +25,8 @@ from factorspark.llm.gbt import Trees, fit
 TRAINING_PAGES, SEED = 500, 7
 
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-#: Elements whose text is never shown as text.
-_SILENT = frozenset("script style template noscript title select option optgroup datalist textarea button iframe object canvas audio video svg math map noembed noframes".split())
+#: Scripts, styles and form controls, whose text is never main text. Formulas, buttons and fallbacks are inline content.
+_SILENT = frozenset("script style template title select option optgroup datalist textarea".split())
 _CONTAINER = frozenset("html body article main section div nav header footer aside form fieldset table thead tbody tfoot tr td th ul ol dl dd li blockquote center figure details dialog hgroup search menu".split())
 _LEAF = frozenset("p h1 h2 h3 h4 h5 h6 dt pre address figcaption caption summary legend".split())
 _BLOCK = _CONTAINER | _LEAF | {"#text"}
@@ -58,6 +58,8 @@ for _name, _listed in TOKENS.items():
         _GROUP_OF.setdefault(_token, set()).add(_name)
 _PART = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 _MARKS = re.compile(r"[.,;:!?]")
+#: Left out of the composed pages that trees learn from: the two words of a button would stand for all short blocks.
+_BUTTON = re.compile(r"<button>.*?</button>")
 
 
 class Node:
@@ -88,7 +90,7 @@ class Tree(HTMLParser):
         super().__init__(convert_charrefs=True)
         self.nodes = [Node("#root", -1, 0, 0, frozenset())]
         self.open: list[tuple[str, int]] = [("#root", 0)]
-        self.silent: list[str] = []
+        self.silent: list[str] = []  # the open silent element and what is open inside
         self.feed(html)
         self.close()
 
@@ -109,7 +111,7 @@ class Tree(HTMLParser):
 
     def handle_starttag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
         if self.silent:
-            if tag == self.silent[-1]:
+            if tag not in _VOID:
                 self.silent.append(tag)
             return
         if tag in _SILENT:
@@ -137,17 +139,19 @@ class Tree(HTMLParser):
         self._add(tag, groups | {"hidden"} if hide else groups)
 
     def handle_startendtag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
+        before = len(self.silent)
         self.handle_starttag(tag, attrs)
-        if tag in _SILENT and self.silent:
-            self.silent.pop()
+        del self.silent[before:]
 
     def handle_endtag(self, tag: str) -> None:
         if self.silent:
-            if tag == self.silent[-1]:
-                self.silent.pop()
-            elif tag in ("body", "html"):
-                self.silent.clear()
-            return
+            if tag in self.silent:
+                del self.silent[len(self.silent) - 1 - self.silent[::-1].index(tag) :]
+                return
+            # never closed: ends with the element around it
+            if tag not in ("body", "html") and all(t != tag for t, _ in self.open):
+                return
+            self.silent.clear()
         if tag in ("body", "html"):
             return
         self._pop_to((tag,), frozenset() if tag in _BLOCK else _BLOCK)
@@ -365,7 +369,7 @@ def labelled(seed: int, pages: int) -> tuple[np.ndarray, np.ndarray]:
     """Features and classes of all block nodes of composed pages."""
     composer, rows, classes = Composer(seed), [], []
     for _ in range(pages):
-        nodes = Tree(composer.page()).nodes
+        nodes = Tree(_BUTTON.sub("", composer.page())).nodes
         has = [any(Composer.MARK in t for t in x.text) for x in nodes]
         for i in range(len(nodes) - 1, 0, -1):
             has[nodes[i].parent] |= has[i]

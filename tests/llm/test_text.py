@@ -165,6 +165,19 @@ def test_attributes_behind_long_class_lists_count(trees, purpose):
     assert html.extract([page], trees) == html.extract([PAGE], trees)
 
 
+def test_only_scripts_styles_and_form_controls_are_silent(trees):
+    text = lambda page: html.main_text(nodes := html.Tree(page).nodes, [True] * len(nodes))
+    assert text("<p>so <math><mi>a</mi><mo>=</mo><mn>1</mn></math> holds, <object data=x>a chart</object> <svg><path/><text>label</text></svg></p><h2><button>Part one</button></h2><noscript><p>plain</p></noscript>") == "so a=1 holds, a chart label\nPart one\nplain"
+    for inner in ("<iframe src=x>a <b>frame</b></iframe>", "<video>a <b>frame</b></video>"):
+        assert text(f"<p>{inner} here</p>") == "a frame here"
+    for cut in ("<select><option>x", "<template><div>x</div>x", "<datalist><option>x", "<template><p>x<br>x"):
+        assert text(f"<div><div>one {cut}</div><p>two</p></div><p>three</p>") == "one\ntwo\nthree"
+    for whole in ("<select><option>x<option>y</select>", "<template><div>x</div><p>y<template/></template>", "<script>'</p>'</script>", "<style/>", "<textarea>x</textarea>"):
+        assert text(f"<div>one {whole} two</div>") == "one two"
+    page = PAGE.replace("First&nbsp;paragraph", "First <math><mi>x</mi></math>&nbsp;paragraph")
+    assert html.extract([page], trees)[0].split("\n")[1] == "First x paragraph, of bold words."
+
+
 def test_extraction_of_composed_pages(trees):
     composer, right = html.Composer(77), 0
     for _ in range(200):
