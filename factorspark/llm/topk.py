@@ -98,7 +98,10 @@ def top_k(vectors: DataFrame, k: int = K, every: int = EVERY, block: int = BLOCK
     fit = ship(vectors).filter("vec_id is not null and embedding is not null").filter(~F.coalesce(odd, F.lit(True)))
     exact = F.transform("embedding", lambda x: x.cast("double") * SCALE)
     fit = fit.select(F.col("vec_id").cast("long"), exact.alias("v"))
-    asked = fit.filter(F.col("vec_id") % every == 0).distinct()
+    # what a query counts as: whole numbers without zeros at the end, so that equal vectors are one query
+    whole = F.transform("v", lambda x: F.when(F.abs(x) < EXACT, F.floor(x).cast("double")).otherwise(x))
+    last = F.coalesce(F.array_max(F.transform("v", lambda x, i: F.when(x != 0, i + 1).otherwise(0))), F.lit(0))
+    asked = fit.filter(F.col("vec_id") % every == 0).select("vec_id", whole.alias("v")).select("vec_id", F.slice("v", F.lit(1), last).alias("v")).distinct()
     slots = max(1, -(-asked.count() // slot))
     pairs = min(100_000, slots * max(1, -(-fit.count() // block)))
     queries = asked.groupBy(F.pmod(F.xxhash64("vec_id", "v"), F.lit(slots)).cast("int").alias("slot")).agg(F.collect_list(F.struct("vec_id", "v")).alias("queries"))
@@ -136,7 +139,8 @@ def top_k(vectors: DataFrame, k: int = K, every: int = EVERY, block: int = BLOCK
                 for a in range(0, len(own), TOGETHER):
                     found = best(lists, ids, q[a : a + TOGETHER], own[a : a + TOGETHER], min(k, len(ids)))
                     n = [len(at) for at, _ in found]
-                    mark = [xxhash.xxh64_intdigest(x.tobytes()) >> 1 for x in q[a : a + TOGETHER]]
+                    # the same in every block, however wide its vectors are
+                    mark = [xxhash.xxh64_intdigest((np.trim_zeros(x, "b") + 0.0).tobytes()) >> 1 for x in q[a : a + TOGETHER]]
                     yield pa.RecordBatch.from_arrays([pa.array(np.repeat(own[a : a + TOGETHER], n)), pa.array(np.repeat(np.array(mark, np.int64), n)), pa.array(np.concatenate([ids[at] for at, _ in found])), pa.array(np.concatenate([s for _, s in found]))], ["query_id", "mark", "vec_id", "score"])
 
     found = blocks.join(queries, "slot").select("ids", "rows", "width", "queries").repartition(pairs).mapInArrow(search, "query_id long, mark long, vec_id long, score long")

@@ -39,6 +39,18 @@ def test_top_k_large_values_repeated_rows_and_no_rows(spark):
     assert topk.top_k(spark.createDataFrame([], "vec_id long, embedding array<float>")).collect() == []
 
 
+def test_top_k_with_a_vector_wider_than_the_queries_in_one_block(spark):
+    rng = np.random.default_rng(8)
+    rows = [(i, [float(x) for x in rng.integers(-3, 4, 4) / 16]) for i in range(30)] + [(31, [0.5] * 9)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>").coalesce(1)
+    got = topk.top_k(df, k=5, block=8).collect()
+    assert len(got) == 10
+    assert {(r.query_id, r["rank"], r.vec_id, r.score) for r in got} == best(rows, 5, 20)
+    same = [(0, [0.5, 0.25]), (0, [0.5, 0.25, 0.0]), (0, [0.501, 0.25]), (0, [0.5, 0.25, 0.001, 0.0])] + [(i, [i / 16]) for i in range(1, 9)]
+    got = topk.top_k(spark.createDataFrame(same, "vec_id long, embedding array<float>"), k=3).collect()
+    assert [(r["rank"], r.vec_id) for r in got] == [(1, 8), (2, 7), (3, 6)]
+
+
 def test_shards_are_exact_and_gapless(docs):
     rows = [(i % 50 if i % 3 else None, [None, "", "é" * 9, "same"][i % 4]) for i in range(1003)]
     got = shards.shuffle_shards(docs(rows, extra=True).repartition(3), chunk=20).collect()
