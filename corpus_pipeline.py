@@ -7,6 +7,7 @@ from __future__ import annotations
 
 import uuid
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -15,8 +16,11 @@ from factorspark.llm.common import checkpoint_root
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops documents whose language can't be told: null texts and texts without a letter."""
-    return langid.language_id(docs, docs.columns).filter(F.col("lang_pred") != langid.UNKNOWN).select(*docs.columns)
+    """Drops null texts and texts without a letter, and no others, whatever language is predicted or if none was learnt."""
+    model = langid.train(docs)
+    if not model.languages:
+        model = langid.Model(["any"], np.zeros(1), np.zeros(((1 << langid.BITS) + 1, 1), np.float32))
+    return langid.predict(docs, model, docs.columns).filter(F.col("lang_pred") != langid.UNKNOWN).select(*docs.columns)
 
 
 def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

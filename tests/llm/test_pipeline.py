@@ -35,6 +35,12 @@ def test_stages_keep_the_columns_of_documents(docs, spark):
     assert len(corpus_pipeline.STAGES) == 5
 
 
+def test_language_stage_keeps_texts_with_letters_when_no_language_was_learnt(docs, spark):
+    d = docs([(1, "some clean words", None, "a"), (2, "ein Text", None, "b"), (3, "123 !", None, "a"), (4, None, None, "a"), (None, "third", None, "b")])
+    got = corpus_pipeline.language_id(spark, d, "").collect()
+    assert Counter(r.text for r in got) == Counter(["some clean words", "ein Text", "third"])
+
+
 @pytest.mark.parametrize("name", sorted(ORACLE_SQL))
 def test_queries_against_sql(spark, name):
     root = "/root/testdata/sf0.001"
