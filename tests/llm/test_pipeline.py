@@ -45,7 +45,7 @@ def test_language_stage_keeps_texts_with_letters_when_no_language_was_learnt(doc
 def test_queries_against_sql(spark, name):
     root = "/root/testdata/sf0.001"
     con = duckdb.connect()
-    for t in ("documents", "embeddings", "pages"):
+    for t in ("documents", "embeddings", "pages", "benchmark", "conversations"):
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{root}/{t}.parquet'")
     rows = con.execute(ORACLE_SQL[name]).fetchall()
     names = [c[0] for c in con.description]
