@@ -6,6 +6,7 @@ rows: the buckets of a text's n-grams pick matrix rows, which are summed for eac
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import lru_cache
@@ -66,20 +67,36 @@ class Model:
     prior: np.ndarray
     weight: np.ndarray
 
-    def score(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Index of the best language, its posterior probability, and whether the text has a letter."""
-        best, sure, has = [], [], []
+    def totals(self, texts: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """For slices of the texts: log-likelihoods without the prior (texts by languages), n-grams, and which texts have a letter."""
         most = (1 << 20) // max(4, len(self.languages))
         for a, b in steps([len(t) for t in texts], most):
             buckets, first, letter = grams(texts[a:b])
             picked = self.weight[buckets].sum(axis=1)
-            total = np.add.reduceat(picked, first, axis=0, dtype=np.float64) + self.prior
+            yield np.add.reduceat(picked, first, axis=0, dtype=np.float64), np.add.reduceat((buckets >= 0).sum(axis=1), first), letter
+
+    def score(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Index of the best language, its posterior probability, and whether the text has a letter."""
+        best, sure, has = [], [], []
+        for total, _, letter in self.totals(texts):
+            total = total + self.prior
             total = np.exp(total - total.max(axis=1, keepdims=True))
             best.append(total.argmax(axis=1))
             sure.append(total.max(axis=1) / total.sum(axis=1))
             has.append(letter)
         return np.concatenate(best), np.concatenate(sure), np.concatenate(has)
 
+    def known(self, texts: list[str]) -> np.ndarray:
+        """Whether a text has a letter and is in a learnt language.
+
+        It is in none if under each of them its n-grams are less likely, on average, than if all buckets were equally likely. That
+        level is the only threshold, so it moves neither with the data nor with the length of the text. A model that has learnt little is close to
+        that level everywhere and rejects little; one without languages rejects only texts without a letter.
+        """
+        level = -math.log(1 << BITS)
+        kept = [letter & (total.max(axis=1) >= level * n if self.languages else True) for total, n, letter in self.totals(texts)]
+        return np.concatenate(kept)
+
 
 def fold(doc: str = "doc_id") -> Column:
     return F.crc32(F.col(doc).cast("string")) % 4
@@ -149,6 +166,20 @@ def predict(docs: DataFrame, model: Model, passed: list[str]) -> DataFrame:
     return source.mapInArrow(run, schema)
 
 
+def known_only(docs: DataFrame, model: Model) -> DataFrame:
+    """The rows whose whole text is in a language of the model, all columns as they are, whatever their names; null texts and texts without a letter go."""
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+    at = docs.columns.index("text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        m = shared.value
+        for batch in batches:
+            if batch.num_rows:
+                yield batch.filter(pa.array(m.known([t or "" for t in batch.column(at).to_pylist()])))
+
+    return ship(docs).mapInArrow(run, docs.schema)
+
+
 def language_id(docs: DataFrame, passed: list[str] | None = None, per_language: int = PER_LANGUAGE) -> DataFrame:
     """Trains on ``docs`` and predicts for all its rows: doc_id, held_out, lang_pred, score; or ``passed`` columns with both.
 

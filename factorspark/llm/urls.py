@@ -22,13 +22,15 @@ from factorspark.llm.common import settle, ship
 #: Host and path start of a rule, and its verdict.
 RULES = (("com/", "allow"), ("example.com/en/", "block"), ("www.example.com/en/", "allow"), ("net/es/", "block"), ("net/fr/", "block"))
 ALLOW, BLOCK = "allow", "block"
-#: Words of the unigram model, the longest of them, and log2 of the token buckets of the classifier.
+#: Words of the unigram model, the longest that a split can name, and log2 of the token buckets of the classifier.
 VOCABULARY, LONGEST, BITS = 50_000, 24, 16
-_WORD = re.compile(r"[a-z]{2,%d}" % LONGEST)
+#: Words are whole runs of letters of any script; in a label, runs of digits stand between them.
+_WORD = re.compile(r"[^\W\d_]{2,}")
+_RUN = re.compile(r"\d+|[^\W\d_]+|[^\W_]")
 _TAG = re.compile(r"<[^>]*>")
 #: Host of a URL, words that its owner has parted by a sign, and addresses that a text prints.
 _HOST = re.compile(r"://([^/?#]*)")
-_PARTED = re.compile(r"[a-z]+(?:[-_][a-z]+)+")
+_PARTED = re.compile(r"[^\W\d_]+(?:[-_][^\W\d_]+)+")
 _ADDRESS = re.compile(r"[a-z]+://\S*|\bwww\.\S*")
 _TOKEN = re.compile(r"[^\W_]+")
 _UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
@@ -58,7 +60,8 @@ def unigrams(pages: DataFrame, size: int = VOCABULARY, own: bool = True) -> dict
     Without ``own``, what may be a concatenated name does not count, as it would be a word itself, which costs less than any split: labels
     without a hyphen of a page's own host, in its text too, and addresses that texts print. Of a URL only hyphenated words count.
     Counts are over all rows. A histogram of their logarithms gives the lowest count from which on the words fit, so that only these
-    reach the driver, and words of nearly the same count come together or not at all.
+    reach the driver, and words of nearly the same count come together or not at all. Words longer than a split can name are counted as
+    a whole and left out then, so that the bound holds for bytes too.
     """
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -77,7 +80,7 @@ def unigrams(pages: DataFrame, size: int = VOCABULARY, own: bool = True) -> dict
                     seen.update(w for run in _PARTED.findall(address.lower()) for w in _WORD.findall(run))
             yield pa.RecordBatch.from_arrays([pa.array(list(seen), pa.string()), pa.array(list(seen.values()), pa.int64())], ["word", "n"])
 
-    counts = ship(pages).select("url", "html").mapInArrow(run, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
+    counts = ship(pages).select("url", "html").mapInArrow(run, "word string, n long").filter(F.length("word") <= LONGEST).groupBy("word").agg(F.sum("n").alias("n"))
     counts = settle(counts.withColumn("step", F.floor(F.log2("n") * 16)))
     lowest, room = 1 << 20, size
     for r in sorted(counts.groupBy("step").count().collect(), reverse=True):
@@ -98,6 +101,8 @@ class Splitter:
         self.seen: dict[str, tuple[str, ...]] = {}
 
     def split(self, name: str) -> tuple[str, ...]:
+        if len(name) > 4 * LONGEST:  # a long one is not worth remembering
+            return tuple(self._path(name))
         if name not in self.seen:
             if len(self.seen) >= 100_000:
                 self.seen.clear()
@@ -123,9 +128,12 @@ class Splitter:
 
 
 def tokens(host: str, path: str, splitter: Splitter) -> tuple[list[str], list[str]]:
-    """Words of the host with its top domain marked, and words of the path; numbers count as one word."""
-    labels = _TOKEN.findall(host)
-    words = [w for label in labels for w in (splitter.split(label) if label.isalpha() else ("0",))]
+    """Words of the host with its top domain marked, and words of the path; numbers count as one word.
+
+    A label is cut into runs of letters and of digits; each run of letters is split on its own, each run of digits is one ``0``.
+    """
+    labels = _TOKEN.findall(host.lower())
+    words = [w for label in labels for run in _RUN.findall(label) for w in (("0",) if run.isdecimal() else splitter.split(run))]
     if labels:
         words.append("." + labels[-1])
     return words, ["/" + (t.lower() if not t.isdigit() else "0") for t in _TOKEN.findall(path)]
@@ -160,7 +168,7 @@ def url_filter(pages: DataFrame, rules=RULES, vocabulary: int = VOCABULARY) -> D
 
     A null url or one without ``://`` has an empty host and path, which no rule fits and whose words say nothing but the classes' shares.
     Where no rule decides, a positive score blocks. If rules decide nothing, or always the same way, that way (or allow) goes for
-    all. Repeated rows have the same verdict; a null page_id or html is kept as it is; other columns are not read; an empty
+    all. Very long urls are judged whole, in time linear in their length. Repeated rows have the same verdict; a null page_id or html is kept as it is; other columns are not read; an empty
     table gives an empty result. What reaches the driver is bounded by the vocabulary and the buckets.
     """
     context = pages.sparkSession.sparkContext

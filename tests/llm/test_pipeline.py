@@ -35,6 +35,19 @@ def test_stages_keep_the_columns_of_documents(docs, spark):
     assert len(corpus_pipeline.STAGES) == 5
 
 
+def test_stages_take_clashing_columns_and_repeated_rows(docs, spark):
+    rows = [(1, "some words here", "en", "a")] * 3 + [(2, "other words there", "en", None), (None, "third text", None, "b"), (None, "third text", None, "b"), (4, None, "en", "a"), (5, "", "en", "a")]
+    d = docs(rows, extra=True).selectExpr("*", *[f"'x' AS `{c}`" for c in ("lang_pred", "text_key", "row_key", "copies", "component_id", "fingerprint", "word", "known", "taken")])
+    left = d
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        left = stage(spark, left, "")
+        assert left.columns == d.columns
+    assert Counter((r.doc_id, r.text) for r in corpus_pipeline.language_id(spark, d, "").collect()) == Counter((i, t) for i, t, *_ in rows if t)
+    got = left.collect()
+    assert {(r.doc_id, r.text) for r in got} <= {(i, t) for i, t, *_ in rows if t} and got
+    assert corpus_pipeline.STAGES[-1][1](spark, left, "").count() == len(got)
+
+
 def test_language_stage_keeps_texts_with_letters_when_no_language_was_learnt(docs, spark):
     d = docs([(1, "some clean words", None, "a"), (2, "ein Text", None, "b"), (3, "123 !", None, "a"), (4, None, None, "a"), (None, "third", None, "b")])
     got = corpus_pipeline.language_id(spark, d, "").collect()

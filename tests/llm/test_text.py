@@ -2,7 +2,9 @@
 import hashlib
 import math
 import random
+import re
 import zlib
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -208,3 +210,94 @@ def test_extract_rows(spark):
     assert len(got) == len(rows) and all(r.n_chars == len(r.text) for r in got)
     assert by[None].text == by[3].text == by[6].text == by[7].text == "" and by[5].n_chars == 5 * 60_000 - 1 and by[1].text.startswith("The title")
     assert html.extract_pages(spark.createDataFrame([], "page_id long, url string, html string")).collect() == []
+
+
+def test_host_labels_with_digits_and_words_of_any_script():
+    s = urls.Splitter({"casino": 50, "win": 40, "for\u00eat": 9, "verte": 9})
+    assert urls.tokens("casino24win.xyz", "", s)[0] == ["casino", "0", "win", "xyz", ".xyz"]
+    assert urls.tokens("casinowin7.4you.xyz", "/A/12", s) == (["casino", "win", "0", "0", "you", "xyz", ".xyz"], ["/a", "/0"])
+    assert urls.tokens("for\u00eatverte.fr", "", s)[0] == ["for\u00eat", "verte", "fr", ".fr"]
+    long = "casinowin" * 5000
+    assert urls.tokens(long + ".xyz", "", s)[0][:-2] == ["casino", "win"] * 5000
+
+
+def test_vocabulary_counts_whole_words(spark):
+    long = "abc" * 10
+    df = spark.createDataFrame([(1, "http://x.org/", f"for\u00eat gr\u00f6\u00dfe \u00fcber {long} {long} a1b for\u00eat")], "page_id long, url string, html string")
+    assert urls.unigrams(df, 100, own=False) == {"for\u00eat": 2, "gr\u00f6\u00dfe": 1, "\u00fcber": 1}
+
+
+def test_verdicts_against_plain_counts(spark):
+    """Own counts of words, own search of the best split, own naive Bayes."""
+    rng = random.Random(5)
+    good, bad = ["garden", "green", "house", "school", "books"], ["casino", "win", "pills", "cheap", "bet"]
+    rows = []
+    for i in range(200):
+        words = bad if i % 2 else good
+        name = "".join(rng.sample(words, 2)) + rng.choice(["", "24", "7x"])
+        top = rng.choice(["com", "net", "xyz"])
+        path = {"com": "/", "net": "/es/"}.get(top, "/") if top != "xyz" else rng.choice(["/", "/fr/a", "/12/b"])
+        if i % 2 == 0 and top == "net":
+            top = "com"
+        if i % 2 and top == "com":
+            top, path = "net", "/fr/x"
+        rows.append((i, f"http://www.{name}.{top}{path}{rng.choice(words)}", " ".join(rng.choices(good + bad + ["the"], k=12))))
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    got = {r.page_id: r for r in urls.url_filter(df).collect()}
+    seen = Counter()
+    for _, url, html in rows:
+        host = url.split("/")[2]
+        names = {w for label in host.split(".") for w in re.findall("[a-z]{2,}", label)}
+        seen.update(w for w in re.findall("[a-z]{2,}", html) if w not in names)
+    total = sum(seen.values()) + 1
+
+    def cost(w):
+        return -math.log(seen[w] / total) if w in seen else math.log(total) + math.log(10) + len(w) * math.log(10)
+
+    def splits(name):
+        if not name:
+            return 0.0, []
+        return min(((cost(name[:k]) + rest[0], [name[:k], *rest[1]]) for k in range(1, len(name) + 1) for rest in [best(name[k:])]), key=lambda x: x[0])
+
+    memo = {}
+
+    def best(name):
+        if name not in memo:
+            memo[name] = splits(name)
+        return memo[name]
+
+    def words_of(url):
+        host, path = url.split("/")[2], "/" + url.split("/", 3)[3]
+        out = []
+        for label in host.split("."):
+            for run in re.findall("[a-z]+|[0-9]+", label):
+                out += ["0"] if run.isdigit() else best(run)[1]
+        return [*out, "." + host.split(".")[-1], *("/0" if t.isdigit() else "/" + t for t in re.findall("[a-z0-9]+", path))]
+
+    buckets, classes = {0: Counter(), 1: Counter()}, Counter()
+    place = lambda w: zlib.crc32(w.encode()) % 65536
+    for i, url, _ in rows:
+        _, _, rule, verdict = judge(url)
+        if rule:
+            classes[verdict == "block"] += 1
+            buckets[verdict == "block"].update(map(place, words_of(url)))
+    sums = {k: sum(c.values()) + 65536 for k, c in buckets.items()}
+    checked = 0
+    for i, url, _ in rows:
+        _, _, rule, verdict = judge(url)
+        assert got[i].words == words_of(url)
+        odds = math.log(classes[1] / classes[0]) + sum(math.log((buckets[1][place(w)] + 1) / sums[1]) - math.log((buckets[0][place(w)] + 1) / sums[0]) for w in words_of(url))
+        assert got[i].score == pytest.approx(odds)
+        assert got[i].verdict == (verdict if rule else "block" if odds > 0 else "allow")
+        checked += rule is None
+    assert checked > 20
+
+
+def test_known_languages_and_no_others(docs):
+    rows = [(i, f"der hund nummer {i} und seine katze im garten", "de") for i in range(40)] + [(100 + i, f"the dog number {i} and her cat in the garden", "en") for i in range(40)]
+    rows += [(500, "\u732b\u306f\u5ead\u3067\u5bdd\u3066\u3044\u308b " * 9, None), (501, "123 !", None), (502, None, "en"), (503, "", "en"), (504, "the garden and the cat", None), (None, "katze und hund", None), (504, "the garden and the cat", None)]
+    d = docs(rows, extra=True).selectExpr("*", "'x' AS lang_pred", "'x' AS __text", "'y' AS known")
+    got = langid.known_only(d, langid.train(d))
+    assert got.columns == d.columns
+    kept = Counter(r.doc_id for r in got.collect())
+    assert not {500, 501, 502, 503} & kept.keys() and kept[504] == 2 and kept[None] == 1 and sum(kept.values()) == 83
