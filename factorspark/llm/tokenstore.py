@@ -17,12 +17,14 @@ neither on the number of documents nor on that of the parts. Files are opened th
 from __future__ import annotations
 
 import os
+import re
 import struct
 import uuid
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -33,60 +35,87 @@ from pyspark.sql import functions as F
 from factorspark.llm.common import checkpoint_root, mixed, ship, steps
 from factorspark.llm.mph import build, find
 
-#: Keys of one index file on average; runs of text whose ids a worker remembers, and the longest of them.
-BUCKET, MOST_RUNS, LONGEST_RUN = 20_000, 400_000, 64
+#: Keys of one index file on average; runs of text and first parts of runs whose ids a worker remembers from step to step; the longest
+#: of the other parts that it remembers.
+BUCKET, MOST_RUNS, MOST_HEADS, LONGEST_RUN = 20_000, 500_000, 1_000_000, 64
+#: Places inside a run that no match crosses: a Latin letter ends, and an ASCII character that is no letter begins.
+PARTS = re.compile("(?<=[A-Za-z\u00C0-\u00D6\u00D8-\u00F6\u00F8-\u024F])(?=[\x00-@\\[-`{-\x7F])")
 #: Id that closes a document. Ids that are read from a payload at once.
 END, SLICE = 0, 1 << 20
 MAGIC = b"IDX1"
 
 
-class Irregular(Exception):
-    """A run that does not begin and end with a visible character."""
-
-
-class _Runs(dict):
-    """Ids of runs of text, as bytes; a run is what follows a space (or starts the text) up to the next one."""
-
-    def __init__(self, encode, lead: str):
-        self.encode, self.lead = encode, lead
-
-    def __missing__(self, run: str) -> bytes:
-        if not run or run[0].isspace() or run[-1].isspace():
-            raise Irregular
-        ids = self.encode(self.lead + run)
-        if len(run) <= LONGEST_RUN:
-            if len(self) >= MOST_RUNS:
-                self.clear()
-            self[run] = ids
-        return ids
-
-
 class Encoder:
     """Encodes whole texts with the tokenizers library, each distinct run of a text once.
 
     The pattern of a byte-level tokenizer never matches across a place between a visible character and one space that a
-    visible character follows, so a text's ids are those of its runs between such places. Texts with other white space at these places are
-    encoded in one call.
+    visible character follows, nor across one between a letter and an ASCII character that is none. So a text's ids are those of its runs
+    between such spaces, and a run's are those of its parts. Runs and parts that a worker has met are looked up, the new ones of many texts
+    go to the tokenizer in one call. A text with other white space at these places, or with a special token, is encoded as it is.
     """
 
     def __init__(self, path: str):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
-        tokenizer = Tokenizer.from_file(path)
-        self.width = 2 if tokenizer.get_vocab_size() <= 1 << 16 else 4
+        self.tokenizer = Tokenizer.from_file(path)
+        size = self.tokenizer.get_vocab_size()
+        self.width = 2 if size <= 1 << 16 else 4
         self.kind = np.dtype(f"<u{self.width}")
-        self.whole = lambda text: np.array(tokenizer.encode(text, add_special_tokens=False).ids, self.kind).tobytes()
+        # a byte-level vocabulary writes every byte as one character
+        self.bytes_of = np.zeros(size, np.int64)
+        for token, i in self.tokenizer.get_vocab().items():
+            self.bytes_of[i] = len(token)
+        self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.end = np.array([END], self.kind).tobytes()
-        self.first, self.next = _Runs(self.whole, ""), _Runs(self.whole, " ")
+        self.runs: dict[str, bytes] = {}  # run behind a space
+        self.heads: dict[str, bytes] = {}  # first part of such a run
+        self.tails: dict[str, bytes] = {}  # other parts
+
+    def whole(self, text: str) -> bytes:
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, self.kind).tobytes()
+
+    def _tail(self, part: str) -> bytes:
+        ids = self.tails.get(part)
+        if ids is None:
+            ids = self.whole(part)
+            if len(part) <= LONGEST_RUN:
+                self.tails[part] = ids
+        return ids
+
+    def _learn(self, runs: set[str]) -> dict[str, bytes]:
+        """Ids of runs behind a space; runs that do not begin and end with a visible character are left out."""
+        cut = [(run, PARTS.split(run)) for run in runs if run and not run[0].isspace() and not run[-1].isspace()]
+        heads, tail = self.heads, self._tail
+        new = list({parts[0] for _, parts in cut}.difference(heads))
+        if new:
+            ids = np.array(self.tokenizer.encode_batch_fast([" " + " ".join(new)], add_special_tokens=False)[0].ids, np.int64)
+            ends = np.searchsorted(np.cumsum(self.bytes_of[ids]), np.cumsum([len(x.encode()) + 1 for x in new])) + 1
+            coded, at = ids.astype(self.kind).tobytes(), 0
+            for head, end in zip(new, (ends * self.width).tolist(), strict=True):
+                heads[head] = coded[at:end]
+                at = end
+        return {run: heads[run] if len(parts) == 1 else heads[parts[0]] + (tail(parts[1]) if len(parts) == 2 else b"".join(map(tail, parts[1:]))) for run, parts in cut}
+
+    def encode_all(self, texts: list[str]) -> list[bytes]:
+        """For each text its ids and the end id, as bytes of the payload."""
+        for held, most in ((self.runs, MOST_RUNS), (self.heads, MOST_HEADS), (self.tails, MOST_RUNS)):
+            if len(held) > most:
+                held.clear()
+        split = [text.split(" ") for text in texts]
+        self.runs.update(self._learn(set(chain.from_iterable(split)).difference(self.runs)))
+        return [self._one(text, runs) + self.end for text, runs in zip(texts, split, strict=True)]
+
+    def _one(self, text: str, runs: list[str]) -> bytes:
+        if len(runs) > 1 and not any(s in text for s in self.special) and (runs[0] == "" or not runs[0][-1].isspace()):
+            try:
+                return self._tail(runs[0]) + b"".join(map(self.runs.__getitem__, runs[1:]))
+            except KeyError:  # a run without visible ends
+                pass
+        return self.whole(text)
 
     def encode(self, text: str) -> bytes:
-        """The ids of the text and the end id, as bytes of the payload."""
-        head, *rest = text.split(" ")
-        try:
-            return (self.first[head] if rest else self.whole(head)) + b"".join(map(self.next.__getitem__, rest)) + self.end
-        except Irregular:
-            return self.whole(text) + self.end
+        return self.encode_all([text])[0]
 
 
 @lru_cache(maxsize=2)
@@ -118,7 +147,7 @@ def _write_payload(docs: DataFrame, folder: str, tokenizer: str | None) -> DataF
             keys = list(zip(batch.column("id").to_pylist(), batch.column("none").to_pylist(), strict=True))
             places, sizes, nths = [], [], []
             for a, b in steps([len(t) for t in texts]):
-                coded = [e.encode(t) for t in texts[a:b]]
+                coded = e.encode_all(texts[a:b])
                 out.write(b"".join(coded))
                 for key, ids in zip(keys[a:b], coded, strict=True):
                     nth = nth + 1 if key == last else 0
