@@ -7,6 +7,8 @@ from factorspark.catalog.q_portfolio import BW, basket_weights
 from factorspark.catalog.registry import query
 from factorspark.operators import evaluate as E
 from factorspark.operators import events as V
+from factorspark.session import shared_dir
+from factorspark.sources import loaders as O
 
 KEYS = ["rec", "rec_date"]
 
@@ -188,3 +190,48 @@ def _(t):
     h = E.price_at(t.baskets.join(last, KEYS).select(*KEYS, "sid"), t.bars, "rec_date", "entry")
     now = t.bars.groupBy("sid").agg(F.max_by("close", "date").alias("last"))
     return h.join(now, "sid").groupBy(*KEYS).agg(F.avg(F.col("last") / F.col("entry") - 1).alias("cum"))
+
+
+def span(df, date, days=0):
+    """First and last day of a column, the last moved on by some days; one row."""
+    return df.agg(F.min(date).alias("a"), F.date_add(F.max(date), days).alias("b")).first()
+
+
+def loaded(t, kind, rows, start, end):
+    """Rows by way of a registered loader of monthly files."""
+    O.register(t.spark)
+    return O.load(t.spark, kind, start, end, path=O.write_monthly(rows, shared_dir(t.spark, kind)))
+
+
+def wf_loaded(t):
+    """Walk-forward with prices and benchmark returns from loaders instead of tables."""
+    b = basket_weights(t).withColumn("id", F.col("rec") * 1000000 + F.year("rec_date") * 100 + F.month("rec_date"))
+    first = span(b, "rec_date")["a"]
+    last = span(t.sessions, "date")["b"]
+    runs = b.select("id", F.col("rec_date").cast("timestamp").alias("run_at")).distinct()
+    entries = V.entry_session(runs, t.sessions).select(F.col("id").alias("rec"), "entry_sno")
+    sno = t.sessions.select("date", "sno")
+    prices = loaded(t, "prices", t.bars.select("sid", "date", "close"), first, last).join(sno, "date").select("sid", "sno", "close")
+    w = Window.partitionBy(F.lit(1)).orderBy("sno")
+    daily = t.index_close.withColumn("index_ret", F.col("close") / F.lag("close").over(w) - 1).join(t.cdi.select("sno", "cdi"), "sno")
+    bench = loaded(t, "benchmarks", daily.select("date", "index_ret", "cdi"), first, last).join(sno, "date")
+    # a session's own return is in the level at its close, so a window from entry to exit holds the returns after the entry
+    level = bench.select("sno", F.product(1 + F.coalesce("index_ret", F.lit(0.0))).over(w).alias("close"))
+    return E.walk_forward(entries, b.select(F.col("id").alias("rec"), "sid", "w"), prices, t.sessions, level, bench.select("sno", "cdi"))
+
+
+@query("price_loader", "rec:i h:i entry_sno:i port:5 n_missing:i", WF_SQL + "SELECT id AS rec, h, i0 AS entry_sno, port, n_missing FROM wf")
+def _(t):
+    return wf_loaded(t)
+
+
+@query("bench_loader", "rec:i h:i index_ret:5 cdi_ret:6 alpha:5", WF_SQL + "SELECT id AS rec, h, index_ret, cdi_ret, alpha FROM wf")
+def _(t):
+    return wf_loaded(t)
+
+
+@query("dividend_fetcher", "rec:i rec_date:t sid:i dividends:11 jcp:11", EVAL_SQL + "SELECT * FROM h")
+def _(t):
+    h = basket_weights(t).withColumn("d1", F.date_add("rec_date", 60))
+    days = span(h, "rec_date", 59)  # cum dates from the entry up to the day before the exit
+    return E.dividends_in_window(h, loaded(t, "dividends", events(t), days["a"], days["b"]), "rec_date", "d1")
