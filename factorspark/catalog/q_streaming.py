@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 from factorspark.catalog.registry import query
 from factorspark.session import shared_dir
 from factorspark.streaming import jobs as J
+from factorspark.streaming.nav_table import NavTable, start
 
 
 def ticks(t):
@@ -52,14 +53,29 @@ s AS (SELECT sid, CAST(15 AS BIGINT) AS i, avg(greatest(d, 0)) AS g, avg(greates
 x AS (SELECT * FROM s UNION ALL SELECT x.sid, r.i, (x.g * 13 + greatest(r.d, 0)) / 14, (x.l * 13 + greatest(-r.d, 0)) / 14, (x.a * 13 + abs(r.d)) / 14 FROM x JOIN r ON r.sid = x.sid AND r.i = x.i + 1)
 SELECT sid, max(i) - 1 AS n, CASE WHEN arg_max(l, i) = 0 THEN 100 ELSE 100 - 100 / (1 + arg_max(g, i) / arg_max(l, i)) END AS rsi, arg_max(a, i) AS atr FROM x GROUP BY sid""")
 def _(t):
+    own = J.stateful_session(t.spark)
+    ticks_there = J.tick_stream(own, t.root, "events.parquet", t.raw("events").schema)
     folder = shared_dir(t.spark, "stream")
-    t.spark.conf.set("spark.sql.streaming.stateStore.providerClass",
-                     "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
-    q = (J.wilder(ticks(t)).writeStream.outputMode("update").option("checkpointLocation", folder + "/state").trigger(availableNow=True)
-         .foreachBatch(lambda b, e: b.withColumn("epoch", F.lit(e)).write.mode("overwrite").parquet(f"{folder}/out/batch={e}")).start())
-    q.awaitTermination()
-    out = t.spark.read.parquet(f"{folder}/out")
-    return out.groupBy("sid").agg(F.max_by(F.struct("n", "rsi", "atr"), "epoch").alias("v")).select("sid", "v.*")
+    return t.spark.read.parquet(stored(J.latest_of(J.wilder(ticks_there), folder, "sid"), folder))
+
+
+@query("stream_wilder_in_order", "sid:i n:i rsi:5 atr:5", """
+WITH RECURSIVE mx AS (SELECT epoch_ms(max(ts)) - 172800000 AS wm FROM ticks),
+r AS (SELECT sid, px, row_number() OVER w AS i, px - lag(px) OVER w AS d FROM ticks, mx WHERE epoch_ms(ts) < wm WINDOW w AS (PARTITION BY sid ORDER BY ts, event_id)),
+s AS (SELECT sid, CAST(15 AS BIGINT) AS i, avg(greatest(d, 0)) AS g, avg(greatest(-d, 0)) AS l, avg(abs(d)) AS a FROM r WHERE i BETWEEN 2 AND 15 GROUP BY sid HAVING count(*) = 14),
+x AS (SELECT * FROM s UNION ALL SELECT x.sid, r.i, (x.g * 13 + greatest(r.d, 0)) / 14, (x.l * 13 + greatest(-r.d, 0)) / 14, (x.a * 13 + abs(r.d)) / 14 FROM x JOIN r ON r.sid = x.sid AND r.i = x.i + 1)
+SELECT sid, max(i) - 1 AS n, CASE WHEN arg_max(l, i) = 0 THEN 100 ELSE 100 - 100 / (1 + arg_max(g, i) / arg_max(l, i)) END AS rsi, arg_max(a, i) AS atr FROM x GROUP BY sid""")
+def _(t):
+    own = J.stateful_session(t.spark)
+    ticks_there = J.tick_stream(own, t.root, "events.parquet", t.raw("events").schema)
+    folder = shared_dir(t.spark, "stream")
+    return t.spark.read.parquet(stored(J.latest_of(J.wilder_in_order(ticks_there), folder, "sid"), folder))
+
+
+def stored(df, folder):
+    """Writes a result of another session where this one reads it."""
+    df.write.parquet(f"{folder}/result")
+    return f"{folder}/result"
 
 
 @query("stream_nav_upsert", "curve:i date:t nav:6 index_nav:6 cdi_nav:6", """
@@ -74,7 +90,5 @@ def _(t):
         (F.col("sid") % 7).alias("curve"), F.to_date("ts").alias("date"), F.col("event_id").alias("version"), (kind == "error").alias("provisional"),
         F.when(kind != "error", F.col("px") / 10000).alias("port_ret"), (F.col("px") / 20000).alias("index_ret"), F.when(kind == "click", 0.0005).alias("cdi_ret"))
     folder = shared_dir(t.spark, "stream")
-    q = J.start_nav_upsert(points, folder)
-    q.awaitTermination()
-    last = q.lastProgress
-    return t.spark.read.parquet(f"{folder}/nav-{last['batchId'] if isinstance(last, dict) else last.batchId}")
+    start(points, folder).awaitTermination()
+    return NavTable(t.spark, f"{folder}/nav").points()

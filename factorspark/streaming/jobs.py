@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import os
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -99,25 +100,6 @@ def chain_nav(points: DataFrame) -> DataFrame:
             .withColumn("_rate", rate).withColumn("cdi_nav", ts.chain(F.col("_rate"), w)).drop("_rate"))
 
 
-def start_nav_upsert(points: DataFrame, folder: str):
-    """Streams NAV points into a table that each micro-batch rewrites as a new version.
-
-    A batch reads the version the previous one finished and writes its own; a retried batch writes
-    the same version again, so a lost executor or a restart leaves no half-applied update.
-    """
-    spark = points.sparkSession
-    cols = points.columns
-
-    def apply(batch: DataFrame, epoch: int):
-        session = batch.sparkSession
-        before = os.path.join(folder, f"nav-{epoch - 1}")
-        old = session.read.parquet(before).select(*cols) if epoch > 0 else session.createDataFrame([], batch.schema)
-        upsert_nav(batch, old).write.mode("overwrite").parquet(os.path.join(folder, f"nav-{epoch}"))
-
-    return (points.writeStream.outputMode("append").option("checkpointLocation", os.path.join(folder, "nav-state"))
-            .trigger(availableNow=True).foreachBatch(apply).start())
-
-
 class WilderProcessor(StatefulProcessor):
     """RSI and ATR of each security as a state machine over its ticks in event-time order.
 
@@ -155,3 +137,96 @@ def wilder(ticks: DataFrame) -> DataFrame:
     """Current RSI and ATR per security after every micro-batch."""
     return ticks.groupBy("sid").transformWithStateInPandas(
         statefulProcessor=WilderProcessor(), outputStructType="sid long, n int, rsi double, atr double", outputMode="Update", timeMode="None")
+
+
+class WilderInOrder(StatefulProcessor):
+    """RSI and ATR over ticks in event-time order, whatever order and batch they come in.
+
+    Ticks wait in a list until the watermark has passed them, so none can come before them any more; a timer at the earliest one
+    wakes the security. Then all that are due are taken in order into three averages, and what is left sets the next timer. A security
+    without a tick for ``idle_ms`` of event time is forgotten, so the state does not grow with names that are gone.
+    """
+
+    def __init__(self, idle_ms: int):
+        self.idle_ms = idle_ms
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.done = handle.getValueState("wilder", "n int, last double, at long, gain double, loss double, tr double")
+        self.waiting = handle.getListState("waiting", "us long, event_id long, px double")
+
+    def handleInputRows(self, key, rows, timerValues):
+        new = pd.concat(list(rows))
+        us = new["ts"].astype("datetime64[us]").astype("int64")
+        self.waiting.appendList([(int(a), int(b), float(c)) for a, b, c in zip(us, new["event_id"], new["px"], strict=True)])
+        self.handle.registerTimer(int(us.min()) // 1000)
+        return iter([])
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
+        now = timerValues.getCurrentWatermarkInMs()
+        ticks = sorted(self.waiting.get()) if self.waiting.exists() else []
+        due = [x for x in ticks if x[0] // 1000 < now]
+        left = ticks[len(due) :]
+        if due:
+            if left:
+                self.waiting.put(left)
+            else:
+                self.waiting.clear()
+        if left:
+            self.handle.registerTimer(left[0][0] // 1000)
+        if not due:
+            if not left and self.done.exists() and self.done.get()[2] + self.idle_ms <= now:
+                self.done.clear()
+            return
+        state = wilder_step(self.done.get() if self.done.exists() else None, [x[2] for x in due], due[-1][0] // 1000)
+        self.done.update(state)
+        self.handle.registerTimer(state[2] + self.idle_ms)
+        n, _, at, gain, loss, tr = state
+        if n >= PERIOD:
+            rsi = (100.0 if gain > 0 else 50.0) if loss == 0 else 100 - 100 / (1 + gain / loss)
+            yield pd.DataFrame({"sid": [key[0]], "n": [n], "rsi": [rsi], "atr": [tr]})
+
+    def close(self) -> None:
+        pass
+
+
+def wilder_step(state: tuple | None, prices: list[float], at: int) -> tuple:
+    """The averages after more prices; during the first changes they hold sums, then each change has the weight of one period."""
+    n, last, _, *means = state or (0, None, 0, 0.0, 0.0, 0.0)
+    p = np.array(([] if last is None else [last]) + prices, float)
+    d = np.diff(p)
+    moves = [np.maximum(d, 0.0), np.maximum(-d, 0.0), np.abs(d)]
+    first = max(0, min(len(d), PERIOD - n))
+    means = [m + x[:first].sum() / PERIOD for m, x in zip(means, moves, strict=True)]
+    if len(d) > first:
+        means = [float(pd.Series([m, *x[first:]]).ewm(alpha=1 / PERIOD, adjust=False).mean().iloc[-1]) for m, x in zip(means, moves, strict=True)]
+    return (int(n + len(d)), float(p[-1]), int(at), *map(float, means))
+
+
+def wilder_in_order(ticks: DataFrame, late: str = "2 days", idle_days: int = 365) -> DataFrame:
+    """RSI and ATR per security of the ticks that the watermark has passed, as it passes them."""
+    live = ticks.withWatermark("ts", late).select("sid", "ts", "event_id", "px")
+    return live.groupBy("sid").transformWithStateInPandas(
+        statefulProcessor=WilderInOrder(idle_days * 86_400_000), outputStructType="sid long, n int, rsi double, atr double", outputMode="Update", timeMode="EventTime")
+
+
+def latest_of(df: DataFrame, folder: str, key: str) -> DataFrame:
+    """Runs an updating stream to the end of what is there and returns the last row of each key.
+
+    ``df`` must come from ``stateful_session``; the rows of a batch replace those of an earlier attempt of it.
+    """
+    q = (df.writeStream.outputMode("update").option("checkpointLocation", os.path.join(folder, "state")).trigger(availableNow=True)
+         .foreachBatch(lambda b, e: b.withColumn("epoch", F.lit(e).cast("long")).write.mode("overwrite").parquet(os.path.join(folder, "out", f"batch={e}"))).start())
+    q.awaitTermination()
+    rest = [c for c in df.columns if c != key]
+    out = df.sparkSession.read.schema(df.schema.add("epoch", "long")).parquet(os.path.join(folder, "out"))
+    return out.groupBy(key).agg(F.max_by(F.struct(*rest), "epoch").alias("v")).select(key, "v.*")
+
+
+def stateful_session(spark: SparkSession) -> SparkSession:
+    """A session beside the caller's with the state store that such processors need; the caller's settings stay."""
+    own = spark.newSession()
+    for name in ("spark.sql.shuffle.partitions", "spark.sql.session.timeZone", "spark.sql.ansi.enabled"):
+        own.conf.set(name, spark.conf.get(name))
+    own.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    return own
