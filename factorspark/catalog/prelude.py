@@ -7,6 +7,12 @@ import re
 from factorspark.sources.derived import ACCOUNTS
 
 CTES: dict[str, str] = {
+    "listings": """
+        WITH s AS (SELECT s_suppkey AS sid, DATE '1993-07-01' + CAST(CAST(floor(abs(s_acctbal)) AS BIGINT) % 1800 AS INTEGER) AS day FROM supplier)
+        SELECT sid, sid AS issuer, CAST(DATE '0001-01-01' AS DATE) AS start, day - 1 AS finish FROM s
+        UNION ALL SELECT sid, sid * 3 + 1, day, CASE WHEN sid % 3 = 0 THEN day + 400 END FROM s
+        UNION ALL SELECT sid, sid, day + 500, NULL FROM s WHERE sid % 3 = 0""",
+    "segments": "SELECT o_custkey AS issuer, year(o_orderdate) AS year, arg_max(o_orderpriority, o_orderkey) AS segment FROM orders GROUP BY ALL",
     "securities": """
         SELECT s_suppkey AS sid,
                lpad(CAST(s_suppkey // 2 AS VARCHAR), 6, '0')

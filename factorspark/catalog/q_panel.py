@@ -12,7 +12,7 @@ from factorspark.operators import timeseries as ts
 from factorspark.plans import panel as N
 from factorspark.session import cut_lineage
 
-FILL = 20
+FILL, FINANCIAL = 20, "1-URGENT"
 DOCS = ["ni", "equity", "ebit", "gross_profit", "ocf", "assets", "debt", "cash", "dna", "rev_ttm", "shares"]
 DOC_EXPR = {"ni": "value * 0.1 - 12000", "equity": "value * 1.5 - 30000", "ebit": "value * 0.18", "gross_profit": "value * 0.3", "ocf": "value * 0.12",
             "assets": "value * 2 + 100000", "debt": "CASE WHEN issuer % 4 <> 0 THEN sqrt(value) * 300 END", "cash": "value * 0.2",
@@ -44,13 +44,15 @@ sg AS (SELECT pr.t, pr.sid, pr.t_prev, px, p21 / p252 - 1 AS MOM, p0 / p21 - 1 A
 mp AS (SELECT sid, date_trunc('month', date) AS month, max(sno) AS s, arg_max(tr, sno) AS c FROM pb GROUP BY ALL),
 fw AS (SELECT pr.t, pr.sid, CASE WHEN n.c IS NULL THEN 0 ELSE n.c / CASE WHEN pr.t_sno - a.s <= {FILL} THEN a.c END - 1 END AS fwd FROM pr
   LEFT JOIN mp a ON a.sid = pr.sid AND a.month = pr.month LEFT JOIN mp n ON n.sid = pr.sid AND n.month = pr.month + INTERVAL 1 MONTH WHERE pr.t_next IS NOT NULL),
+lk AS (SELECT m.t, m.sid, m.issuer, g.segment AS sector FROM (SELECT pr.t, pr.sid, l.issuer FROM pr LEFT JOIN listings l ON l.sid = pr.sid AND pr.t >= l.start AND (l.finish IS NULL OR pr.t <= l.finish)) m
+  LEFT JOIN (SELECT *, lead(year) OVER (PARTITION BY issuer ORDER BY year) AS next_year FROM segments) g ON g.issuer = m.issuer AND year(m.t) >= g.year AND (g.next_year IS NULL OR year(m.t) < g.next_year)),
 fd AS (SELECT issuer, dt_refer, available_from, {", ".join(f"{e} AS {n}" for n, e in DOC_EXPR.items())} FROM filings),
-fa AS (SELECT pr.t, pr.sid, fd.* EXCLUDE (issuer) FROM pr JOIN fd ON fd.issuer = pr.sid AND fd.available_from <= pr.t_prev AND pr.t_prev - fd.dt_refer <= 500
+fa AS (SELECT pr.t, pr.sid, fd.* EXCLUDE (issuer) FROM pr JOIN lk USING (t, sid) JOIN fd ON fd.issuer = lk.issuer AND fd.available_from <= pr.t_prev AND pr.t_prev - fd.dt_refer <= 500
   QUALIFY row_number() OVER (PARTITION BY pr.t, pr.sid ORDER BY dt_refer DESC, available_from DESC) = 1),
-p0 AS (SELECT sg.*, fw.fwd, s.sector, s.sector = 'ASIA' AS is_fin, fa.dt_refer AS doc_ref, {", ".join(f"fa.{d}" for d in DOCS)}, fa.shares * sg.px AS mcap,
+p0 AS (SELECT sg.*, fw.fwd, lk.issuer, coalesce(lk.sector, '?') AS sector, coalesce(lk.sector = '1-URGENT', false) AS is_fin, fa.dt_refer AS doc_ref, {", ".join(f"fa.{d}" for d in DOCS)}, fa.shares * sg.px AS mcap,
    rp.rev_ttm AS rev_base, rp.assets AS assets_base
-  FROM sg JOIN fw USING (t, sid) JOIN securities s USING (sid) LEFT JOIN fa USING (t, sid) LEFT JOIN (SELECT issuer, dt_refer, arg_max(rev_ttm, available_from) AS rev_ttm, arg_max(assets, available_from) AS assets FROM fd GROUP BY ALL) rp
-   ON rp.issuer = sg.sid AND rp.dt_refer = last_day(fa.dt_refer - INTERVAL 12 MONTH)),
+  FROM sg JOIN fw USING (t, sid) JOIN lk USING (t, sid) LEFT JOIN fa USING (t, sid) LEFT JOIN (SELECT issuer, dt_refer, arg_max(rev_ttm, available_from) AS rev_ttm, arg_max(assets, available_from) AS assets FROM fd GROUP BY ALL) rp
+   ON rp.issuer = lk.issuer AND rp.dt_refer = last_day(fa.dt_refer - INTERVAL 12 MONTH)),
 p1 AS (SELECT * EXCLUDE (rev_base, assets_base), rev_ttm / nullif(greatest(rev_base, 0), 0) - 1 AS rev_growth, assets / nullif(greatest(assets_base, 0), 0) - 1 AS asset_growth,
   CASE WHEN mcap > 0 THEN mcap END AS cap, coalesce(equity, 0) + coalesce(debt, 0) - coalesce(cash, 0) AS ic, ebit + coalesce(dna, 0) AS ebitda FROM p0),
 panel AS (SELECT *, ni / cap AS EY, equity / cap AS BP, CASE WHEN NOT is_fin AND cap + coalesce(debt, 0) - coalesce(cash, 0) > 0 THEN ebit / (cap + coalesce(debt, 0) - coalesce(cash, 0)) END AS EBIT_EV,
@@ -77,7 +79,7 @@ def build_panel(t):
     months = ts.month_ends(t.sessions)
     uni = P.universe_history(t.spec_bars, t.sessions, size=60, **UNIVERSE)
     members = P.members_at(months.select("t"), uni)
-    links = t.securities.select("sid", F.col("sid").alias("issuer"), "sector", (F.col("sector") == "ASIA").alias("is_fin"))
+    links = N.links_at(members, t.listings, t.segments, FINANCIAL)
     docs = documents(t)
     p = N.factor_panel(panel_bars(t), t.index_close.select("sno", "close"), months, members, docs, DOCS, links, fill=FILL, min_beta=30)
     prior = docs.groupBy("issuer", F.last_day(F.add_months("dt_refer", 12)).alias("doc_ref")).agg(
@@ -89,6 +91,15 @@ def build_panel(t):
     return N.derive_ratios(p)
 
 
+@query("panel_links", "t:t sid:i issuer:i sector:s is_fin:b", """
+WITH me AS (SELECT max(date) AS t FROM sessions GROUP BY date_trunc('month', date)),
+m AS (SELECT me.t, s.sid, l.issuer FROM me, securities s LEFT JOIN listings l ON l.sid = s.sid AND me.t >= l.start AND (l.finish IS NULL OR me.t <= l.finish))
+SELECT m.t, m.sid, m.issuer, g.segment AS sector, coalesce(g.segment = '1-URGENT', false) AS is_fin FROM m LEFT JOIN segments g ON g.issuer = m.issuer AND g.year = (SELECT max(year) FROM segments h WHERE h.issuer = m.issuer AND h.year <= year(m.t))""")
+def _(t):
+    days = ts.month_ends(t.sessions).agg(F.collect_list("t").alias("ts"))  # one row, a day for each month
+    return N.links_at(t.securities.join(F.broadcast(days)).select(F.explode("ts").alias("t"), "sid"), t.listings, t.segments, FINANCIAL)
+
+
 def panel(t):
     """The panel is read by many branches of a study, so it is written out once."""
     if "_panel" not in t.__dict__:

@@ -168,3 +168,32 @@ def densify(df: DataFrame, key: str, sno: str, values: list[str], limit: int | N
     return (df.withColumn("_end", end)
             .select(key, F.col(sno).alias("_own"), *values, F.explode(F.sequence(F.col(sno), "_end")).alias("sno"))
             .withColumn("filled", F.col("sno") > F.col("_own")).drop("_own"))
+
+
+def valid_at(rows: DataFrame, ranges: DataFrame, keys: list[str], at: str, values: list[str], start: str = "start", finish: str = "finish") -> DataFrame:
+    """Adds to every row the values of the range of its key that holds its day; nulls where none does.
+
+    A range goes from ``start`` to ``finish``, both included; a null bound is open. Ranges are cut into calendar years, within the years
+    that the rows span, and meet the rows by key and year, an equality that Spark can hash and split; only the ranges of that year
+    are compared by day. If several ranges of a key hold the day, the one that starts last counts, of those the largest values. Rows
+    are looked up once for each key and day, however often they stand there.
+    """
+    day = F.col(at).cast("date")
+    probes = rows.select(*keys, day.alias("_at")).distinct()
+    span = probes.agg(F.min("_at").alias("_from"), F.max("_at").alias("_to"))  # one row
+    r = ranges.select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)], F.col(start).alias("_start"), F.col(finish).alias("_finish"), F.struct(*values).alias("_v")).join(F.broadcast(span))
+    first, last = F.year(F.greatest("_start", "_from")), F.year(F.least("_finish", "_to"))  # both skip nulls
+    r = r.filter(first <= last).withColumn("_year", F.explode(F.sequence(first, last))).drop("_from", "_to")
+    match = F.year("_at") == F.col("_year")
+    for i, k in enumerate(keys):
+        match = match & (F.col(k) == F.col(f"_k{i}"))
+    held = F.coalesce(F.col("_at") >= F.col("_start"), F.lit(True)) & F.coalesce(F.col("_at") <= F.col("_finish"), F.lit(True))
+    best = F.max(F.struct("_start", "_v")).alias("_b")
+    found = probes.join(r, match).filter(held).groupBy(*keys, "_at").agg(best).select(*keys, "_at", *[F.col(f"_b._v.{v}").alias(v) for v in values])
+    return rows.withColumn("_at", day).join(found, [*keys, "_at"], "left").drop("_at")
+
+
+def until_next(rows: DataFrame, keys: list[str], start: str, finish: str = "finish") -> DataFrame:
+    """Ranges from dated states: each one lasts until the day before its key's next, the last one is open."""
+    w = Window.partitionBy(*keys).orderBy(start)
+    return rows.withColumn(finish, F.date_sub(F.lead(start).over(w), 1))

@@ -107,18 +107,29 @@ def derive_ratios(p: DataFrame) -> DataFrame:
             .withColumn("is_fin", F.coalesce("is_fin", F.lit(False))).withColumn("sector", F.coalesce("sector", F.lit("?"))))
 
 
+def links_at(members: DataFrame, listings: DataFrame, segments: DataFrame, financial: str) -> DataFrame:
+    """Issuer and sector of each member as they hold at its date: t, sid, issuer, sector, is_fin.
+
+    ``listings``: sid, issuer, start, finish, so that a ticker can pass to another issuer, or be listed again after a gap;
+    ``segments``: issuer, year, segment, each in force until the issuer's next one.
+    """
+    linked = ts.valid_at(members.select("t", "sid"), listings, ["sid"], "t", ["issuer"])
+    ranges = ts.until_next(segments.select("issuer", F.make_date("year", F.lit(1), F.lit(1)).alias("start"), F.col("segment").alias("sector")), ["issuer"], "start")
+    return ts.valid_at(linked, ranges, ["issuer"], "t", ["sector"]).withColumn("is_fin", F.coalesce(F.col("sector") == financial, F.lit(False)))
+
+
 def factor_panel(bars: DataFrame, index: DataFrame, months: DataFrame, members: DataFrame, docs: DataFrame, doc_values: list[str],
                  links: DataFrame, fill: int = 0, min_beta: int = 150) -> DataFrame:
     """Signals known before each month end, linked fundamentals and the next month's return.
 
-    ``members``: t, sid in force; ``links``: sid, issuer, sector, is_fin; ``docs``: filings with
-    ``available_from``. Months with less than 261 sessions of history are left out.
+    ``members``: t, sid in force; ``links``: t, sid, issuer, sector, is_fin as they hold at t, null where none does, or without t if they never
+    change; ``docs``: filings with ``available_from``. Months with less than 261 sessions of history are left out.
     """
     dates = months.filter(F.col("prev_sno") >= MIN_SESSIONS)
     probes = members.select("t", "sid").join(dates.select("t", "t_prev", "prev_sno"), "t")
     sig = price_signals(bars, index, probes, fill, min_beta)
     fwd = forward_returns(bars, months, probes.select("t", "sid"), fill)
-    linked = probes.select("t", "t_prev", "sid").join(links, "sid")
+    linked = probes.select("t", "t_prev", "sid").join(links, [c for c in ("t", "sid") if c in links.columns], "left")
     fund = G.as_of(linked.select("t", "sid", "issuer", F.col("t_prev").alias("as_of")), docs, doc_values)
     keys = ["t", "sid"]
     return (linked.join(sig, keys).join(fwd, keys).join(fund.drop("issuer", "as_of", "available_from").withColumnRenamed("dt_refer", "doc_ref"), keys, "left"))

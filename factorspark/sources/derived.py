@@ -58,6 +58,26 @@ class Tables:
                         .when(F.col("n_regionkey") == 2, "financials").otherwise("other").alias("theme"),
                         F.col("s_acctbal").alias("acctbal")))
 
+    @cached_property
+    def listings(self) -> DataFrame:
+        """Which issuer a ticker stands for and when: it passes to another one, and every third comes back to the first after a gap."""
+        s = self.raw("supplier")
+        sid = F.col("s_suppkey")
+        day = F.date_add(F.lit("1993-07-01").cast("date"), (F.floor(F.abs("s_acctbal")) % 1800).cast("int"))
+        none = F.lit(None).cast("date")
+        again = sid % 3 == 0
+
+        def span(issuer, start, finish):
+            return F.struct(issuer.alias("issuer"), start.alias("start"), finish.alias("finish"))
+
+        spans = F.array(span(sid, none, F.date_sub(day, 1)), span(sid * 3 + 1, day, F.when(again, F.date_add(day, 400))), F.when(again, span(sid, F.date_add(day, 500), none)))
+        return s.select(sid.alias("sid"), F.explode(F.filter(spans, lambda x: x.isNotNull())).alias("x")).select("sid", "x.*")
+
+    @cached_property
+    def segments(self) -> DataFrame:
+        """Line of business of an issuer by year."""
+        return self.raw("orders").groupBy(F.col("o_custkey").alias("issuer"), F.year("o_orderdate").alias("year")).agg(F.max_by("o_orderpriority", "o_orderkey").alias("segment"))
+
     @cached_property
     def trades(self) -> DataFrame:
         li = self.raw("lineitem")
