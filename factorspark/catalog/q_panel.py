@@ -10,7 +10,8 @@ from factorspark.operators import prices as P
 from factorspark.operators import selection as L
 from factorspark.operators import timeseries as ts
 from factorspark.plans import panel as N
-from factorspark.session import cut_lineage
+from factorspark.plans import panel_table as T
+from factorspark.session import cut_lineage, shared_dir
 
 FILL, FINANCIAL = 20, "1-URGENT"
 DOCS = ["ni", "equity", "ebit", "gross_profit", "ocf", "assets", "debt", "cash", "dna", "rev_ttm", "shares"]
@@ -75,13 +76,16 @@ def panel_bars(t):
     return b.join(div, ["sid", "date"], "left").withColumn("dividend", F.coalesce("dividend", F.lit(0.0)))
 
 
-def build_panel(t):
+def panel_inputs(t):
+    """Month ends, members, documents and links of the panel."""
     months = ts.month_ends(t.sessions)
     uni = P.universe_history(t.spec_bars, t.sessions, size=60, **UNIVERSE)
     members = P.members_at(months.select("t"), uni)
-    links = N.links_at(members, t.listings, t.segments, FINANCIAL)
-    docs = documents(t)
-    p = N.factor_panel(panel_bars(t), t.index_close.select("sno", "close"), months, members, docs, DOCS, links, fill=FILL, min_beta=30)
+    return months, members, documents(t), N.links_at(members, t.listings, t.segments, FINANCIAL)
+
+
+def with_ratios(p, docs):
+    """Growth against the document a year before, market value, and the ratios."""
     prior = docs.groupBy("issuer", F.last_day(F.add_months("dt_refer", 12)).alias("doc_ref")).agg(
         F.max_by("rev_ttm", "available_from").alias("_rb"), F.max_by("assets", "available_from").alias("_ab"))
     p = p.join(prior, ["issuer", "doc_ref"], "left")
@@ -91,6 +95,28 @@ def build_panel(t):
     return N.derive_ratios(p)
 
 
+def build_panel(t):
+    months, members, docs, links = panel_inputs(t)
+    return with_ratios(N.factor_panel(panel_bars(t), t.index_close.select("sno", "close"), months, members, docs, DOCS, links, fill=FILL, min_beta=30), docs)
+
+
+@query("panel_by_month", "t:t sid:i MOM:5 VOL:5 BETA:5 px:8 dy:5 fwd:5 doc_ref:t EY:6 ROE:6", PANEL_SQL + "SELECT * FROM panel")
+def _(t):
+    """Built without the last year of bars first, then brought up to date."""
+    months, members, docs, links = panel_inputs(t)
+    members, links = cut_lineage(members.select("t", "sid")), cut_lineage(links)
+    bars = cut_lineage(panel_bars(t)).withColumn("month", F.date_format("date", "yyyy-MM"))
+    cut = F.lit(bars.agg(F.add_months(F.trunc(F.max("date"), "month"), -12).alias("d")).first()["d"])
+    table = T.PanelTable(t.spark, shared_dir(t.spark, "panel"), shared_dir(t.spark, "bars"))
+    index = t.index_close.select("sno", "date", "close")
+    for part, sessions in ((F.col("date") < cut, t.sessions.filter(F.col("date") < cut)), (F.col("date") >= cut, t.sessions)):
+        bars.filter(part).repartition("month").write.mode("append").partitionBy("month").parquet(table.bars)
+        ends = ts.month_ends(sessions)
+        here = members.join(ends.select("t"), "t", "left_semi")
+        table.update(index.join(sessions.select("sno"), "sno", "left_semi"), ends, here, docs, DOCS, links, fill=FILL, min_beta=30)
+    return with_ratios(table.read(), docs)
+
+
 @query("panel_links", "t:t sid:i issuer:i sector:s is_fin:b", """
 WITH me AS (SELECT max(date) AS t FROM sessions GROUP BY date_trunc('month', date)),
 m AS (SELECT me.t, s.sid, l.issuer FROM me, securities s LEFT JOIN listings l ON l.sid = s.sid AND me.t >= l.start AND (l.finish IS NULL OR me.t <= l.finish))
