@@ -17,25 +17,36 @@ from factorspark.functions.normal import norm_ppf
 from factorspark.session import cut_lineage
 
 CHUNKS_PER_E_FOLD = 4096
-PREFIX = 6
+#: Chunks of an id-like value, and the distinct rows whose values cut them.
+CHUNKS, SAMPLE = 1024, 65_536
 MIN_SECTOR_Z, MIN_SECTOR_PCT, MIN_WINSOR = 8, 4, 5
 MAD_SCALE = 1.4826
 
 
-def _chunk(df: DataFrame, value: str) -> Column:
-    """Order-preserving chunk of a column. It depends on the value alone, so a recomputed task assigns the same one.
+def chunked(hist: DataFrame, value: str, chunks: int = CHUNKS, sample: int = SAMPLE) -> DataFrame:
+    """Adds ``_chunk``, an order-preserving chunk of a column, to a histogram. A recomputed task assigns the same one.
 
-    Numbers: a fixed logarithmic scale, linear around zero, on which a chunk spans a quarter per mille of the
-    value, so packed and heavy-tailed values both spread over tasks. Dates: the day. Text: its first characters,
-    whose order is that of the texts.
+    Text and whole numbers, which may share a prefix or lie close together far from zero, are cut at quantiles of
+    a sample: the rows with the smallest hashes, which is the same sample whatever order tasks finish in, and uniform over
+    the histogram, so a key with a third of its rows has a third of the sample. It is one row of at most ``chunks`` split points.
+    Other numbers have a fixed logarithmic scale, linear around zero, on which a chunk spans a quarter per mille of
+    the value, so heavy-tailed values spread over tasks without a sample. Dates: the day.
     """
-    kind, v = df.schema[value].dataType, F.col(value)
-    if isinstance(kind, T.StringType):
-        return F.substring(v, 1, PREFIX)
+    kind, v = hist.schema[value].dataType, F.col(value)
     if isinstance(kind, T.DateType):
-        return F.unix_date(v)
-    v = v.cast("double")
-    return F.floor(F.signum(v) * F.log1p(F.abs(v) * 1e6) * CHUNKS_PER_E_FOLD)
+        return hist.withColumn("_chunk", F.unix_date(v))
+    if not isinstance(kind, (T.StringType, T.IntegralType)):
+        v = v.cast("double")
+        return hist.withColumn("_chunk", F.floor(F.signum(v) * F.log1p(F.abs(v) * 1e6) * CHUNKS_PER_E_FOLD))
+    keys = [c for c in hist.columns if c not in (value, "m")]
+    picked = hist.select(F.xxhash64(*keys, value).alias("_h"), v.alias("_v")).orderBy("_h", "_v").limit(sample)
+    sorted_ = picked.agg(F.array_sort(F.collect_list("_v")).alias("_s"))
+    nth = F.transform(F.sequence(F.lit(1), F.lit(chunks - 1)), lambda i: F.get("_s", F.floor(i * F.size("_s") / chunks).cast("int")))
+    splits = sorted_.select(F.array_sort(F.array_distinct(F.array_compact(nth))).alias("_splits"))
+    steps = F.array(*[F.lit(1 << b) for b in reversed(range((chunks - 1).bit_length()))])
+    # number of split points up to the value, by halving
+    at = F.aggregate(steps, F.lit(0), lambda done, step: F.when(F.get("_splits", done + step - 1) <= v, done + step).otherwise(done))
+    return hist.crossJoin(F.broadcast(splits)).withColumn("_chunk", at).drop("_splits")
 
 
 def histogram(df: DataFrame, keys: list[str], value: str) -> DataFrame:
@@ -49,7 +60,7 @@ def histogram(df: DataFrame, keys: list[str], value: str) -> DataFrame:
 def ranked(hist: DataFrame, keys: list[str], value: str) -> DataFrame:
     """Adds to a histogram ``below`` (rows smaller) and ``n`` (rows in all)."""
     inside = Window.partitionBy(*keys, "_chunk").orderBy(value).rowsBetween(Window.unboundedPreceding, -1)
-    cut = hist.withColumn("_chunk", _chunk(hist, value)).withColumn("_in", F.coalesce(F.sum("m").over(inside), F.lit(0)))
+    cut = chunked(hist, value).withColumn("_in", F.coalesce(F.sum("m").over(inside), F.lit(0)))
     tot = cut.groupBy(*keys, "_chunk").agg(F.sum("m").alias("_t"))
     part = Window.partitionBy(*keys)
     before = part.orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)

@@ -90,3 +90,30 @@ def test_neutral_means_zero_by_sector(spark):
     out = X.sector_neutral(spark.createDataFrame(pdf), ["k"], "sector", "v").groupBy("sector").agg(F.avg("neutral").alias("m")).collect()
     assert all(math.isclose(r.m, 0, abs_tol=1e-12) for r in out)
     assert pytest.approx(0) == sum(r.m for r in out)
+
+
+@pytest.mark.parametrize("value", [
+    "id", "id + 1000000000", "concat('BR-ISSUER-000-', lpad(id, 9, '0'))", "id * id * id",
+    "concat(if(id % 2 = 0, 'user_0001_', 'zz'), sha2(cast(id as string), 256))"])
+def test_chunks_of_ids_are_even(spark, value):
+    """A million ids, close together, with a common prefix or far apart: no chunk holds over twice the median."""
+    hist = spark.range(1_000_000).select(F.lit("d").alias("k"), F.expr(value).alias("v"), F.lit(1).alias("m"))
+    sizes = [r["count"] for r in X.chunked(hist, "v", chunks=256).groupBy("_chunk").count().collect()]
+    assert sum(sizes) == 1_000_000 and len(sizes) == 256 and max(sizes) <= 2 * np.median(sizes)
+
+
+@pytest.mark.parametrize("make", [str, int])
+def test_ranks_over_sampled_chunks(spark, make):
+    """Split points from a few of the rows, with repeated values and a single chunk that holds most: ranks still equal those of pandas."""
+    rng = np.random.default_rng(2)
+    pdf = pd.DataFrame({"k": rng.integers(0, 3, 4000), "v": [make(x) for x in np.where(rng.random(4000) < 0.5, 10**9, 10**9 + rng.integers(-500, 500, 4000))]})
+    got = X.with_average_rank(spark.createDataFrame(pdf.assign(i=range(4000))), ["k"], "v", "r").toPandas().sort_values("i")
+    assert np.allclose(got["r"], pdf.groupby("k")["v"].rank())
+    hist = X.histogram(spark.createDataFrame(pdf), ["k"], "v")
+    order = sorted((r["v"], r["_chunk"]) for r in X.chunked(hist, "v", chunks=7, sample=30).collect())
+    assert [c for _, c in order] == sorted(c for _, c in order) and len({c for _, c in order}) > 3
+
+
+def test_chunks_of_an_empty_histogram(spark):
+    hist = spark.createDataFrame([], "k int, v string, m long")
+    assert X.ranked(hist, ["k"], "v").count() == 0
