@@ -6,6 +6,7 @@ from factorspark.catalog.registry import query
 from factorspark.session import shared_dir
 from factorspark.sources import readers as R
 from factorspark.sources import sinks as S
+from factorspark.sources.snapshots import SnapshotTable
 
 
 def _pad(c, n):
@@ -212,10 +213,10 @@ SELECT strftime(date, '%Y-%m') AS month, count(*) AS n, sum(CASE WHEN date >= DA
 def _(t):
     path = shared_dir(t.spark, "partitions")
     b = t.bars.select("sid", "date", "volume").withColumn("month", F.date_format("date", "yyyy-MM"))
-    S.overwrite_partitions(b, path, ["month"])
-    S.overwrite_partitions(b.filter("date >= '2000-01-01'").withColumn("volume", F.col("volume") * 2), path, ["month"])
-    back = t.spark.read.schema("sid long, date date, volume double, month string").parquet(path)
-    return back.groupBy("month").agg(F.count("*").alias("n"), F.sum("volume").alias("volume"))
+    table = SnapshotTable(t.spark, path, "sid long, date date, volume double, month string", ["month"])
+    table.overwrite(b)
+    table.overwrite(b.filter("date >= '2000-01-01'").withColumn("volume", F.col("volume") * 2))
+    return table.read().groupBy("month").agg(F.count("*").alias("n"), F.sum("volume").alias("volume"))
 
 
 @query("sink_append_log", "month:s n:i", "SELECT strftime(date, '%Y-%m') AS month, count(*) * 2 AS n FROM bars GROUP BY 1")

@@ -40,6 +40,35 @@ def _(t):
     return J.run_to_table(J.level_alerts(ticks(t), levels), shared_dir(t.spark, "stream"), "alerts")
 
 
+@query("stream_revised_bars", "sid:i date:t open:2 high:2 low:2 close:2 volume:2 trades:i final:b", """
+WITH mx AS (SELECT max(ts) - INTERVAL 2 DAY AS wm FROM ticks),
+d AS (SELECT sid, CAST(ts AS DATE) AS date, first(px ORDER BY ts, event_id) AS open, max(px) AS high, min(px) AS low, last(px ORDER BY ts, event_id) AS close, sum(px) AS volume, count(*) AS trades FROM ticks GROUP BY ALL)
+SELECT d.*, epoch_ms(date + INTERVAL 1 DAY) <= epoch_ms(wm) AS final FROM d, mx""")
+def _(t):
+    own = J.stateful_session(t.spark)
+    ticks_there = J.tick_stream(own, t.root, "events.parquet", t.raw("events").schema)
+    folder = shared_dir(t.spark, "stream")
+    told = t.spark.read.parquet(stored(J.run_updates(J.revised_bars(ticks_there), folder), folder))
+    rest = [c for c in told.columns if c not in ("sid", "date")]
+    return told.groupBy("sid", "date").agg(F.max_by(F.struct(*rest), "revision").alias("v")).select("sid", "date", "v.*")
+
+
+@query("stream_levels_in_force", "sid:i day:t kind:s", """
+WITH mx AS (SELECT epoch_ms(max(ts)) - 172800000 AS wm FROM ticks),
+v AS (SELECT sid, ts, arg_max(px, event_id) * 0.9 AS stop, arg_max(px, event_id) * 1.2 AS target FROM ticks WHERE event_type = 'purchase' GROUP BY sid, ts),
+k AS (SELECT sid, ts, px FROM ticks, mx WHERE event_type <> 'purchase' AND px > 0 AND epoch_ms(ts) < wm),
+j AS (SELECT k.sid, CAST(k.ts AS DATE) AS day, k.px, CASE WHEN v.stop > 0 THEN v.stop END AS stop, CASE WHEN v.target > 0 THEN v.target END AS target FROM k ASOF JOIN v ON k.sid = v.sid AND k.ts >= v.ts)
+SELECT DISTINCT sid, day, 'stop_hit' AS kind FROM j WHERE px <= stop
+UNION ALL SELECT DISTINCT sid, day, 'stop_near' FROM j WHERE px > stop AND (px - stop) / px < 0.02
+UNION ALL SELECT DISTINCT sid, day, 'target_hit' FROM j WHERE NOT coalesce(px <= stop, false) AND px >= target""")
+def _(t):
+    own = J.stateful_session(t.spark)
+    ticks_there = J.tick_stream(own, t.root, "events.parquet", t.raw("events").schema)
+    entries = ticks_there.filter("event_type = 'purchase'").select("sid", "ts", F.col("event_id").alias("version"), (F.col("px") * 0.9).alias("stop"), (F.col("px") * 1.2).alias("target"))
+    folder = shared_dir(t.spark, "stream")
+    return t.spark.read.parquet(stored(J.run_to_table(J.level_alerts_in_force(ticks_there.filter("event_type <> 'purchase'"), entries), folder, "alerts"), folder))
+
+
 @query("stream_scan_log", "month:s n:i", "SELECT strftime(ts, '%Y-%m') AS month, count(*) AS n FROM ticks WHERE event_type = 'purchase' GROUP BY 1")
 def _(t):
     hits = ticks(t).filter("event_type = 'purchase'")

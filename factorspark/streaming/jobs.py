@@ -6,6 +6,7 @@ job returns the streaming frame or starts a query with a checkpoint in the folde
 
 from __future__ import annotations
 
+import datetime as dt
 import os
 
 import numpy as np
@@ -210,6 +211,171 @@ def wilder_in_order(ticks: DataFrame, late: str = "2 days", idle_days: int = 365
         statefulProcessor=WilderInOrder(idle_days * 86_400_000), outputStructType="sid long, n int, rsi double, atr double", outputMode="Update", timeMode="EventTime")
 
 
+class LevelsInForce(StatefulProcessor):
+    """Alerts of ticks against the stop and target that were in force when they came.
+
+    Ticks and versions of levels wait until the watermark has passed them; then those that are due are taken in event-time order, a
+    version before the ticks of its instant, of several of one instant the one with the highest number. What remains is the version in force
+    and the alerts already given on its last day: each kind is told once per day.
+    """
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.waiting = handle.getListState("waiting", "us long, tick boolean, number long, px double, stop double, target double")
+        self.force = handle.getValueState("force", "stop double, target double, day int, told string")
+
+    def handleInputRows(self, key, rows, timerValues):
+        new = pd.concat(list(rows))
+        us = new["ts"].astype("datetime64[us]").astype("int64")
+        number = [None if pd.isna(x) else float(x) for x in new["px"]], *([None if pd.isna(x) else float(x) for x in new[c]] for c in ("stop", "target"))
+        self.waiting.appendList(list(zip(map(int, us), map(bool, new["tick"]), map(int, new["number"]), *number, strict=True)))
+        self.handle.registerTimer(int(us.min()) // 1000)
+        return iter([])
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
+        now = timerValues.getCurrentWatermarkInMs()
+        there = sorted(self.waiting.get(), key=lambda x: x[:3]) if self.waiting.exists() else []
+        due = [x for x in there if x[0] // 1000 < now]
+        if not due:
+            return
+        left = there[len(due) :]
+        if left:
+            self.waiting.put(left)
+            self.handle.registerTimer(left[0][0] // 1000)
+        else:
+            self.waiting.clear()
+        stop, target, day, told = self.force.get() if self.force.exists() else (None, None, None, "")
+        found, stop, target = alerts_in_force(due, stop, target)
+        kinds = {(day, k) for k in (told or "").split(",") if k}
+        fresh = [x for x in dict.fromkeys(found) if x not in kinds]
+        if found:
+            day = max(d for d, _ in found)
+            told = ",".join(sorted(k for d, k in {*kinds, *found} if d == day))
+        self.force.update((stop, target, day, told))
+        if fresh:
+            yield pd.DataFrame({"sid": [key[0]] * len(fresh), "day": [dt.date(1970, 1, 1) + dt.timedelta(days=d) for d, _ in fresh], "kind": [k for _, k in fresh]})
+
+    def close(self) -> None:
+        pass
+
+
+def alerts_in_force(due: list[tuple], stop: float | None, target: float | None) -> tuple[list[tuple[int, str]], float | None, float | None]:
+    """Day and kind of each alert of rows in event-time order, and the levels in force after them. A level of zero or less is none."""
+    frame = pd.DataFrame([(0, False, 0, None, stop, target), *due], columns=["us", "tick", "number", "px", "stop", "target"])
+    version = (~frame["tick"]).cumsum() - 1
+    held = frame.loc[~frame["tick"], ["stop", "target"]].astype(float).to_numpy()
+    low, high = (np.where(held[version, i] > 0, held[version, i], np.nan) for i in (0, 1))
+    px = np.where(frame["tick"], frame["px"].astype(float), np.nan)
+    px[~(px > 0)] = np.nan
+    hit = px <= low
+    with np.errstate(invalid="ignore"):
+        kinds = {"stop_hit": hit, "stop_near": ~hit & ((px - low) / px < T.STOP_NEAR), "target_hit": ~hit & (px >= high)}
+    day = (frame["us"] // 86_400_000_000).to_numpy()
+    found = sorted((int(i), int(day[i]), kind) for kind, at in kinds.items() for i in np.flatnonzero(at))
+    last = [None if np.isnan(x) else float(x) for x in held[-1]]
+    return [(d, kind) for _, d, kind in found], *last
+
+
+def level_alerts_in_force(ticks: DataFrame, levels: DataFrame, late: str = "2 days") -> DataFrame:
+    """Alerts of a tick stream against a stream of versions of levels: sid, day, kind, each once per name and day.
+
+    ``levels`` has sid, ts, version, stop and target; a version holds from its ts to the next one of its name, and before the first a
+    name has no alert. One watermark over both streams decides what is late, so a name whose levels rarely change holds nothing up;
+    a version that comes later than that is dropped like a late tick. Days are those of the session's time zone at UTC.
+    """
+    none = F.lit(None).cast("double")
+    a = ticks.select("sid", "ts", F.lit(True).alias("tick"), F.col("event_id").cast("long").alias("number"), F.col("px").cast("double").alias("px"), none.alias("stop"), none.alias("target"))
+    b = levels.select("sid", "ts", F.lit(False).alias("tick"), F.col("version").cast("long").alias("number"), none.alias("px"), F.col("stop").cast("double").alias("stop"), F.col("target").cast("double").alias("target"))
+    return a.unionByName(b).withWatermark("ts", late).groupBy("sid").transformWithStateInPandas(
+        statefulProcessor=LevelsInForce(), outputStructType="sid long, day date, kind string", outputMode="Append", timeMode="EventTime")
+
+
+class RevisedBars(StatefulProcessor):
+    """Daily bars that are told as they form: provisional with each batch that changes them, final once the watermark has passed their day.
+
+    The state is a row for each open day; the watermark bounds how many there are. A timer at the end of the earliest one closes it.
+    """
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.open = handle.getListState("open", f"day int, revision int, {_BAR}")
+
+    def handleInputRows(self, key, rows, timerValues):
+        new = merged_bars(pd.concat([_parts(x) for x in rows]))
+        there = _bars(self.open)
+        both = merged_bars(pd.concat([there[new.columns], new])) if len(there) else new
+        changed = both["day"].isin(new["day"])
+        both["revision"] = both["day"].map(there.set_index("day")["revision"]).fillna(0).astype(int) + changed
+        self._keep(both)
+        yield _told(key, both[changed], False)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
+        there = _bars(self.open)
+        over = (there["day"].astype("int64") + 1) * _DAY_MS <= timerValues.getCurrentWatermarkInMs()
+        self._keep(there[~over])
+        if over.any():
+            last = there[over].copy()
+            last["revision"] += 1
+            yield _told(key, last, True)
+
+    def _keep(self, bars: pd.DataFrame) -> None:
+        if len(bars):
+            self.open.put([tuple(x.item() if hasattr(x, "item") else x for x in row) for row in bars[_BAR_COLUMNS].itertuples(index=False)])
+            self.handle.registerTimer((int(bars["day"].min()) + 1) * _DAY_MS)
+        else:
+            self.open.clear()
+
+    def close(self) -> None:
+        pass
+
+
+_DAY_MS = 86_400_000
+_BAR = "first_us long, first_id long, open double, high double, low double, last_us long, last_id long, close double, volume double, trades long"
+_BAR_COLUMNS = ["day", "revision", *(c.split(" ")[0] for c in _BAR.split(", "))]
+
+
+def _bars(state) -> pd.DataFrame:
+    return pd.DataFrame(list(state.get()) if state.exists() else [], columns=_BAR_COLUMNS)
+
+
+def _parts(ticks: pd.DataFrame) -> pd.DataFrame:
+    """Each tick as a bar of its own."""
+    us = ticks["ts"].astype("datetime64[us]").astype("int64")
+    px = ticks["px"]
+    return pd.DataFrame({"day": us // (_DAY_MS * 1000), "first_us": us, "first_id": ticks["event_id"], "open": px, "high": px, "low": px, "last_us": us, "last_id": ticks["event_id"], "close": px, "volume": px, "trades": 1})
+
+
+def merged_bars(parts: pd.DataFrame) -> pd.DataFrame:
+    """Bars of the same day as one, whatever their order."""
+    by_first = parts.sort_values(["day", "first_us", "first_id"]).groupby("day")[["first_us", "first_id", "open"]].first()
+    by_last = parts.sort_values(["day", "last_us", "last_id"]).groupby("day")[["last_us", "last_id", "close"]].last()
+    rest = parts.groupby("day").agg(high=("high", "max"), low=("low", "min"), volume=("volume", "sum"), trades=("trades", "sum"))
+    return by_first.join(by_last).join(rest).reset_index()[[c for c in _BAR_COLUMNS if c != "revision"]]
+
+
+def _told(key: tuple, bars: pd.DataFrame, final: bool) -> pd.DataFrame:
+    day = pd.to_datetime(bars["day"].astype("int64"), unit="D").dt.date
+    return pd.DataFrame({"sid": key[0], "date": day, **{c: bars[c] for c in ("open", "high", "low", "close", "volume", "trades", "revision")}, "final": final})
+
+
+def revised_bars(ticks: DataFrame, late: str = "2 days") -> DataFrame:
+    """Daily bars as they form: a row with the next revision for each batch that changes a day, and one ``final`` row when it closes.
+
+    A tick within the watermark revises its day; one behind it is dropped, so nothing follows a final row.
+    """
+    live = ticks.withWatermark("ts", late).select("sid", "ts", "event_id", F.col("px").cast("double").alias("px"))
+    schema = "sid long, date date, open double, high double, low double, close double, volume double, trades long, revision int, final boolean"
+    return live.groupBy("sid").transformWithStateInPandas(statefulProcessor=RevisedBars(), outputStructType=schema, outputMode="Update", timeMode="EventTime")
+
+
+def run_updates(df: DataFrame, folder: str) -> DataFrame:
+    """Runs an updating stream to the end of what is there and returns all its rows; a batch replaces those of an earlier attempt of it."""
+    q = (df.writeStream.outputMode("update").option("checkpointLocation", os.path.join(folder, "state")).trigger(availableNow=True)
+         .foreachBatch(lambda b, e: b.write.mode("overwrite").parquet(os.path.join(folder, "out", f"batch={e}"))).start())
+    q.awaitTermination()
+    return df.sparkSession.read.schema(df.schema).parquet(os.path.join(folder, "out"))
+
+
 def latest_of(df: DataFrame, folder: str, key: str) -> DataFrame:
     """Runs an updating stream to the end of what is there and returns the last row of each key.
 
