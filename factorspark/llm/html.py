@@ -9,7 +9,8 @@ from __future__ import annotations
 
 import random
 import re
-from collections.abc import Iterator
+from collections import Counter
+from collections.abc import Iterable, Iterator
 from functools import lru_cache
 from html.parser import HTMLParser
 
@@ -18,11 +19,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from factorspark.llm.common import ship
+from factorspark.llm.common import ship, steps
 from factorspark.llm.gbt import Trees, fit
 
 #: Composed pages to learn from, and the seed they are drawn with.
 TRAINING_PAGES, SEED = 500, 7
+#: Characters of html whose nodes are classified together, and nodes of a long page that are classified at a time.
+TOGETHER, ROWS = 1 << 19, 1 << 14
 
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 #: Scripts, styles and form controls, whose text is never main text. Formulas, buttons and fallbacks are inline content.
@@ -31,8 +34,9 @@ _CONTAINER = frozenset("html body article main section div nav header footer asi
 _LEAF = frozenset("p h1 h2 h3 h4 h5 h6 dt pre address figcaption caption summary legend".split())
 _BLOCK = _CONTAINER | _LEAF | {"#text"}
 #: Start tags that end an open element of the same list, up to a container around it.
-_ENDS = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "tbody": ("tr", "td", "th", "thead", "tbody"), "tfoot": ("tr", "td", "th", "tbody"), "body": ("head",)}
+_ENDS = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "tbody": ("tr", "td", "th", "thead", "tbody"), "tfoot": ("tr", "td", "th", "tbody")}
 _AROUND = frozenset("ul ol dl table article main section div nav header footer aside form body".split())
+_AROUND_P, _AROUND_HEAD = _AROUND | {"li", "td", "th"}, _AROUND - {"ul", "ol", "dl"}
 
 _KINDS = ("article", "main", "section", "div", "p", "#text", "heading", "list", "li", "table", "nav", "header", "footer", "aside", "form", "quote", "figure", "root", "other")
 _KIND_OF = {**{t: "heading" for t in ("h1", "h2", "h3", "h4", "h5", "h6", "hgroup")}, **{t: "list" for t in ("ul", "ol", "dl", "menu")}, **{t: "li" for t in ("dt", "dd")},
@@ -83,98 +87,152 @@ def _groups(names: str) -> frozenset[str]:
     return _groups_cached(names) if len(names) <= 500 else _groups_in(names)
 
 
+class Level:
+    """An open block element, and the inline elements that are open in it, innermost last."""
+
+    __slots__ = ("tag", "node", "inline", "count")
+
+    def __init__(self, tag: str, node: int, inline: list[str] | None = None, count: Counter | None = None):
+        self.tag, self.node, self.inline, self.count = tag, node, inline or [], count or Counter()
+
+
 class Tree(HTMLParser):
-    """Block elements of a page in page order. Inline content between blocks of a container gets a node of its own, ``#text``."""
+    """Block elements of a page in page order. Inline content between blocks of a container gets a node of its own, ``#text``.
+
+    What is open is counted by tag, so the time is linear in the page, however many elements are never closed.
+    """
 
     def __init__(self, html: str):
         super().__init__(convert_charrefs=True)
         self.nodes = [Node("#root", -1, 0, 0, frozenset())]
-        self.open: list[tuple[str, int]] = [("#root", 0)]
+        self.levels = [Level("#root", 0)]
+        self.places: dict[str, list[int]] = {t: [] for t in _BLOCK}  # levels with a tag
+        self.inline: Counter = Counter()  # open inline elements of all levels
         self.silent: list[str] = []  # the open silent element and what is open inside
+        self.within: Counter = Counter()
         self.feed(html)
         self.close()
 
     def _add(self, tag: str, groups: frozenset[str] = frozenset()) -> None:
-        up = self.open[-1][1]
+        up = self.levels[-1].node
         parent = self.nodes[up]
         self.nodes.append(Node(tag, up, parent.depth + 1, parent.children, groups))
         parent.children += 1
-        self.open.append((tag, len(self.nodes) - 1))
-
-    def _pop_to(self, tags: tuple[str, ...], stop: frozenset[str]) -> None:
-        for k in range(len(self.open) - 1, 0, -1):
-            if self.open[k][0] in tags:
-                del self.open[k:]
-                return
-            if self.open[k][0] in stop:
+        self.places[tag].append(len(self.levels))
+        self.levels.append(Level(tag, len(self.nodes) - 1))
+
+    def _cut(self, at: int) -> None:
+        """Ends all levels from ``at`` on."""
+        for level in self.levels[at:]:
+            self.places[level.tag].pop()
+            self.inline.subtract(level.inline)
+        del self.levels[at:]
+
+    def _last(self, tags: Iterable[str]) -> int:
+        return max((self.places[t][-1] for t in tags if self.places[t]), default=0)
+
+    def _pop_to(self, tags: tuple[str, ...], stop: frozenset[str] = frozenset()) -> None:
+        at = self._last(tags)
+        if at and at > self._last(stop):
+            self._cut(at)
+
+    def _pop_inline(self, level: Level, tag: str) -> None:
+        while level.count[tag]:
+            last = level.inline.pop()
+            level.count[last] -= 1
+            self.inline[last] -= 1
+            if last == tag:
                 return
 
+    def _pop_head(self) -> None:
+        """Ends an open head, which is no block, unless a block that it cannot reach into lies between."""
+        if self.inline["head"] > 0:
+            for at in range(len(self.levels) - 1, -1, -1):
+                if self.levels[at].count["head"]:
+                    self._cut(at + 1)
+                    self._pop_inline(self.levels[at], "head")
+                    return
+                if self.levels[at].tag in _AROUND_HEAD:
+                    return
+
     def handle_starttag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
-        if self.silent:
-            if tag not in _VOID:
+        if self.silent or tag in _SILENT:
+            if not self.silent or tag not in _VOID:
                 self.silent.append(tag)
-            return
-        if tag in _SILENT:
-            self.silent.append(tag)
+                self.within[tag] += 1
             return
         if tag not in _BLOCK:
             if tag == "br":
                 self._text(" ")
             elif tag not in _VOID:
-                self.open.append((tag, self.open[-1][1]))
+                top = self.levels[-1]
+                top.inline.append(tag)
+                top.count[tag] += 1
+                self.inline[tag] += 1
             elif tag == "hr":
                 self._pop_to(("#text", "p"), _AROUND)
             return
-        self._pop_to(("#text",), _BLOCK - {"#text"})
-        self._pop_to(("p",), _AROUND | {"li", "td", "th"})
-        if self.open[-1][0] in _LEAF and tag in _LEAF:
-            self.open.pop()
-        if tag in _ENDS:
-            stop = _AROUND - ({"ul", "ol", "dl"} if tag in ("body",) else set())
-            self._pop_to(_ENDS[tag], stop)
+        if self.levels[-1].tag == "#text":
+            self._cut(len(self.levels) - 1)
+        self._pop_to(("p",), _AROUND_P)
+        top = self.levels[-1]
+        if top.tag in _LEAF and tag in _LEAF and not top.inline:
+            self._cut(len(self.levels) - 1)
+        if tag == "body":
+            self._pop_head()
+        elif tag in _ENDS:
+            self._pop_to(_ENDS[tag], _AROUND)
             if tag == "tr":
                 self._pop_to(("tr",), _AROUND)
         groups = frozenset().union(*(_groups(v) for k, v in attrs if v and k in ("class", "id", "role", "aria-label")))
         hide = any(k == "hidden" or k == "aria-hidden" and v == "true" or k == "style" and v and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", v) for k, v in attrs)
         self._add(tag, groups | {"hidden"} if hide else groups)
 
+    def _speak(self, left: int) -> None:
+        """Ends what is open inside a silent element beyond the first ``left``."""
+        self.within.subtract(self.silent[left:])
+        del self.silent[left:]
+
     def handle_startendtag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
         before = len(self.silent)
         self.handle_starttag(tag, attrs)
-        del self.silent[before:]
+        self._speak(before)
 
     def handle_endtag(self, tag: str) -> None:
         if self.silent:
-            if tag in self.silent:
-                del self.silent[len(self.silent) - 1 - self.silent[::-1].index(tag) :]
+            if self.within[tag] > 0:
+                at = len(self.silent) - 1
+                while self.silent[at] != tag:
+                    at -= 1
+                self._speak(at)
                 return
             # never closed: ends with the element around it
-            if tag not in ("body", "html") and all(t != tag for t, _ in self.open):
+            if tag not in ("body", "html") and not self.inline[tag] and not self.places.get(tag):
                 return
-            self.silent.clear()
+            self._speak(0)
         if tag in ("body", "html"):
             return
-        self._pop_to((tag,), frozenset() if tag in _BLOCK else _BLOCK)
+        if tag in _BLOCK:
+            self._pop_to((tag,))
+        else:
+            self._pop_inline(self.levels[-1], tag)
 
     def handle_data(self, data: str) -> None:
         if not self.silent:
             self._text(data)
 
     def _text(self, data: str) -> None:
-        at = self.open[-1][1]
-        if self.nodes[at].tag in _CONTAINER or at == 0:
+        top = self.levels[-1]
+        if top.tag in _CONTAINER or top.node == 0:
             if data.isspace() or not data:
                 return
-            # below the innermost block: inline elements that are open go on inside the new node
-            k = max(i for i, (t, _) in enumerate(self.open) if t in _BLOCK or i == 0)
-            inline = [t for t, _ in self.open[k + 1 :]]
-            del self.open[k + 1 :]
+            # inline elements that are open go on inside the new node
             self._add("#text")
-            at = len(self.nodes) - 1
-            self.open += [(t, at) for t in inline]
-        node = self.nodes[at]
+            moved, top = top, self.levels[-1]
+            top.inline, top.count, moved.inline, moved.count = moved.inline, moved.count, top.inline, top.count
+        node = self.nodes[top.node]
         node.text.append(data)
-        if any(t == "a" for t, i in self.open if i == at):
+        if top.count["a"]:
             node.links += len(data)
 
 
@@ -185,6 +243,11 @@ _CUTS = frozenset(("nav", "header", "footer", "aside", "form"))
 
 def features(nodes: list[Node]) -> np.ndarray:
     """One row for each node: its kind, what its attributes and those above say, its subtree, its siblings and its place in the page."""
+    return np.concatenate(list(feature_rows(nodes)))
+
+
+def feature_rows(nodes: list[Node], step: int = ROWS) -> Iterator[np.ndarray]:
+    """The rows of ``features`` in order, ``step`` at a time, so that a long page holds its numbers but not its whole matrix."""
     n, g = len(nodes), list(TOKENS)
     chars, words, marks, links, size, paragraphs, items = (np.zeros(n) for _ in range(7))
     for i, x in enumerate(nodes):
@@ -198,29 +261,29 @@ def features(nodes: list[Node]) -> np.ndarray:
     for i in range(n - 1, 0, -1):
         total[:, parent[i]] += total[:, i]
     chars, words, marks, links, size, paragraphs, items = total
-    out = np.zeros((n, len(FEATURES)))
-    above = np.zeros((n, len(g) + 3))
+    kind, own_groups, above = np.zeros(n, np.int8), np.zeros((n, len(g)), np.int8), np.zeros((n, len(g) + 3), np.int32)
     for i, x in enumerate(nodes):
-        out[i, _KINDS.index(_KIND_OF.get(x.tag, x.tag if x.tag in _KINDS else "other"))] = 1
+        kind[i] = _KINDS.index(_KIND_OF.get(x.tag, x.tag if x.tag in _KINDS else "other"))
         for name in x.groups:
-            out[i, len(_KINDS) + g.index(name)] = 1
+            own_groups[i, g.index(name)] = 1
         if i:
             p = parent[i]
             above[i] = above[p]
-            above[i, : len(g)] += out[p, len(_KINDS) : len(_KINDS) + len(g)]
+            above[i, : len(g)] += own_groups[p]
             above[i, len(g)] += nodes[p].tag == "article"
             above[i, len(g) + 1] += nodes[p].tag == "main"
             above[i, len(g) + 2] += nodes[p].tag in _CUTS
-    k = len(_KINDS) + len(g)
-    out[:, k : k + above.shape[1]] = above
     up = np.array(parent)
     up[0] = 0
     offset = np.cumsum(own) - own
-    rest = [[x.depth for x in nodes], [x.nth for x in nodes], [nodes[p].children for p in up], chars / max(1.0, chars[0]), offset / max(1.0, chars[0]), np.log1p(chars), np.log1p(words),
-            marks / np.maximum(1, words), np.log1p(size), chars / size, links / np.maximum(1, chars), paragraphs, items, links[up] / np.maximum(1, chars[up]), np.log1p(chars[up]),
-            np.log1p(np.maximum(0, offset - offset[up])), np.log1p(np.maximum(0, offset[up] + chars[up] - offset - chars)), words / np.maximum(1, paragraphs)]
-    out[:, k + above.shape[1] :] = np.stack([np.asarray(r, float) for r in rest], axis=1)
-    return out
+    depth, nth, siblings = (np.array(v, float) for v in ([x.depth for x in nodes], [x.nth for x in nodes], [nodes[p].children for p in up]))
+    for a in range(0, n, step):
+        r = slice(a, a + step)
+        u = up[r]
+        rest = [depth[r], nth[r], siblings[r], chars[r] / max(1.0, chars[0]), offset[r] / max(1.0, chars[0]), np.log1p(chars[r]), np.log1p(words[r]),
+                marks[r] / np.maximum(1, words[r]), np.log1p(size[r]), chars[r] / size[r], links[r] / np.maximum(1, chars[r]), paragraphs[r], items[r], links[u] / np.maximum(1, chars[u]), np.log1p(chars[u]),
+                np.log1p(np.maximum(0, offset[r] - offset[u])), np.log1p(np.maximum(0, offset[u] + chars[u] - offset[r] - chars[r])), words[r] / np.maximum(1, paragraphs[r])]
+        yield np.concatenate([np.eye(len(_KINDS))[kind[r]], own_groups[r], above[r], np.stack(rest, axis=1)], axis=1)
 
 
 def decode(parent: list[int], margin: np.ndarray) -> list[bool]:
@@ -386,11 +449,14 @@ def model(pages: int = TRAINING_PAGES, seed: int = SEED) -> Trees:
 
 
 def extract(pages: list[str | None], trees: Trees) -> list[str]:
-    """The main text of each page; their nodes are classified together."""
+    """The main text of each page; the nodes of short pages are classified together, those of a long one in slices."""
     parsed = [Tree(p or "").nodes for p in pages]
     if not parsed:
         return []
-    margin = trees.margin(np.concatenate([features(nodes) for nodes in parsed]))
+    if len(parsed) == 1:
+        margin = np.concatenate([trees.margin(rows) for rows in feature_rows(parsed[0])])
+    else:
+        margin = trees.margin(np.concatenate([features(nodes) for nodes in parsed]))
     cuts = np.cumsum([len(nodes) for nodes in parsed])[:-1]
     return [main_text(nodes, decode([x.parent for x in nodes], m)) for nodes, m in zip(parsed, np.split(margin, cuts), strict=True)]
 
@@ -408,8 +474,8 @@ def extract_pages(pages: DataFrame, training_pages: int = TRAINING_PAGES, seed:
         for batch in batches:
             html = batch.column("html").to_pylist()
             texts: list[str] = []
-            for a in range(0, len(html), 128):
-                texts += extract(html[a : a + 128], trees.value)
+            for a, b in steps([len(h or "") for h in html], TOGETHER):
+                texts += extract(html[a:b], trees.value)
             yield pa.RecordBatch.from_arrays([batch.column("page_id"), batch.column("url"), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], ["page_id", "url", "text", "n_chars"])
 
     return ship(pages).select(F.col("page_id").cast("long"), "url", "html").mapInArrow(run, "page_id long, url string, text string, n_chars long")

@@ -32,33 +32,43 @@ def letters() -> np.ndarray:
     return np.fromiter((chr(i).isalpha() for i in range(0x110000)), bool, 0x110000)
 
 
-def grams(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Buckets of all n-grams, the text that each belongs to as offsets, and which texts have a letter.
+def codes(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Code points of all texts in a row, the offset of each text, and which have a letter.
 
     Texts are lower-cased, everything but letters counts as one kind of separator, and a separator stands at both ends, so
     that no n-gram reaches into the next text.
     """
-    joined = "".join(f" {t.lower()} \x00\x00" for t in texts)
-    code = np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), np.uint32)
-    sizes = np.array([len(t.lower()) + 4 for t in texts])
+    lowered = [t.lower() for t in texts]
+    code = np.frombuffer("".join(f" {t} \x00\x00" for t in lowered).encode("utf-32-le", "surrogatepass"), np.uint32)
+    sizes = np.array([len(t) + 4 for t in lowered])
     ends = np.cumsum(sizes)
     code = np.where(letters()[code], code, np.uint32(32))
     code[ends - 1] = code[ends - 2] = 0
-    has = np.add.reduceat((code > 32).astype(np.int64), ends - sizes) > 0
-    buckets = np.empty((len(code), len(ORDERS)), np.int32)
+    return code, ends - sizes, np.add.reduceat(code > 32, ends - sizes, dtype=np.int64) > 0
+
+
+def buckets(code: np.ndarray) -> np.ndarray:
+    """Buckets of the n-grams that begin at each place; -1 for those that say nothing."""
+    out = np.empty((len(code), len(ORDERS)), np.int32)
     rolled = np.zeros(len(code), np.uint32)
     for k in range(max(ORDERS)):
-        rolled[: len(code) - k] += code[k:] * _FACTORS[k % len(_FACTORS)] + np.uint32(k)
+        rolled[: max(0, len(code) - k)] += code[k:] * _FACTORS[k % len(_FACTORS)] + np.uint32(k)
         if k + 1 in ORDERS:
             h = rolled ^ (rolled >> np.uint32(15))
             h = h * np.uint32(0x2C1B3C6D)
-            buckets[:, ORDERS.index(k + 1)] = (h ^ (h >> np.uint32(13))) & np.uint32((1 << BITS) - 1)
+            out[:, ORDERS.index(k + 1)] = (h ^ (h >> np.uint32(13))) & np.uint32((1 << BITS) - 1)
     # grams without a letter in front, or behind one separator, say nothing, nor do those that begin in the gap between texts
     letter = code > 32
     lead = letter | (code == 32) & np.append(letter[1:], False)
     for i, k in enumerate(ORDERS):
-        buckets[~(letter if k == 1 else lead), i] = -1
-    return buckets, ends - sizes, has
+        out[~(letter if k == 1 else lead), i] = -1
+    return out
+
+
+def windows(code: np.ndarray, most: int) -> Iterator[np.ndarray]:
+    """The buckets in order, of ``most`` places at a time; each window looks ahead as far as its last n-grams reach."""
+    for a in range(0, len(code), most):
+        yield buckets(code[a : a + most + max(ORDERS) - 1])[:most]
 
 
 @dataclass
@@ -68,12 +78,24 @@ class Model:
     weight: np.ndarray
 
     def totals(self, texts: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-        """For slices of the texts: log-likelihoods without the prior (texts by languages), n-grams, and which texts have a letter."""
-        most = (1 << 20) // max(4, len(self.languages))
+        """For slices of the texts: log-likelihoods without the prior (texts by languages), n-grams, and which texts have a letter.
+
+        A text above the size of a slice is a slice of its own and is added up in windows, so what is held beside the text
+        grows with neither its length nor the languages.
+        """
+        most = (1 << 20) // max(4, len(self.languages)) + 1
         for a, b in steps([len(t) for t in texts], most):
-            buckets, first, letter = grams(texts[a:b])
-            picked = self.weight[buckets].sum(axis=1)
-            yield np.add.reduceat(picked, first, axis=0, dtype=np.float64), np.add.reduceat((buckets >= 0).sum(axis=1), first), letter
+            code, first, letter = codes(texts[a:b])
+            if b - a > 1:
+                found = buckets(code)
+                picked = self.weight[found].sum(axis=1)
+                yield np.add.reduceat(picked, first, axis=0, dtype=np.float64), np.add.reduceat((found >= 0).sum(axis=1), first), letter
+            else:
+                total, n = np.zeros((1, len(self.languages))), np.zeros(1, np.int64)
+                for found in windows(code, most):
+                    total += np.add.reduceat(self.weight[found].sum(axis=1), [0], axis=0, dtype=np.float64)
+                    n += (found >= 0).sum()
+                yield total, n, letter
 
     def score(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Index of the best language, its posterior probability, and whether the text has a letter."""
@@ -128,8 +150,8 @@ def train(docs: DataFrame, per_language: int = PER_LANGUAGE) -> Model:
                 own = [t for t, x in zip(texts, lang, strict=True) if x == one]
                 counts = np.zeros(1 << BITS, np.int64)
                 for a, b in steps([len(t) for t in own]):
-                    found = grams(own[a:b])[0]
-                    counts += np.bincount(found[found >= 0], minlength=1 << BITS)
+                    for found in windows(codes(own[a:b])[0], 1 << 20):
+                        counts += np.bincount(found[found >= 0], minlength=1 << BITS)
                 at = np.flatnonzero(counts)
                 yield pa.RecordBatch.from_arrays([pa.array([one] * len(at), pa.string()), pa.array(at.astype(np.int32)), pa.array(counts[at])], ["lang", "bucket", "n"])
 

@@ -3,6 +3,8 @@ import hashlib
 import math
 import random
 import re
+import time
+import tracemalloc
 import zlib
 from collections import Counter
 
@@ -301,3 +303,35 @@ def test_known_languages_and_no_others(docs):
     assert got.columns == d.columns
     kept = Counter(r.doc_id for r in got.collect())
     assert not {500, 501, 502, 503} & kept.keys() and kept[504] == 2 and kept[None] == 1 and sum(kept.values()) == 83
+
+
+@pytest.mark.parametrize("page", [
+    "<div>" + "<span>x" * 100_000, "<p>" + "<b>" * 50_000 + "</i>x" * 50_000, "<div>" + "<b>" * 50_000 + "<p>x</p>" * 50_000,
+    "<blockquote>" * 30_000 + "</p><td>x" * 30_000, "<select>" + "<b>" * 50_000 + "</i>" * 50_000 + "</select>x"])
+def test_pages_with_open_elements_take_linear_time(page):
+    """A hundred thousand elements that nothing closes, and end tags that close nothing: seconds, where a scan of what is open takes minutes."""
+    start = time.process_time()
+    nodes = html.Tree(page).nodes
+    assert time.process_time() - start < 20 and sum(len("".join(n.text)) for n in nodes) == page.count("x")
+
+
+def test_features_in_slices_equal_those_at_once():
+    nodes = html.Tree(PAGE * 3).nodes
+    assert np.array_equal(np.concatenate(list(html.feature_rows(nodes, 5))), html.features(nodes)) and html.features(nodes).shape == (len(nodes), len(html.FEATURES))
+
+
+def test_a_long_text_is_scored_in_windows():
+    """Four million characters in twenty languages, in some tens of megabytes beside the text; the sums are those of all n-grams at once."""
+    model = langid.Model([str(i) for i in range(20)], np.zeros(20), np.random.default_rng(0).normal(-9, 1, ((1 << langid.BITS) + 1, 20)).astype(np.float32))
+    model.weight[-1] = 0
+    text = "some words of a long text, ΑΣ " * 8_000
+    code, first, _ = langid.codes([text])
+    found = langid.buckets(code)
+    (total, n, has), = model.totals([text])
+    assert n[0] == (found >= 0).sum() and has[0] and np.allclose(total[0], model.weight[found].sum(axis=(0, 1), dtype=np.float64), rtol=1e-6)  # a place adds its three weights as floats
+    assert np.array_equal(np.concatenate(list(langid.windows(code, 7))), found)
+    tracemalloc.start()
+    model.score([text * 16])
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 150 << 20
