@@ -47,8 +47,8 @@ docs AS (SELECT d.issuer, d.dt_refer, {FORM} AS form, fy_start, CAST(round((d.dt
   FROM (SELECT DISTINCT issuer, dt_refer FROM scoped) d LEFT JOIN (SELECT * FROM flows WHERE ordem = 'cur') c USING (issuer, dt_refer)
   LEFT JOIN (SELECT * FROM flows WHERE ordem = 'prev') p USING (issuer, dt_refer) LEFT JOIN stocks USING (issuer, dt_refer) LEFT JOIN flags USING (issuer, dt_refer) LEFT JOIN sp USING (issuer, dt_refer)),
 ver AS (SELECT o_custkey // 10 AS issuer, last_day(CAST(date_trunc('quarter', o_orderdate) AS DATE) + INTERVAL 2 MONTH) AS dt_refer,
-  last_day(CAST(date_trunc('quarter', o_orderdate) AS DATE) + INTERVAL 2 MONTH) + CAST(o_orderkey % 90 AS INTEGER) AS received, o_orderkey AS version FROM orders WHERE o_orderkey % 11 <> 0),
-av AS (SELECT issuer, dt_refer, min(received) AS available_from, max(received) AS last_received, count(DISTINCT version) AS n_versions FROM ver GROUP BY ALL),
+  last_day(CAST(date_trunc('quarter', o_orderdate) AS DATE) + INTERVAL 2 MONTH) + CASE WHEN o_orderkey % 11 <> 0 THEN CAST(o_orderkey % 90 AS INTEGER) END AS received, o_orderkey AS version FROM orders),
+av AS (SELECT issuer, dt_refer, min(received) AS available_from, max(received) AS last_received, count(DISTINCT version) FILTER (received IS NOT NULL) AS n_versions FROM ver GROUP BY ALL HAVING min(received) IS NOT NULL),
 pit AS (SELECT * FROM docs JOIN av USING (issuer, dt_refer)),
 ann AS (SELECT * FROM pit WHERE form = 'DFP'),
 ttm AS (SELECT p.*, {", ".join(f"CASE WHEN p.form = 'DFP' OR coalesce(p.ytd_months, 0) = 12 THEN p.{f}_ytd ELSE p.{f}_ytd + a.{f}_ytd - p.{f}_ytd_prev END AS {f}_ttm" for f in G.FLOWS)}
@@ -74,10 +74,11 @@ def docs(t):
 
 def versions(t):
     ref = F.last_day(F.add_months(F.trunc("o_orderdate", "quarter"), 2))
-    return t.raw("orders").filter("o_orderkey % 11 <> 0").select(
+    days = F.when(F.col("o_orderkey") % 11 != 0, F.col("o_orderkey") % 90)  # the others are announced and not yet received
+    return t.raw("orders").select(
         F.floor(F.col("o_custkey") / 10).alias("issuer"), ref.alias("dt_refer"),
         F.when(F.month(ref) == 12, "DFP").otherwise("ITR").alias("form"),
-        F.date_add(ref, (F.col("o_orderkey") % 90).cast("int")).alias("received"), F.col("o_orderkey").alias("version"))
+        F.date_add(ref, days.cast("int")).alias("received"), F.col("o_orderkey").alias("version"))
 
 
 def pit(t):
@@ -213,8 +214,8 @@ def _(t):
 
 
 SCALE_SQL = """
-WITH d AS (SELECT issuer, dt_refer, value AS equity_controlling, CASE WHEN issuer % 5 <> 0 THEN value / CASE WHEN issuer % 3 = 0 THEN 5000 ELSE 3 END END AS shares_total FROM filings WHERE form = 'ITR'),
-f AS (SELECT issuer, year(dt_refer) AS y, value * 0.2::DOUBLE AS fre_total FROM filings WHERE form = 'DFP' AND issuer % 2 = 0),
+WITH d AS (SELECT issuer, dt_refer, value AS equity_controlling, CASE WHEN issuer % 5 <> 0 THEN value / CASE WHEN issuer % 3 = 0 THEN 5000 ELSE 3 END END AS shares_total FROM filings),
+f AS (SELECT issuer, year(dt_refer) AS y, CASE WHEN issuer % 2 = 0 THEN value * 0.2::DOUBLE END AS fre_total FROM filings WHERE form = 'DFP'),
 j AS (SELECT d.*, fre_total, coalesce(fre_total / shares_total BETWEEN 300 AND 3000, false) AS by_fre,
   fre_total IS NULL AND coalesce(equity_controlling / shares_total > 1000, false) AS by_book FROM d LEFT JOIN f ON f.issuer = d.issuer AND f.y = year(d.dt_refer))
 SELECT issuer, dt_refer, CASE WHEN shares_total IS NOT NULL THEN CASE WHEN by_fre OR by_book THEN 1000 ELSE 1 END END AS shares_scale,
@@ -224,9 +225,9 @@ SELECT issuer, dt_refer, CASE WHEN shares_total IS NOT NULL THEN CASE WHEN by_fr
 @query("fix_unit_scale", f"{KEY} shares_scale:1 scale_source:s shares_total:5", SCALE_SQL)
 def _(t):
     div = F.when(F.col("issuer") % 3 == 0, 5000).otherwise(3)
-    d = t.filings.filter("form = 'ITR'").select("issuer", "dt_refer", F.col("value").alias("equity_controlling"),
-                                                F.when(F.col("issuer") % 5 != 0, F.col("value") / div).alias("shares_total"))
-    fre = t.filings.filter("form = 'DFP' and issuer % 2 = 0").select("issuer", "dt_refer", (F.col("value") * 0.2).alias("shares_total"))
+    d = t.filings.select("issuer", "dt_refer", F.col("value").alias("equity_controlling"),
+                         F.when(F.col("issuer") % 5 != 0, F.col("value") / div).alias("shares_total"))
+    fre = t.filings.filter("form = 'DFP'").select("issuer", "dt_refer", F.when(F.col("issuer") % 2 == 0, F.col("value") * 0.2).alias("shares_total"))
     return G.fix_share_scale(d, fre)
 
 

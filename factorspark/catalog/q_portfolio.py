@@ -243,7 +243,7 @@ def _(t):
 ORDER_SQL = f"""
 WITH {BW}, rc AS (SELECT rec, max(rec_date) AS rec_date FROM bw GROUP BY rec), pk AS (SELECT bw.rec, sid, w FROM bw JOIN rc USING (rec, rec_date)),
 ac AS (SELECT c_custkey AS account, c_custkey AS rec, abs(c_acctbal) * 50 + 5000 AS capital FROM customer WHERE c_custkey IN (SELECT rec FROM pk)),
-px AS (SELECT sid, arg_max(close, date) AS price FROM bars WHERE sid % 9 <> 0 GROUP BY sid),
+px AS (SELECT sid, CASE WHEN sid % 9 <> 0 THEN arg_max(close, date) END AS price FROM bars GROUP BY sid),
 o AS (SELECT ac.account, ac.rec, capital, round(capital * 0.4, 2) AS equity, sid, round(capital * 0.4, 2) * w AS target, price, CASE WHEN price > 0 THEN floor(round(capital * 0.4, 2) * w / price) END AS qty
   FROM ac JOIN pk USING (rec) LEFT JOIN px USING (sid)),
 os AS (SELECT *, CASE WHEN price > 0 THEN round(qty * price, 2) END AS value, target - coalesce(qty * price, 0) AS unused FROM o),
@@ -255,7 +255,7 @@ def orders(t):
     last = b.groupBy("rec").agg(F.max("rec_date").alias("rec_date"))
     pk = b.join(last, ["rec", "rec_date"]).select("rec", "sid", "w")
     acc = t.raw("customer").select(F.col("c_custkey").alias("account"), F.col("c_custkey").alias("rec"), (F.abs("c_acctbal") * 50 + 5000).alias("capital"))
-    px = t.bars.filter("sid % 9 <> 0").groupBy("sid").agg(F.max_by("close", "date").alias("price"))
+    px = t.bars.groupBy("sid").agg(F.max_by("close", "date").alias("last")).select("sid", F.when(F.col("sid") % 9 != 0, F.col("last")).alias("price"))
     sl = pk.select("rec").distinct().withColumn("equity_w", F.lit(0.4)).withColumn("cdi_w", F.lit(0.3))
     prices = pk.select("rec", "sid").join(px, "sid")
     prev = b.join(last, ["rec"]).filter(b.rec_date < last.rec_date).groupBy("rec").agg(F.max(b.rec_date).alias("rec_date"))

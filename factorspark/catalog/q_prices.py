@@ -177,13 +177,13 @@ def _(t):
     return adjusted(t).withColumn("tr_log", F.log10("tr_close"))
 
 
-REFERENCE_SQL = """SELECT ticker, date, round(least(close / open - 1, 2), 6) AS ret FROM spec_bars WHERE volume > 100000"""
+REFERENCE_SQL = """SELECT ticker, date, CASE WHEN volume > 100000 THEN round(least(close / open - 1, 2), 6) END AS ret FROM spec_bars"""
 
 
 def _reference(t):
-    """Stand-in for the second source: the intraday move of liquid days."""
-    return t.spec_bars.filter("volume > 100000").select(
-        "ticker", "date", F.round(F.least(F.col("close") / F.col("open") - 1, F.lit(2.0)), 6).alias("ret"))
+    """Stand-in for the second source: the intraday move, unknown on illiquid days."""
+    move = F.round(F.least(F.col("close") / F.col("open") - 1, F.lit(2.0)), 6)
+    return t.spec_bars.select("ticker", "date", F.when(F.col("volume") > 100000, move).alias("ret"))
 
 
 @query("patch_big_moves", "sid:i date:t action:s ret_total:6 tr_log:5", PASSES_SQL + f""",

@@ -216,8 +216,8 @@ def _(t):
 
 
 @query("win_vol_fallback", "sid:i vol:6", """
-WITH b AS (SELECT * FROM bars WHERE sid % 3 <> 0 OR date < DATE '1996-03-01'),
-r AS (SELECT *, row_number() OVER (PARTITION BY sid ORDER BY date DESC) AS j FROM b WHERE trades > 1 QUALIFY j <= 180),
+WITH b AS (SELECT * REPLACE (CASE WHEN trades > 1 AND (sid % 3 <> 0 OR date < DATE '1996-03-01') THEN open END AS open) FROM bars),
+q AS (SELECT *, row_number() OVER (PARTITION BY sid ORDER BY date DESC) AS j FROM b QUALIFY j <= 180), r AS (SELECT * FROM q WHERE open > 0),
 x AS (SELECT sid, ln(open / lag(close) OVER (PARTITION BY sid ORDER BY date)) AS night, ln(close / open) AS day,
       ln(high / open) * ln(high / close) + ln(low / open) * ln(low / close) AS rs FROM r),
 g AS (SELECT sid, count(*) AS n, coalesce(var_samp(night), 0) AS vn, coalesce(var_samp(day), 0) AS vd, avg(rs) AS rs FROM x GROUP BY sid),
@@ -228,7 +228,9 @@ cl AS (SELECT *, row_number() OVER (PARTITION BY sid ORDER BY date DESC) AS j FR
 cc AS (SELECT sid, CASE WHEN count(*) >= 29 THEN stddev_samp(r) * sqrt(252) END AS v FROM cl GROUP BY sid)
 SELECT cc.sid, coalesce(yz.v, cc.v) AS vol FROM cc LEFT JOIN yz USING (sid)""")
 def _(t):
-    thin = t.bars.filter(((F.col("sid") % 3 != 0) | (F.col("date") < "1996-03-01")) & (F.col("trades") > 1))
+    # no opening price on days of one trade, nor for a third of the securities from a date on
+    quoted = (F.col("trades") > 1) & ((F.col("sid") % 3 != 0) | (F.col("date") < "1996-03-01"))
+    thin = t.bars.withColumn("open", F.when(quoted, F.col("open")))
     return (V.close_to_close(t.bars).join(V.yang_zhang(thin), "sid", "left")
             .select("sid", F.coalesce("vol_yz", "vol_cc").alias("vol")))
 

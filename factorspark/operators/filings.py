@@ -169,8 +169,8 @@ def documents(lines: DataFrame, form: Column) -> DataFrame:
 
 
 def availability(docs: DataFrame, versions: DataFrame) -> DataFrame:
-    """Available from the first receipt; documents the index does not list are dropped."""
-    agg = versions.groupBy(*DOC, "form").agg(F.min("received").alias("available_from"), F.max("received").alias("last_received"),
+    """Available from the first receipt; documents the index does not list, or of which no version has been received, are dropped."""
+    agg = versions.filter("received is not null").groupBy(*DOC, "form").agg(F.min("received").alias("available_from"), F.max("received").alias("last_received"),
                                              F.count_distinct("version").alias("n_versions"))
     return docs.join(agg, [*DOC, "form"])
 
