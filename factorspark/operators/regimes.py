@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from factorspark.operators import timeseries as ts
+from factorspark.operators.prefixes import expanding_median
 
 VOL_WINDOW = 21
 
@@ -14,25 +14,15 @@ VOL_WINDOW = 21
 def vol_regime(prices: DataFrame, key: str, min_returns: int = 100) -> DataFrame:
     """Regime of every session from realised volatility against its expanding median.
 
-    ``prices``: key, date, sno, close. Spark has no expanding-median window, so the median of a
-    series (at most one row per session) is taken per key with pandas; keys run in parallel.
+    ``prices``: key, date, sno, close.
     """
     w = Window.partitionBy(key).orderBy("sno")
     df = prices.select(key, "date", "sno", ts.returns("close", w).alias("r"))
     frame = w.rowsBetween(-(VOL_WINDOW - 1), 0)
     vol = F.when(F.count("r").over(frame) >= VOL_WINDOW, F.stddev_samp("r").over(frame) * F.sqrt(F.lit(252.0)))
     run = w.rowsBetween(Window.unboundedPreceding, 0)
-    df = df.withColumn("vol", vol).withColumn("n", F.count("r").over(run))
-
-    def expanding(pdf):
-        pdf = pdf.sort_values("sno")
-        pdf["med"] = pdf["vol"].expanding(1).median()
-        return pdf
-
-    schema = T.StructType([*df.schema.fields, T.StructField("med", T.DoubleType())])
-    df = df.groupBy(key).applyInPandas(expanding, schema)
-    v, m = F.nanvl("vol", F.lit(None).cast("double")), F.nanvl("med", F.lit(None).cast("double"))
-    return df.withColumn("vol", v).withColumn("med", m).withColumn(
+    df = df.withColumn("vol", F.nanvl(vol, F.lit(None).cast("double"))).withColumn("n", F.count("r").over(run))
+    return expanding_median(df, [key], "sno", "vol").withColumn(
         "regime", F.when((F.col("n") < min_returns) | (F.col("med") <= 0), "mean_rev")
         .when(F.col("vol") > 1.5 * F.col("med"), "bear").when(F.col("vol") < F.col("med"), "risk_on").otherwise("mean_rev"))
 

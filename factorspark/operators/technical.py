@@ -26,21 +26,33 @@ def _wilder(x: Column, k: Column, m: Column) -> Column:
     return F.sum(F.when(k >= 1, x * weight))
 
 
-def _macd(rows: Column, fast: int = 12, slow: int = 26, signal: int = 9) -> Column:
-    """Folds the ordered closes to the last MACD, signal line and two histogram values."""
-    def step(span, old, new):
-        a = 2.0 / (span + 1)
-        return old + a * (new - old)
+def _ema(x: Column, i: Column, age: Column, span: int, signal: int | None = None) -> Column:
+    """Exponential average of ``x`` at the row of age 0; with ``signal`` the average over that span of its course.
+
+    The recurrence seeded with row number 1 unrolls to a sum with weights a·p^age, without the a for the seed. An average of averages
+    convolves two geometric series, which is a difference of powers. Rows after age 0 (negative ages) don't count.
+    """
+    a = 2.0 / (span + 1)
+    p = F.lit(1 - a)
+    if signal is None:
+        weight = F.pow(p, age.cast("double"))
+    else:
+        b = 2.0 / (signal + 1)
+        weight = (F.pow(p, (age + 1).cast("double")) - F.pow(F.lit(1 - b), (age + 1).cast("double"))) * (b / (b - a))
+    return F.sum(F.when(age >= 0, x * F.when(i == 1, weight).otherwise(a * weight)))
 
-    def merge(s, r):
-        f = F.when(s["n"] == 0, r["close"]).otherwise(step(fast, s["f"], r["close"]))
-        w = F.when(s["n"] == 0, r["close"]).otherwise(step(slow, s["w"], r["close"]))
-        g = F.when(s["n"] == 0, f - w).otherwise(step(signal, s["g"], f - w))
-        return F.struct((s["n"] + 1).alias("n"), f.alias("f"), w.alias("w"), g.alias("g"),
-                        s["h"].alias("ph"), (f - w - g).alias("h"))
 
-    zero = F.struct(F.lit(0).alias("n"), *[F.lit(0.0).alias(c) for c in ("f", "w", "g", "ph", "h")])
-    return F.aggregate(rows, zero, merge)
+def _macd(x: Column, i: Column, age: Column, fast: int = 12, slow: int = 26, signal: int = 9) -> Column:
+    """Fast and slow average, signal line and histogram at the last row, and the histogram one row before.
+
+    ``x``: closes less the last one, so that a constant series gives zeros.
+    """
+    f, w = _ema(x, i, age, fast), _ema(x, i, age, slow)
+    g = _ema(x, i, age, fast, signal) - _ema(x, i, age, slow, signal)
+    before = age - 1
+    pg = _ema(x, i, before, fast, signal) - _ema(x, i, before, slow, signal)
+    ph = _ema(x, i, before, fast) - _ema(x, i, before, slow) - pg
+    return F.struct(f.alias("f"), w.alias("w"), g.alias("g"), ph.alias("ph"), (f - w - g).alias("h"))
 
 
 def technical_panel(bars: DataFrame, key: str = "sid") -> DataFrame:
@@ -48,7 +60,7 @@ def technical_panel(bars: DataFrame, key: str = "sid") -> DataFrame:
     w = ts.by_row(key)
     whole = Window.partitionBy(key)
     df = (bars.filter("close is not null").withColumn("i", F.row_number().over(w))
-          .withColumn("n", F.count("*").over(whole)).withColumn("d", F.col("close") - F.lag("close").over(w))
+          .withColumn("n", F.count("*").over(whole)).withColumn("last", F.max_by("close", "date").over(whole)).withColumn("d", F.col("close") - F.lag("close").over(w))
           .withColumn("j", F.col("n") - F.col("i") + 1))
     j, k, m, d = F.col("j"), F.col("i") - 1, F.col("n") - 1, F.col("d")
 
@@ -66,10 +78,10 @@ def technical_panel(bars: DataFrame, key: str = "sid") -> DataFrame:
         F.stddev_pop(last(20)).alias("sd20"), F.max(last(252)).alias("high_52w"), F.min(last(252)).alias("low_52w"),
         _wilder(F.greatest(d, F.lit(0.0)), k, m).alias("gain"), _wilder(F.greatest(-d, F.lit(0.0)), k, m).alias("loss"),
         _wilder(F.abs(d), k, m).alias("atr"),
-        F.array_sort(F.collect_list(F.struct("date", "close"))).alias("rows"))
+        _macd(F.col("close") - F.col("last"), F.col("i"), j - 1).alias("macd"))
     n, price = F.col("n"), F.col("price")
     enough = n >= 30
-    agg = agg.withColumn("macd", F.when(n >= 35, _macd(F.col("rows")))).drop("rows").filter(enough)
+    agg = agg.withColumn("macd", F.when(n >= 35, F.col("macd"))).filter(enough)
     for k_ in (20, 50, 200):
         agg = agg.withColumn(f"ma{k_}", F.when(n >= k_, F.col(f"ma{k_}")))
     up, lo = F.col("ma20") + 2 * F.col("sd20"), F.col("ma20") - 2 * F.col("sd20")
@@ -79,7 +91,7 @@ def technical_panel(bars: DataFrame, key: str = "sid") -> DataFrame:
     line = F.col("macd.f") - F.col("macd.w")
     h, ph = F.col("macd.h"), F.col("macd.ph")
     out = (agg.withColumn("change_1d", (price - F.col("price_prev")) / F.col("price_prev"))
-           .withColumn("rsi", rsi).withColumn("ema_fast", F.col("macd.f")).withColumn("ema_slow", F.col("macd.w"))
+           .withColumn("rsi", rsi).withColumn("ema_fast", price + F.col("macd.f")).withColumn("ema_slow", price + F.col("macd.w"))
            .withColumn("macd_line", line).withColumn("macd_signal", F.col("macd.g"))
            .withColumn("macd_hist", h)
            .withColumn("macd_cross", F.when((ph < 0) & (h >= 0), "bullish").when((ph > 0) & (h <= 0), "bearish"))
