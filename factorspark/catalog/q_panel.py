@@ -11,6 +11,7 @@ from factorspark.operators import selection as L
 from factorspark.operators import timeseries as ts
 from factorspark.plans import panel as N
 from factorspark.plans import panel_table as T
+from factorspark.plans import rules as U
 from factorspark.session import cut_lineage, shared_dir
 
 FILL, FINANCIAL = 20, "1-URGENT"
@@ -309,3 +310,27 @@ def _(t):
     p = panel(t)
     scores = p.transform(N.mom_value)
     return W.rebalanced_returns(N.quintile_legs(scores, p, []), N.costs(p), ["leg"])
+
+
+#: Two rules as a user would write them: standardised by month through one aggregate, and a plain formula.
+MOMENTUM_RULE = """
+WITH m AS (SELECT t, avg(MOM) AS mm, stddev_samp(MOM) AS ms, avg(EY) AS em, stddev_samp(EY) AS es FROM rule_panel GROUP BY t)
+SELECT p.t, p.sid, momentum * (p.MOM - mm) / nullif(ms, 0) + (1 - momentum) * (p.EY - em) / nullif(es, 0) FROM rule_panel p JOIN m ON p.t = m.t"""
+CALM_RULE = "SELECT t, sid, EY - penalty * vol126 FROM rule_panel"
+RULE_W = """SELECT rule, 'Q' || b AS leg, t, sid, 1 / count(*) OVER (PARTITION BY rule, t, b) AS w, fwd FROM (
+  SELECT *, CAST(greatest(1, ceil(5 * (row_number() OVER (PARTITION BY rule, t ORDER BY score, sid) - 1) / (count(*) OVER (PARTITION BY rule, t) - 1))) AS INT) AS b, count(*) OVER (PARTITION BY rule, t) AS n FROM rs WHERE score IS NOT NULL)
+  WHERE n >= 15 AND b IN (1, 5)"""
+
+
+@query("score_rule_functions", "rule:s leg:s t:t n:i gross:4 net:4 turnover:5", PANEL_SQL + """,
+mo AS (SELECT t, avg(MOM) AS mm, stddev_samp(MOM) AS ms, avg(EY) AS em, stddev_samp(EY) AS es FROM panel GROUP BY t),
+rs AS (SELECT 'momentum' AS rule, p.t, p.sid, round(0.7::DOUBLE * (MOM - mm) / nullif(ms, 0) + 0.3::DOUBLE * (EY - em) / nullif(es, 0), 9) AS score, fwd FROM panel p JOIN mo ON p.t = mo.t
+  UNION ALL SELECT 'calm', t, sid, round(EY - 0.1::DOUBLE * vol126, 9), fwd FROM panel),
+""" + sql_portfolio(RULE_W, "rule, leg") + " SELECT * FROM pf")
+def _(t):
+    p = panel(t)
+    momentum = U.score_rule(p, "momentum_score", MOMENTUM_RULE, "momentum DOUBLE DEFAULT 0.5")
+    calm = U.score_rule(p, "calm_score", CALM_RULE, "penalty DOUBLE")
+    scores = p.transform(momentum, 0.7).withColumn("rule", F.lit("momentum")).unionByName(p.transform(calm, 0.1).withColumn("rule", F.lit("calm")))
+    scores = scores.withColumn("score", F.round("score", 9))  # last bits of a sum must not decide a rank
+    return W.rebalanced_returns(N.quintile_legs(scores, p, ["rule"]), N.costs(p), ["rule", "leg"])

@@ -12,6 +12,7 @@ from factorspark.operators import portfolio as W
 from factorspark.operators import selection as L
 from factorspark.operators import stats as S
 from factorspark.operators import timeseries as ts
+from factorspark.plans import rules as U
 from factorspark.operators import volatility as V
 
 NORM_SQL = """
@@ -289,3 +290,28 @@ def _(t):
     days = t.sessions.select((F.col("sno") - 1).alias("i")).filter("i % 63 = 0").withColumn("mix", F.lit("half"))
     rule = W.mix_to_rows(days, {"equities_br": F.lit(0.5), "cdi": F.lit(0.5)})
     return W.drift_nav(sleeve_returns(t).withColumn("mix", F.lit("half")), rule, ["mix"], k=63)
+
+
+REGIME_RULE = """
+WITH w AS (SELECT i, CASE regime WHEN 'risk_on' THEN bold WHEN 'bear' THEN 1 - bold ELSE 0.5D END AS e FROM rule_days)
+SELECT i, 'equities_br', e FROM w UNION ALL SELECT i, 'cdi', 1 - e FROM w"""
+PARTS_RULE = "SELECT i, s.sleeve, s.w FROM rule_days LATERAL VIEW explode(array(named_struct('sleeve', 'cdi', 'w', cash), named_struct('sleeve', 'equities_br', 'w', 1 - cash))) x AS s"
+
+
+@query("target_rule_functions", "rule:s i:i nav:4", MIX_SQL + """,
+tr AS (SELECT 'parts' AS rule, i, 0.6::DOUBLE AS we FROM tg0 UNION ALL SELECT 'regime', i, CASE regime WHEN 'risk_on' THEN 0.8::DOUBLE WHEN 'bear' THEN 0.2::DOUBLE ELSE 0.5::DOUBLE END FROM tg0),
+sim2 AS (
+  SELECT rule, CAST(0 AS BIGINT) AS i, CAST(100 AS DOUBLE) AS nav, we * 99.9 AS e, (1 - we) * 99.9 AS c FROM tr WHERE i = 0
+  UNION ALL
+  SELECT rule, i, nav, CASE WHEN rb THEN we * nn ELSE e END, CASE WHEN rb THEN (1 - we) * nn ELSE c END FROM (
+    SELECT *, nav * (1 - (abs(we - e / nav) + abs(1 - we - c / nav)) * 0.001) AS nn FROM (
+      SELECT s.rule, sl.i, sl.i % 21 = 0 AS rb, s.e * (1 + coalesce(sl.eq, 0)) AS e, s.c * (1 + sl.cdi) AS c, s.e * (1 + coalesce(sl.eq, 0)) + s.c * (1 + sl.cdi) AS nav, tr.we
+      FROM sim2 s JOIN sl ON sl.i = s.i + 1 JOIN tr ON tr.rule = s.rule AND tr.i = sl.i)))
+SELECT rule, i, nav FROM sim2""")
+def _(t):
+    days = index_regime(t).select((F.col("sno") - 1).alias("i"), "date", "regime").filter("i % 21 = 0")
+    regime = U.target_rule(days, "regime_target", REGIME_RULE, "bold DOUBLE")
+    parts = U.target_rule(days, "parts_target", PARTS_RULE, "cash DOUBLE DEFAULT 0.5")
+    both = days.transform(regime, 0.8).withColumn("rule", F.lit("regime")).unionByName(days.transform(parts, 0.4).withColumn("rule", F.lit("parts")))
+    rets = sleeve_returns(t).withColumn("rule", F.explode(F.array(F.lit("regime"), F.lit("parts"))))
+    return W.drift_nav(rets, both, ["rule"])
