@@ -2,8 +2,10 @@
 
 from pyspark.sql import functions as F
 
+from factorspark.catalog.q_portfolio import MIX_SQL
 from factorspark.catalog.q_prices import adjusted, LIQ_SQL, PASSES_SQL, UNIVERSE
 from factorspark.catalog.q_scalars import sql_ppf
+from factorspark.catalog.q_windows import index_regime
 from factorspark.catalog.registry import query
 from factorspark.operators import portfolio as W
 from factorspark.operators import prices as P
@@ -279,12 +281,16 @@ def _(t):
     return quintile_portfolio(t)
 
 
+def top_names(t, scores, n=5):
+    """Top names by score of those that pass the study's filters."""
+    ok = scaled(panel(t)).filter(N.study_filter()).select("t", "sid")
+    return L.top_n(scores.filter("score is not null").join(ok, ["t", "sid"], "left_semi"), ["t"], "score", n)
+
+
 def top_portfolio(t, scores, n=5):
     """Filtered top names at inverse volatility under the study's bounds."""
     p = panel(t)
-    ok = scaled(p).filter(N.study_filter()).select("t", "sid")
-    top = L.top_n(scores.filter("score is not null").join(ok, ["t", "sid"], "left_semi"), ["t"], "score", n)
-    top = top.join(p.select("t", "sid", "vol126", "fwd"), ["t", "sid"])
+    top = top_names(t, scores, n).join(p.select("t", "sid", "vol126", "fwd"), ["t", "sid"])
     w = W.inverse_vol_weights(top, ["t"], "vol126", "study").join(top.select("t", "sid", "fwd"), ["t", "sid"]).withColumn("leg", F.lit("TOP"))
     return W.rebalanced_returns(w, N.costs(p), ["leg"])
 
@@ -304,6 +310,23 @@ def _(t):
     return top_portfolio(t, N.composite(pillars(t)).select("t", "sid", "score"))
 
 
+@query("allocation_premium", "date:t i:i erp:6 sleeve:s w:6", TOP_SQL + f""",
+ap_ds AS ({MIX_SQL} SELECT reg.date, reg.sno - 1 AS i, regime, tsmom FROM reg JOIN tm USING (date)),
+ap_ey AS (SELECT tp.t, avg(EY * 20) AS ey FROM tp JOIN panel p ON p.t = tp.t AND p.sid = tp.sid GROUP BY tp.t),
+ap_er AS (SELECT d.*, cdi FROM ap_ds d JOIN cdi USING (date) WHERE d.i % 21 = 0),
+ap_pr AS (SELECT ap_er.*, ap_ey.ey - (pow(1 + cdi, 252) - 1) AS erp FROM ap_er ASOF LEFT JOIN ap_ey ON ap_er.date >= ap_ey.t),
+ap_b1 AS (SELECT *, CASE regime WHEN 'risk_on' THEN 0.6 WHEN 'bear' THEN 0.2 ELSE 0.4 END AS be, CASE regime WHEN 'risk_on' THEN 0.15 WHEN 'bear' THEN 0.5 ELSE 0.3 END AS bc, CASE regime WHEN 'risk_on' THEN 0.10 ELSE 0.15 END AS bi,
+  CASE WHEN tsmom > 0 THEN 0.1 WHEN tsmom <= 0 THEN -0.1 ELSE 0 END + CASE WHEN erp < 0.02 THEN -0.1 WHEN erp > 0.08 THEN 0.1 ELSE 0 END AS tilt FROM ap_pr),
+ap_b2 AS (SELECT *, greatest(0.1, least(0.7, be + tilt)) AS e FROM ap_b1), ap_b3 AS (SELECT *, greatest(bc - (e - be), 0) AS c FROM ap_b2)
+SELECT date, i, erp, unnest(['equities_br', 'cdi', 'global_usd', 'inflation']) AS sleeve, unnest([e / (e + c + 0.15 + bi), c / (e + c + 0.15 + bi), 0.15 / (e + c + 0.15 + bi), bi / (e + c + 0.15 + bi)]) AS w FROM ap_b3""")
+def _(t):
+    # the tables' earnings are small against their market values; times 20 they fall on all sides of the thresholds
+    basket = top_names(t, N.composite(pillars(t)).select("t", "sid", "score")).join(panel(t).select("t", "sid", (F.col("EY") * 20).alias("ey")), ["t", "sid"])
+    erp = W.implied_premium(basket, t.cdi)
+    days = index_regime(t).select("date", "regime").join(W.tsmom_excess(t.index_close, t.cdi.select("date", "cdi")), "date").withColumn("i", F.col("sno") - 1).filter("i % 21 = 0").join(erp, "date")
+    return W.mix_to_rows(days.select("date", "i", "erp", "regime", "tsmom"), W.dynamic_mix(F.col("regime"), F.col("erp"), F.col("tsmom")))
+
+
 @query("score_fn", "leg:s t:t n:i gross:4 net:4 turnover:5", MV_SQL + "," + sql_portfolio(QUINT_W.format(src="(SELECT mv.*, p.fwd FROM mv JOIN panel p USING (t, sid))")) + " SELECT * FROM pf")
 def _(t):
     # any function of the panel that returns (t, sid, score) plugs into the portfolios
@@ -318,7 +341,7 @@ WITH m AS (SELECT t, avg(MOM) AS mm, stddev_samp(MOM) AS ms, avg(EY) AS em, stdd
 SELECT p.t, p.sid, momentum * (p.MOM - mm) / nullif(ms, 0) + (1 - momentum) * (p.EY - em) / nullif(es, 0) FROM rule_panel p JOIN m ON p.t = m.t"""
 CALM_RULE = "SELECT t, sid, EY - penalty * vol126 FROM rule_panel"
 RULE_W = """SELECT rule, 'Q' || b AS leg, t, sid, 1 / count(*) OVER (PARTITION BY rule, t, b) AS w, fwd FROM (
-  SELECT *, CAST(greatest(1, ceil(5 * (row_number() OVER (PARTITION BY rule, t ORDER BY score, sid) - 1) / (count(*) OVER (PARTITION BY rule, t) - 1))) AS INT) AS b, count(*) OVER (PARTITION BY rule, t) AS n FROM rs WHERE score IS NOT NULL)
+  SELECT *, CAST(greatest(1, ceil(5 * (row_number() OVER (PARTITION BY rule, t ORDER BY score, sid) - 1) / nullif(count(*) OVER (PARTITION BY rule, t) - 1, 0))) AS INT) AS b, count(*) OVER (PARTITION BY rule, t) AS n FROM rs WHERE score IS NOT NULL)
   WHERE n >= 15 AND b IN (1, 5)"""
 
 

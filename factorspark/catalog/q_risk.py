@@ -1,5 +1,6 @@
 """Risk model queries."""
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from factorspark.catalog.registry import query
@@ -18,9 +19,18 @@ def weekly(t):
     return r, m
 
 
+def six_month_alpha(t):
+    """Half a year's return up to a month ago, less the index's, at the last session of each security."""
+    w, wi = Window.partitionBy("sid").orderBy("sno"), Window.partitionBy(F.lit(1)).orderBy("sno")
+    index = t.index_close.select("sno", ts.trailing_return("close", wi, 125, 21).alias("index_ret"))
+    stock = t.sbars.select("sid", "sno", ts.trailing_return("close", w, 125, 21, 20).alias("ret")).groupBy("sid").agg(F.max_by(F.struct("ret"), "sno").alias("_r"), F.max("sno").alias("sno"))
+    # rounded, so that the last bits of a quotient don't decide a rank
+    return stock.join(index, "sno").select("sid", F.round(F.col("_r.ret") - F.col("index_ret"), 9).alias("alpha_6m"))
+
+
 def chars(t):
-    return t.fundamentals.select("sid", "sector", "market_cap", F.when(F.col("pl") > 0, 1 / F.col("pl")).alias("earnings_yield"),
-                                 ((F.col("sid") * 59 % 97) / 100).alias("alpha_6m"))
+    c = t.fundamentals.select("sid", "sector", "market_cap", F.when(F.col("pl") > 0, 1 / F.col("pl")).alias("earnings_yield"))
+    return c.join(six_month_alpha(t), "sid", "left")
 
 
 #: Factors over the five sectors of the tables, in the order of projection; the first sector is the baseline.
@@ -51,10 +61,14 @@ def model(t):
 
 FACTOR_SQL = WEEK_SQL + """
 sd AS (SELECT sid, stddev_samp(r) * 3 AS b FROM rt GROUP BY sid), rw AS (SELECT rt.sid, date, greatest(-b, least(b, r)) AS r FROM rt JOIN sd USING (sid) WHERE b IS NOT NULL),
-ch AS (SELECT sid, sector, market_cap, CASE WHEN pl > 0 THEN 1 / pl END AS ey, (sid * 59 % 97) / 100 AS al FROM fundamentals),
+ag AS (SELECT sid, sno, last_value(close) OVER (PARTITION BY sid ORDER BY sno RANGE BETWEEN 41 PRECEDING AND 21 PRECEDING) AS p21,
+  last_value(close) OVER (PARTITION BY sid ORDER BY sno RANGE BETWEEN 145 PRECEDING AND 125 PRECEDING) AS p125 FROM sbars),
+ai AS (SELECT sno, lag(close, 21) OVER (ORDER BY sno) / lag(close, 125) OVER (ORDER BY sno) - 1 AS ir FROM index_close),
+al6 AS (SELECT sid, round(p21 / p125 - 1 - ir, 9) AS al FROM (SELECT * FROM ag QUALIFY row_number() OVER (PARTITION BY sid ORDER BY sno DESC) = 1) JOIN ai USING (sno)),
+ch AS (SELECT sid, sector, market_cap, CASE WHEN pl > 0 THEN 1 / pl END AS ey, al FROM fundamentals LEFT JOIN al6 USING (sid)),
 lg AS (SELECT sid, 'SMB' AS factor, CASE WHEN row_number() OVER (ORDER BY market_cap, sid) <= count(*) OVER () // 3 THEN 1 WHEN row_number() OVER (ORDER BY market_cap, sid) > count(*) OVER () - count(*) OVER () // 3 THEN -1 END AS leg FROM ch
   UNION ALL SELECT sid, 'HML', CASE WHEN row_number() OVER (ORDER BY ey, sid) <= count(*) OVER () // 3 THEN -1 WHEN row_number() OVER (ORDER BY ey, sid) > count(*) OVER () - count(*) OVER () // 3 THEN 1 END FROM ch WHERE ey IS NOT NULL
-  UNION ALL SELECT sid, 'UMD', CASE WHEN row_number() OVER (ORDER BY al, sid) <= count(*) OVER () // 3 THEN -1 WHEN row_number() OVER (ORDER BY al, sid) > count(*) OVER () - count(*) OVER () // 3 THEN 1 END FROM ch),
+  UNION ALL SELECT sid, 'UMD', CASE WHEN row_number() OVER (ORDER BY al, sid) <= count(*) OVER () // 3 THEN -1 WHEN row_number() OVER (ORDER BY al, sid) > count(*) OVER () - count(*) OVER () // 3 THEN 1 END FROM ch WHERE al IS NOT NULL),
 st AS (SELECT date, factor, avg(r) FILTER (leg = 1) - avg(r) FILTER (leg = -1) AS f FROM rw JOIN lg USING (sid) GROUP BY ALL),
 sc AS (SELECT sector FROM ch GROUP BY sector HAVING count(*) >= 2), un AS (SELECT date, avg(r) AS u FROM rw GROUP BY date),
 se AS (SELECT date, 'SEC_' || sector AS factor, avg(r) - max(u) AS f FROM rw JOIN ch USING (sid) JOIN sc USING (sector) JOIN un USING (date) WHERE sector <> (SELECT min(sector) FROM sc) GROUP BY ALL),
