@@ -4,7 +4,7 @@ import datetime as dt
 
 import pytest
 
-from factorspark.operators.portfolio import drift_nav
+from factorspark.operators.portfolio import drift_nav, implied_premium
 from factorspark.plans.rules import score_rule, target_rule
 
 DAY = dt.date(2024, 1, 31)
@@ -54,3 +54,11 @@ def test_target_rule_drives_a_nav(spark):
     up = 100 * 0.999 * (0.5 * 1.21 + 0.5)
     share = 0.5 * 1.21 / (0.5 * 1.21 + 0.5)
     assert nav[4] == pytest.approx(up * (1 - 2 * (1 - share) * 0.001) * 1.21)
+
+
+def test_premium_of_the_basket_in_force(spark):
+    basket = spark.createDataFrame([(dt.date(2024, 1, 31), 1, 0.2), (dt.date(2024, 1, 31), 2, None), (dt.date(2024, 1, 31), 3, 0.1), (dt.date(2024, 2, 29), 1, None)], "t date, sid long, ey double")
+    rates = spark.createDataFrame([(dt.date(2024, 1, 30), 0.0), (dt.date(2024, 1, 31), 0.0), (dt.date(2024, 2, 28), 0.0004), (dt.date(2024, 2, 29), 0.0)], "date date, cdi double")
+    got = {r.date.isoformat(): r.erp for r in implied_premium(basket, rates).collect()}
+    assert got["2024-01-30"] is None and got["2024-02-29"] is None  # no basket yet; a basket without a yield
+    assert got["2024-01-31"] == pytest.approx(0.15) and got["2024-02-28"] == pytest.approx(0.15 - (1.0004 ** 252 - 1))
