@@ -12,6 +12,7 @@ from factorspark.operators import stats as S
 from factorspark.operators import timeseries as ts
 from factorspark.plans import panel as N
 from factorspark.plans import study as Y
+from factorspark.session import cut_lineage
 
 MS_SQL = "WITH ms AS (SELECT sid, date_trunc('month', date) AS t, tanh(arg_max(close, date) / arg_min(open, date) - 1) / 5 AS r FROM bars GROUP BY ALL)"
 
@@ -310,5 +311,6 @@ dr AS (SELECT sid, rep, (start + k) % n AS i FROM st, unnest(generate_series(0,
 df AS (SELECT sid, rep, (avg(r) / CASE WHEN stddev_samp(r) > 0 THEN stddev_samp(r) END - avg(m) / CASE WHEN stddev_samp(m) > 0 THEN stddev_samp(m) END) * sqrt(12) AS diff FROM dr JOIN rw USING (sid, i) GROUP BY sid, rep)
 SELECT sid, quantile_cont(diff, 0.025) AS lo, quantile_cont(diff, 0.975) AS hi, count(*) AS reps FROM df GROUP BY sid""")
 def _(t):
-    market = series(t).groupBy("t").agg(F.avg("r").alias("m"))
-    return S.block_bootstrap_sharpe_diff(series(t).join(market, "t"), ["sid"], "r", "m", "t")
+    own = cut_lineage(series(t))  # read for the market and for each security
+    market = own.groupBy("t").agg(F.avg("r").alias("m"))
+    return S.block_bootstrap_sharpe_diff(own.join(market, "t"), ["sid"], "r", "m", "t")

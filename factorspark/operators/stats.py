@@ -7,7 +7,10 @@ bounded by the calendar while any number of series runs in parallel.
 from __future__ import annotations
 
 import math
+from hashlib import md5
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -157,30 +160,64 @@ def power_weeks(ics: DataFrame, factor: str, effect: float = 0.05) -> DataFrame:
         "sd", F.ceil(F.pow(POWER_Z * F.col("sd") / effect, F.lit(2.0))).alias("weeks"))
 
 
+def _sharpes(x: np.ndarray, start: np.ndarray, block: int) -> np.ndarray:
+    """Yearly Sharpe ratio of each row of block starts over a circular series; NaN without spread."""
+    m, mid = len(x), np.median(x)
+    d = x - mid  # sums around the middle keep their digits, and a constant series is exactly zero
+    s = q = 0.0
+    for starts, length in ((start[:, :-1], block), (start[:, -1:], m % block)):
+        at = (np.arange(m)[:, None] + np.arange(length)) % m
+        s = s + d[at].sum(axis=1)[starts].sum(axis=1)
+        q = q + (d[at] ** 2).sum(axis=1)[starts].sum(axis=1)
+    spread = q - s * s / m
+    spread = np.where(spread <= 1e-13 * q, np.nan, spread)
+    return (mid + s / m) / np.sqrt(spread / (m - 1)) * math.sqrt(12)
+
+
+def _resampled(block: int, reps: int):
+    """UDF over one series a row: percentiles of the Sharpe difference of its replications."""
+    @F.pandas_udf("struct<lo double, hi double>")
+    def bounds(stem: pd.Series, a: pd.Series, b: pd.Series) -> pd.DataFrame:
+        out, tails = np.full((len(stem), 2), np.nan), {}
+        for row, (text, x, y) in enumerate(zip(stem, a, b, strict=True)):
+            m = len(x)
+            if m < 2:
+                continue
+            blocks = m // block + 1
+            if blocks not in tails:
+                tails[blocks] = [b"|%d|%d" % (r, k) for r in range(1, reps + 1) for k in range(blocks)]
+            head = text.encode()
+            digests = b"".join([md5(head + tail, usedforsecurity=False).digest()[:8] for tail in tails[blocks]])
+            start = (np.frombuffer(digests, ">u8") >> np.uint64(4)).astype(np.int64) % m
+            start = start.reshape(reps, blocks)
+            diff = _sharpes(np.asarray(x, float), start, block) - _sharpes(np.asarray(y, float), start, block)
+            diff = diff[~np.isnan(diff)]
+            if len(diff):
+                out[row] = np.percentile(diff, (2.5, 97.5))
+        return pd.DataFrame(out, columns=["lo", "hi"])
+
+    return bounds
+
+
 def block_bootstrap_sharpe_diff(df: DataFrame, keys: list[str], a: str, b: str, order: str, block: int = 6, reps: int = 2000,
                                 seed: int = 0) -> DataFrame:
     """2.5 and 97.5 percentiles of the Sharpe difference under a circular block bootstrap.
 
-    Each replication draws block starts from the md5 of (seed, keys, replication, block), which other engines have too, joins
-    them to the numbered periods by equality and aggregates; replications are rows, not loop passes.
+    Each replication draws block starts from the md5 of (seed, keys, replication, block), which other engines have too.
+    A series is one row with two arrays, bounded by the calendar; its replications are drawn and summed up within the
+    row, so that no draw is ever a row of its own. Series are dealt out by key to a fixed number of tasks, as their work is
+    far larger than their bytes.
     """
-    w = Window.partitionBy(*keys).orderBy(order)
-    rows = df.filter(F.col(a).isNotNull() & F.col(b).isNotNull())
-    rows = rows.select(*keys, F.col(a).alias("_a"), F.col(b).alias("_b"), (F.row_number().over(w) - 1).alias("_i"))
-    size = rows.groupBy(*keys).agg(F.count("*").alias("_m"))
-    draws = (size.withColumn("_rep", F.explode(F.sequence(F.lit(1), F.lit(reps))))
-             .withColumn("_blk", F.explode(F.sequence(F.lit(0), F.floor(F.col("_m") / block).cast("int"))))
-             .withColumn("_start", F.conv(F.substring(F.md5(F.concat_ws("|", F.lit(str(seed)), *[F.col(c).cast("string") for c in keys], "_rep", "_blk")), 1, 15), 16, 10).cast("long") % F.col("_m"))
-             .withColumn("_k", F.explode(F.sequence(F.lit(0), F.lit(block - 1))))
-             .filter(F.col("_blk") * block + F.col("_k") < F.col("_m"))
-             .withColumn("_i", ((F.col("_start") + F.col("_k")) % F.col("_m")).cast("int")))
-
-    def sr(x):
-        return F.avg(x) / F.when(F.stddev_samp(x) > 0, F.stddev_samp(x)) * math.sqrt(12)
-
-    per = draws.join(rows, [*keys, "_i"]).groupBy(*keys, "_rep").agg((sr("_a") - sr("_b")).alias("_diff"))
-    return per.groupBy(*keys).agg(F.percentile("_diff", 0.025).alias("lo"), F.percentile("_diff", 0.975).alias("hi"),
-                                  F.count("*").alias("reps"))
+    spark = df.sparkSession
+    tasks = max(4 * spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    there = F.col(a).isNotNull() & F.col(b).isNotNull()
+    for k in keys:
+        there = there & F.col(k).isNotNull()
+    rows = df.filter(there).select(*keys, F.struct(F.col(order).alias("o"), F.col(a).cast("double").alias("a"), F.col(b).cast("double").alias("b")).alias("_v"))
+    one = rows.repartition(tasks, *keys).groupBy(*keys).agg(F.array_sort(F.collect_list("_v")).alias("_v"))
+    stem = F.concat_ws("|", F.lit(str(seed)), *[F.col(c).cast("string") for c in keys])
+    out = one.select(*keys, _resampled(block, reps)(stem, F.col("_v.a"), F.col("_v.b")).alias("_d"))
+    return out.select(*keys, *[F.nanvl(F.col(f"_d.{c}"), F.lit(None).cast("double")).alias(c) for c in ("lo", "hi")], F.lit(reps).cast("long").alias("reps"))
 
 
 def nav_metrics(df: DataFrame, keys: list[str], order: str, trials=(4, 10, 20), min_n: int = 60) -> DataFrame:
