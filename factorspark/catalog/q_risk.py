@@ -29,8 +29,9 @@ def six_month_alpha(t):
 
 
 def chars(t):
+    t.keep_bars()
     c = t.fundamentals.select("sid", "sector", "market_cap", F.when(F.col("pl") > 0, 1 / F.col("pl")).alias("earnings_yield"))
-    return c.join(six_month_alpha(t), "sid", "left")
+    return cut_lineage(c.join(six_month_alpha(t), "sid", "left"))  # read by every leg and by the sectors
 
 
 #: Factors over the five sectors of the tables, in the order of projection; the first sector is the baseline.
@@ -49,6 +50,7 @@ rt AS (SELECT * FROM r0 JOIN cd USING (date) WHERE r IS NOT NULL), mk AS (SELECT
 
 
 def returns(t):
+    t.keep_bars()
     r, m = K.lookback(*weekly(t))
     return cut_lineage(K.winsorized_returns(r)), m  # read by every leg and sector
 

@@ -179,8 +179,10 @@ hl AS (SELECT p.t, p.sid, p.factor, p.x0 AS x, h.days, CASE h.days WHEN 5 THEN f
 def horizon_ics(t):
     """IC of every factor against the 5, 20 and 60 session return from the month end."""
     last = t.sessions.agg(F.max("sno").alias("last_sno"))
-    fh = t.sbars.join(F.broadcast(last)).select("sid", F.col("date").alias("t"), *[R.forward_h("close", h).alias(f"f{h}") for h in (5, 20, 60)])
-    rows = N.factor_rows(QP.panel(t), N.FACTORS, []).withColumn("x", F.col("x") * F.col("dir")).join(fh, ["t", "sid"])
+    p = QP.panel(t)
+    # a horizon looks along one security, so only those of the panel are sorted
+    fh = t.sbars.join(p.select("sid").distinct(), "sid", "left_semi").join(F.broadcast(last)).select("sid", F.col("date").alias("t"), *[R.forward_h("close", h).alias(f"f{h}") for h in (5, 20, 60)])
+    rows = N.factor_rows(p, N.FACTORS, []).withColumn("x", F.col("x") * F.col("dir")).join(fh, ["t", "sid"])
     hs = F.explode(F.array(*[F.struct(F.lit(h).alias("days"), F.col(f"f{h}").alias("f")) for h in (5, 20, 60)]))
     long = rows.select("t", "sid", "factor", "x", hs.alias("h")).select("t", "sid", "factor", "x", "h.*")
     return S.rank_ic(long, ["factor", "days", "t"], "x", "f", 8).withColumnsRenamed({"t": "date", "n": "n_tickers"})
