@@ -10,6 +10,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
+from factorspark.operators import evaluate as E
 from factorspark.operators import prices as P
 from factorspark.operators import stats as T
 from factorspark.operators import timeseries as ts
@@ -56,3 +57,16 @@ def test_rename_candidates_are_counted_not_kept(spark):
     edges = P.detect_renames(bars, ts.sessions(bars))
     assert "first(struct" not in plan(edges)
     assert [(r.old, r.new, r.price_gap) for r in edges.collect()] == [("OLD", "NEW", 0.01)]
+
+
+def test_sleeves_need_only_names_with_a_return(spark):
+    names = spark.createDataFrame([("a", 1, 1.0, 0.1), ("a", 2, 3.0, None), ("b", 1, 2.0, None)], "k string, sid int, w double, ret double")
+    sleeves = names.groupBy("k").agg(F.sum("w").alias("_w"), F.count("*").alias("_all"))
+    whole = {tuple(r) for r in E.weighted_return(names, ["k"]).collect()}
+    assert {tuple(r) for r in E.weighted_return(names.filter("ret is not null"), ["k"], sleeves).collect()} == whole
+
+
+def test_attribution_keeps_its_three_levels(spark):
+    h = spark.createDataFrame([(1, "x", 1, 0.5, 0.1), (1, "x", 2, 0.5, None)], "rec int, sector string, sid int, w double, ret double")
+    out = E.attribution(h, ["rec"])
+    assert sorted(r.level for r in out.collect()) == ["name", "name", "sector", "total"]
