@@ -29,7 +29,7 @@ def six_month_alpha(t):
 
 
 def chars(t):
-    t.keep_bars()
+    t.keep_bars("close")
     c = t.fundamentals.select("sid", "sector", "market_cap", F.when(F.col("pl") > 0, 1 / F.col("pl")).alias("earnings_yield"))
     return cut_lineage(c.join(six_month_alpha(t), "sid", "left"))  # read by every leg and by the sectors
 
@@ -50,8 +50,9 @@ rt AS (SELECT * FROM r0 JOIN cd USING (date) WHERE r IS NOT NULL), mk AS (SELECT
 
 
 def returns(t):
-    t.keep_bars()
-    r, m = K.lookback(*weekly(t))
+    t.keep_bars("close")
+    r, m = weekly(t)
+    r, m = K.lookback(cut_lineage(r), m)  # read for the last dates and for the rows of these
     return cut_lineage(K.winsorized_returns(r)), m  # read by every leg and sector
 
 
