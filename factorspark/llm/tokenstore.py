@@ -35,9 +35,9 @@ from pyspark.sql import functions as F
 from factorspark.llm.common import checkpoint_root, mixed, ship, steps
 from factorspark.llm.mph import build, find
 
-#: Keys of one index file on average; runs of text and first parts of runs whose ids a worker remembers from step to step; the longest
-#: of the other parts that it remembers.
-BUCKET, MOST_RUNS, MOST_HEADS, LONGEST_RUN = 20_000, 500_000, 1_000_000, 64
+#: Keys of one index file on average; runs of text and parts behind the first whose ids a worker remembers from step to step; the longest
+#: of these parts that it remembers.
+BUCKET, MOST_RUNS, MOST_TAILS, LONGEST_RUN = 20_000, 1_200_000, 500_000, 64
 #: Places inside a run that no match crosses: a Latin letter ends, and an ASCII character that is no letter begins.
 PARTS = re.compile("(?<=[A-Za-z\u00C0-\u00D6\u00D8-\u00F6\u00F8-\u024F])(?=[\x00-@\\[-`{-\x7F])")
 #: Id that closes a document. Ids that are read from a payload at once.
@@ -68,8 +68,7 @@ class Encoder:
             self.bytes_of[i] = len(token)
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.end = np.array([END], self.kind).tobytes()
-        self.runs: dict[str, bytes] = {}  # run behind a space
-        self.heads: dict[str, bytes] = {}  # first part of such a run
+        self.runs: dict[str, bytes] = {}  # run behind a space, or the first part of one, which is a run too
         self.tails: dict[str, bytes] = {}  # other parts
 
     def whole(self, text: str) -> bytes:
@@ -83,27 +82,44 @@ class Encoder:
                 self.tails[part] = ids
         return ids
 
-    def _learn(self, runs: set[str]) -> dict[str, bytes]:
-        """Ids of runs behind a space; runs that do not begin and end with a visible character are left out."""
-        cut = [(run, PARTS.split(run)) for run in runs if run and not run[0].isspace() and not run[-1].isspace()]
-        heads, tail = self.heads, self._tail
-        new = list({parts[0] for _, parts in cut}.difference(heads))
+    def _learn(self, runs: set[str]) -> None:
+        """Adds the ids of runs behind a space; runs that do not begin and end with a visible character are left out."""
+        held, tails, cut, new = self.runs, self.tails, [], set()
+        for run in runs:
+            if run.isalpha():  # nothing to cut
+                new.add(run)
+            elif run and not run[0].isspace() and not run[-1].isspace():
+                parts = PARTS.split(run)
+                if len(parts) > 1:
+                    cut.append((run, parts))
+                new.add(parts[0])
+        new = list(new.difference(held))
         if new:
             ids = np.array(self.tokenizer.encode_batch_fast([" " + " ".join(new)], add_special_tokens=False)[0].ids, np.int64)
             ends = np.searchsorted(np.cumsum(self.bytes_of[ids]), np.cumsum([len(x.encode()) + 1 for x in new])) + 1
-            coded, at = ids.astype(self.kind).tobytes(), 0
-            for head, end in zip(new, (ends * self.width).tolist(), strict=True):
-                heads[head] = coded[at:end]
-                at = end
-        return {run: heads[run] if len(parts) == 1 else heads[parts[0]] + (tail(parts[1]) if len(parts) == 2 else b"".join(map(tail, parts[1:]))) for run, parts in cut}
+            held.update(zip(new, self._slices(ids, ends), strict=True))
+        fresh = list({part for _, parts in cut for part in parts[1:]}.difference(tails))
+        if fresh:
+            ids = [x.ids for x in self.tokenizer.encode_batch_fast(fresh, add_special_tokens=False)]
+            tails.update(zip(fresh, self._slices(np.array(list(chain.from_iterable(ids)), np.int64), np.cumsum([len(x) for x in ids])), strict=True))
+        for run, parts in cut:
+            held[run] = held[parts[0]] + (tails[parts[1]] if len(parts) == 2 else b"".join([tails[part] for part in parts[1:]]))
+        for part in fresh:
+            if len(part) > LONGEST_RUN:
+                del tails[part]
+
+    def _slices(self, ids: np.ndarray, ends: np.ndarray) -> list[bytes]:
+        """Consecutive ids as bytes of the payload, cut at ``ends``."""
+        coded, at = ids.astype(self.kind).tobytes(), (ends * self.width).tolist()
+        return [coded[a:b] for a, b in zip([0, *at], at)]
 
     def encode_all(self, texts: list[str]) -> list[bytes]:
         """For each text its ids and the end id, as bytes of the payload."""
-        for held, most in ((self.runs, MOST_RUNS), (self.heads, MOST_HEADS), (self.tails, MOST_RUNS)):
+        for held, most in ((self.runs, MOST_RUNS), (self.tails, MOST_TAILS)):
             if len(held) > most:
                 held.clear()
         split = [text.split(" ") for text in texts]
-        self.runs.update(self._learn(set(chain.from_iterable(split)).difference(self.runs)))
+        self._learn(set(chain.from_iterable(split)).difference(self.runs))
         return [self._one(text, runs) + self.end for text, runs in zip(texts, split, strict=True)]
 
     def _one(self, text: str, runs: list[str]) -> bytes:

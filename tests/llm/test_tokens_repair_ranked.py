@@ -260,3 +260,17 @@ def test_search_of_nothing(docs, spark):
     assert ranked.search(docs([]), items).collect() == []
     assert ranked.search(docs([(1, "alpha")]), items.limit(0)).collect() == []
     assert ranked.search(docs([(1, None), (2, "?")]), items).collect() == []
+
+
+def test_a_word_is_held_once_and_parts_go_to_the_tokenizer_together():
+    """Runs and their first parts share a table; a text with many new parts costs two calls, not one for each."""
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    plain, e = Tokenizer.from_file(path), tokenstore.Encoder(path)
+    calls, whole = [], e.whole
+    e.whole = lambda text: (calls.append(text), whole(text))[1]
+    texts = ["one two, two-fold (three) na\u00efve x2 and" + "-a" * 100, " ".join(f"w{i}x, y{i};{i}" for i in range(300)), "", "a b\tc d", "\u4e2d\u6587 word, word\u3002 \u00e9t\u00e9."]
+    got = e.encode_all(texts) + e.encode_all(texts)
+    want = [np.array([*plain.encode(x, add_special_tokens=False).ids, tokenstore.END], e.kind).tobytes() for x in texts]
+    assert got == want * 2
+    assert len(calls) < 20 and not hasattr(e, "heads")
+    assert e.runs["two,"] == e.runs["two"] + e.tails[","] and max(map(len, e.tails)) <= tokenstore.LONGEST_RUN
