@@ -2,6 +2,7 @@
 
 import contextlib
 import io
+import itertools
 import math
 from hashlib import md5
 
@@ -70,3 +71,42 @@ def test_attribution_keeps_its_three_levels(spark):
     h = spark.createDataFrame([(1, "x", 1, 0.5, 0.1), (1, "x", 2, 0.5, None)], "rec int, sector string, sid int, w double, ret double")
     out = E.attribution(h, ["rec"])
     assert sorted(r.level for r in out.collect()) == ["name", "name", "sector", "total"]
+
+
+def test_a_return_travels_once_for_all_groups(spark, tmp_path, monkeypatch):
+    """Groups whose baskets change on other days: weights in force by plain loops; returns aren't repeated for each group."""
+    import datetime as dt
+
+    from factorspark.catalog import q_evaluate as Q
+    from factorspark.sources.derived import Tables
+
+    days = [dt.datetime(2020, 1, 1) + dt.timedelta(days=k) for k in range(90)]
+    li = [(k, 1, s, 1, 2.0, 2 * (10.0 + (k * (s + 2)) % 7), 0.0, 0.03, "N", "O", d) for k, d in enumerate(days) for s in (1, 2, 3)]
+    # customers 0 and 5 are one group, 1 another; customer 1 has no basket in February, none has a security 3 in March
+    buys = [(1000, 0, "2020-01-05", 1, 10.0), (1001, 5, "2020-01-07", 1, 30.0), (1002, 0, "2020-02-03", 2, 7.0), (1003, 1, "2020-01-09", 2, 4.0),
+            (1004, 1, "2020-03-02", 1, 5.0), (1005, 5, "2020-02-20", 3, 3.0), (1006, 1, "2020-01-20", 3, 12.0)]
+    li += [(o, 1, s, 1, 1.0, v, 0.0, 0.03, "N", "O", days[0] - dt.timedelta(days=900)) for o, _, _, s, v in buys]
+    spark.createDataFrame(li, "l_orderkey long, l_partkey long, l_suppkey long, l_linenumber int, l_quantity double, l_extendedprice double, l_discount double, l_tax double, l_returnflag string, "
+                          "l_linestatus string, l_shipdate timestamp").write.parquet(f"{tmp_path}/lineitem.parquet")
+    orders = [(o, c, dt.datetime.fromisoformat(d)) for o, c, d, _, _ in buys]
+    spark.createDataFrame(orders, "o_orderkey long, o_custkey long, o_orderdate timestamp").write.parquet(f"{tmp_path}/orders.parquet")
+    seen, whole = [], E.weighted_return
+    monkeypatch.setattr(Q.E, "weighted_return", lambda rows, *a: (seen.append(rows), whole(rows, *a))[1])
+    got = {(r.grp, r.date): (r.rec_date, r.port_ret, r.n_missing) for r in Q.nav_points(Tables(spark, str(tmp_path))).collect()}
+    groups = {}
+    for _, c, d, s, v in buys:
+        groups.setdefault(c % 5, {}).setdefault(dt.date.fromisoformat(d[:8] + "01"), {}).setdefault(s, []).append(v)
+    px = {(s, d.date()): 10.0 + (k * (s + 2)) % 7 for k, d in enumerate(days) for s in (1, 2, 3)}
+    expected = 0
+    for g, baskets in groups.items():
+        for a, b in itertools.pairwise(days):
+            held = max(d for d in baskets if d <= b.date())
+            w = {s: sum(v) for s, v in baskets[held].items()}
+            ret = sum(x * math.tanh(px[s, b.date()] / px[s, a.date()] - 1) / 20 for s, x in w.items()) / sum(w.values())
+            assert got[g, b.date()] == (held, pytest.approx(ret, abs=1e-12), 0)
+            expected += 1
+    assert sum(v[1] is not None for v in got.values()) == expected + len(groups)  # the first day's, against the session of the purchases
+    # days with one month in force for both groups are met once
+    pairs = {(b.date(), max(d for d in baskets if d <= b.date())) for baskets in groups.values() for b in days[1:]}
+    text = seen[0]._jdf.queryExecution().optimizedPlan().toString()
+    assert len(pairs) < expected and "Join Inner, ((rec_date" in text
