@@ -110,3 +110,44 @@ def test_a_return_travels_once_for_all_groups(spark, tmp_path, monkeypatch):
     pairs = {(b.date(), max(d for d in baskets if d <= b.date())) for baskets in groups.values() for b in days[1:]}
     text = seen[0]._jdf.queryExecution().optimizedPlan().toString()
     assert len(pairs) < expected and "Join Inner, ((rec_date" in text
+
+
+def test_bars_meet_rebalances_without_an_exchange_by_period(spark):
+    """Expanded bars and their totals stay where the securities are, even if Spark may not choose a broadcast itself."""
+    days = pd.bdate_range("2020-01-01", "2021-02-01")
+    rows = [(s, f"T{s}", f"I{s}", d.date(), "ON NM", 2, 100.0 * s, 10.0) for s in (1, 2, 3) for i, d in enumerate(days) if s < 3 or i % 10 == 0]
+    rows += [(4, "T4", "I4", days[5].date(), "DRN", 9, 1e9, 10.0), (5, "T5", "I5", None, "ON", 9, 1e9, 10.0)]
+    bars = spark.createDataFrame(rows, "sid long, ticker string, isin string, date date, spec string, trades long, volume double, close double")
+    held = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        found = P.universe_history(bars, ts.sessions(bars.filter("date is not null")), size=2, min_presence=0.5)
+        text = plan(found)
+        got = found.collect()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", held)
+    assert "hashpartitioning(period" not in text and "hashpartitioning(rebalance_date#" in text  # the ranking's, of few rows
+    assert "SortMergeJoin" not in text
+    reb = [d.date() for d in (days[days.month == 5][0], days[days.month == 9][0], days[days.year == 2021][0])]
+    want = set()
+    for r in reb:
+        n = sum(0 < (r - d.date()).days <= 365 for d in days)
+        want |= {(r, s, 3 - s, n, 2 * n, round(100.0 * s * n, 2)) for s in (1, 2)}
+    assert {(r.rebalance_date, r.sid, r["rank"], r.sessions, r.trades, r.volume) for r in got} == want
+
+
+def test_versions_of_other_issuers_are_left_out_before_they_are_sorted(spark, tmp_path):
+    from factorspark.catalog import q_panel as Q
+    from factorspark.sources.derived import Tables
+
+    rows = [(1, 7, 100.0, "1996-02-03"), (95, 7, 200.0, "1996-02-20"), (3, 8, 300.0, "1996-02-04"), (4, None, 400.0, "1996-02-05"), (5, 7, 500.0, "1996-03-05")]
+    orders = spark.createDataFrame(rows, "o_orderkey long, o_custkey long, o_totalprice double, d string").withColumn("o_orderdate", F.to_timestamp("d")).drop("d")
+    orders.write.parquet(f"{tmp_path}/orders.parquet")
+    t = Tables(spark, str(tmp_path))
+    issuers = spark.createDataFrame([(7,), (None,), (9,)], "_issuer long")
+    some = Q.documents(t, issuers)
+    lines = plan(some).splitlines()
+    semi, last_aggregate = (max(i for i, line in enumerate(lines) if word in line) for word in ("LeftSemi", "Aggregate(key=[issuer"))
+    assert semi > last_aggregate  # below, so before
+    whole = [tuple(r) for r in Q.documents(t).collect()]
+    assert sorted(map(tuple, some.collect()), key=str) == sorted((r for r in whole if r[0] != 8), key=str) and len(whole) == 4
